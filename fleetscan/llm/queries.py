@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import packing, simhash, token_store
 from .common import read_table, work_path
 
 
@@ -21,5 +21,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(token_store.document_starts(spark, path), ["file_part", "file_row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_token_store": op4_token_store}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_packing": op1_packing, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash}
 ORACLE_SQL: dict[str, str] = {}
