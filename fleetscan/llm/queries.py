@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_store
+from . import decontam, packing, simhash, token_store
 from .common import read_table, work_path
 
 
@@ -14,6 +14,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "capacity", "step_id")
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "tokens")
     token_store.write_tokens(read_table(spark, sf_dir, "documents"), path)
@@ -26,5 +31,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash}
+from .oracle import ORACLE_SQL  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
