@@ -25,4 +25,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2}
+_OP9 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS p FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, p) AS n FROM windows) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS j FROM twice) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT x) AS d FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS n_letters
+  FROM docs LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r)
+), f AS (
+  SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN n_letters >= 20 AND 100 * n_upper > 50 * n_letters THEN 64 ELSE 0 END AS BIGINT) AS failures
+  FROM m
+)
+SELECT *, failures & 3 <> 0 AS base_failed, failures & 127 = 0 AS kept FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2, "op9_ledger": _OP9}

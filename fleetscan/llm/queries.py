@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash, token_store
+from . import decontam, ledger, packing, simhash, token_store
 from .common import read_table, work_path
 
 
@@ -31,7 +31,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash}
+def op9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = ledger.ledger(read_table(spark, sf_dir, "documents"))
+    return entries.select("doc_id", *ledger.MEASURES, "failures", (~ledger.passes("v1")).alias("base_failed"), ledger.passes("v3").alias("kept"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op9_ledger": op9_ledger}
 from .oracle import ORACLE_SQL  # noqa: E402
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
