@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ledger, packing, simhash, token_store
-from .common import read_table, work_path
+from . import decontam, langid, ledger, packing, quality, simhash, token_store
+from .common import in_fold, read_table, work_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 4, 2)
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "tokens")
     token_store.write_tokens(read_table(spark, sf_dir, "documents"), path)
@@ -31,12 +38,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 5, 0)
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = ledger.ledger(read_table(spark, sf_dir, "documents"))
     return entries.select("doc_id", *ledger.MEASURES, "failures", (~ledger.passes("v1")).alias("base_failed"), ledger.passes("v3").alias("kept"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op9_ledger": op9_ledger}
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_ledger": op9_ledger}
 from .oracle import ORACLE_SQL  # noqa: E402
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
