@@ -9,7 +9,7 @@ import uuid
 import zipfile
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,17 +83,25 @@ def ship(spark: SparkSession) -> None:
     sc._fleetscan_shipped = True
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hash_fraction(cols: list, fraction: float, salt: str) -> F.Column:
+def hash_fraction(cols: list, fraction: float, salt: str) -> Column:
     """True for a deterministic pseudo-random ``fraction`` of the keys."""
     limit = int(min(1.0, max(0.0, fraction)) * (1 << 62))
     return F.xxhash64(F.lit(salt), *cols).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(limit)
 
 
-def in_fold(col: str, modulus: int, remainder: int) -> F.Column:
+def in_fold(col: str, modulus: int, remainder: int) -> Column:
     """Whether ``crc32(col as text) mod modulus`` is ``remainder``; false for null."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import fresh, materialize, ship
 
 #: Consecutive words of a window; a shorter item is one window.
 WINDOW_WORDS = 10
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
         shared = spark.sparkContext.broadcast((name, rows))
         if shards == 1:
             return _result(scan(docs, shared, text, (key,)), key)
-        rows = scan(docs.withColumn("__hash", F.xxhash64(text)), shared, text, (key, "__hash"))
+        rows = scan(docs.select(key, text, F.xxhash64(text).alias("__hash")), shared, text, (key, "__hash"))
         # Equal keys with equal texts have equal results: one row stands for them.
         parts.append(materialize(rows if not s else rows.where(F.size("items") > 0), "scan"))
     return _merged(parts, docs, text, key)
@@ -176,7 +176,8 @@ def _merged(parts: list[DataFrame], docs: DataFrame, text: str, key: str) -> Dat
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without any hit window, all columns kept."""
-    ids = contamination(docs.withColumn("__row", F.struct(F.col(key), F.xxhash64(text).alias("h"))).select("__row", text), items, text, "__row", **options)
-    hit = materialize(ids.where("contaminated").select("__row").distinct(), "hit")
-    rows = docs.withColumn("__row", F.struct(F.col(key), F.xxhash64(text).alias("h")))
-    return rows.join(hit, rows["__row"].eqNullSafe(hit["__row"]), "left_anti").select(*docs.columns)
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    found = contamination(docs.select(row.alias("__row"), F.col(text).alias("__body")), items, "__body", "__row", **options)
+    name = fresh(docs, "__hit_row")
+    hit = materialize(found.where("contaminated").select(F.col("__row").alias(name)).distinct(), "hit")
+    return docs.join(hit, docs[key].eqNullSafe(hit[name]["key"]) & (F.xxhash64(docs[text]) == hit[name]["hash"]), "left_anti")

@@ -50,4 +50,14 @@ WITH docs AS (
 SELECT *, failures & 3 <> 0 AS base_failed, failures & 127 = 0 AS kept FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2, "op9_ledger": _OP9}
+_OP8 = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9}

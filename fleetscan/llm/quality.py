@@ -63,16 +63,19 @@ def stats_of(text: str | None) -> tuple[float, ...]:
 
 
 def text_stats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` and the columns of ``STATS`` (double) of every row."""
+    """``keys`` (the text may be among them) and the columns of ``STATS`` (double) of every
+    row."""
     ship(docs.sparkSession)
-    source = docs.select(*keys, docs[text].alias("__text"))
+    kept = docs.select(*keys)
+    name = text if text in keys else "__text"
+    source = kept if text in keys else docs.select(*keys, F.col(text).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([stats_of(t.as_py()) for t in b.column(b.schema.get_field_index("__text"))], np.float64).reshape(-1, len(STATS))
+            got = np.array([stats_of(t.as_py()) for t in b.column(b.schema.get_field_index(name))], np.float64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keys), *(pa.array(got[:, i]) for i in range(len(STATS)))], names=[*keys, *STATS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return source.mapInArrow(run, schema + "".join(f", {s} double" for s in STATS))
 
 
@@ -210,6 +213,5 @@ def keep_good(docs: DataFrame, model: RuleModel, text: str = "text", threshold:
     """The rows that score at least ``threshold``, all columns kept. The text passes through
     the task that scores it, so nothing is joined."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    rows = text_stats(plain.select(*names, F.col(names[docs.columns.index(text)]).alias("__t")), "__t", tuple(names))
+    rows = text_stats(docs.toDF(*names), names[docs.columns.index(text)], tuple(names))
     return rows.where(model.score() >= threshold).select(*names).toDF(*docs.columns)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ledger, packing, quality, simhash, token_store
+from . import decontam, langid, ledger, license_scan, packing, pii, quality, simhash, token_store, warc
 from .common import in_fold, read_table, work_path
 
 
@@ -45,12 +45,31 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), *(_count(k).alias(f"n_{k}") for k in pii.KINDS))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_bundles(read_table(spark, sf_dir, "pages"), work_path(spark, "warc"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = ledger.ledger(read_table(spark, sf_dir, "documents"))
     return entries.select("doc_id", *ledger.MEASURES, "failures", (~ledger.passes("v1")).alias("base_failed"), ledger.passes("v3").alias("kept"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_ledger": op9_ledger}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_candidates", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"), "notices")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "op10_licenses": op10_licenses}
 from .oracle import ORACLE_SQL  # noqa: E402
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

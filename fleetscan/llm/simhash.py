@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import fresh, materialize, ship
 from .graph import components
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     Null and empty texts have fingerprint 0 and are linked like others; repeated rows are
     in one component. An empty table gives no rows. Other columns are ignored.
     """
-    table = materialize(fingerprints(docs.withColumn("__hash", F.xxhash64(text)), text, (key, "__hash"), words), "fingerprints")
+    table = materialize(fingerprints(docs.select(key, text, F.xxhash64(text).alias("__hash")), text, (key, "__hash"), words), "fingerprints")
     fps = materialize(table.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     roots = materialize(components(near_links(fps.select("fp"), radius, hot_bucket)), "roots")
     members = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "least")
@@ -174,7 +174,8 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     chosen = first.select("root", F.col("x.key").alias("__key"), F.col("x.text_hash").alias("__hash"))
     copies = found.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__n"))
     picked = materialize(chosen.alias("a").join(copies.alias("b"), F.col("a.__key").eqNullSafe(F.col("b.__key")) & (F.col("a.__hash") == F.col("b.__hash"))).select("a.__key", "a.__hash", "__n").distinct(), "picked")
-    rows = docs.withColumn("__hash0", F.xxhash64(text))
-    kept = rows.join(picked, rows[key].eqNullSafe(picked["__key"]) & (rows["__hash0"] == picked["__hash"]))
-    plain, repeated = kept.where("__n = 1"), kept.where("__n > 1")
+    a, h, n = fresh(docs, "__near_key"), fresh(docs, "__near_hash"), fresh(docs, "__near_n")
+    picked = picked.toDF(a, h, n)
+    kept = docs.join(picked, docs[key].eqNullSafe(picked[a]) & (F.xxhash64(docs[text]) == picked[h]))
+    plain, repeated = kept.where(F.col(n) == 1), kept.where(F.col(n) > 1)
     return plain.select(*docs.columns).unionByName(repeated.select(*docs.columns).dropDuplicates([key, text]))
