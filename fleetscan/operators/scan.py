@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 KEYS = ("scan_id", "hostname", "path")
 
 
@@ -144,6 +146,7 @@ def scan_hits(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
 
     The corpus has scan_id, hostname, path and content (bytes or text; null has no hits).
     """
+    ship(corpus.sparkSession)
     patterns = tuple(p for r in rules for p in r.strings)
     source = corpus.select(*KEYS, F.col("content").cast("binary").alias("content"))
 
