@@ -6,12 +6,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 _LOCAL: str | None = None
 
+__all__ = ["fresh", "hash_fraction", "in_fold", "materialize", "open_fs", "read_table", "shared_dir", "ship", "work_path"]
+
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
@@ -59,30 +62,6 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application.
-
-    Functions are pickled by reference, so that per-worker caches (compiled automata,
-    tokenizers) live as long as the reused worker.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_fleetscan_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="fleetscan-ship-")
-    target = os.path.join(folder, "fleetscan_src.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, names in os.walk(root):
-            if "__pycache__" in d:
-                continue
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.join("fleetscan", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._fleetscan_shipped = True
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}
