@@ -142,4 +142,26 @@ def folder_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycle rows of the corpus scans, two for each."""
     hosts = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.min("doc_id").alias("d"))
     folder = F.concat(F.lit("/data/"), (F.col("d") % 5).cast("string"))
-    return hosts.select(F.concat(F.lit("scan_"), "source").alias("scan_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).cast("bigint").alias("event_timestamp_ms"), folder.alias("folder")).select("scan_id", "event_timestamp_ms", F.when(F.col("event_timestamp_ms") == 2, F.col("folder")).otherwise("/old").alias("scan_folder"))
+    two = hosts.select(F.concat(F.lit("scan_"), "source").alias("scan_id"), folder.alias("folder"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("i"))
+    return two.select("scan_id", F.col("i").cast("bigint").alias("event_timestamp_ms"), F.when(F.col("i") == 2, F.col("folder")).otherwise("/old").alias("scan_folder"))
+
+
+CATALOG = {
+    "custkey": "c_custkey",
+    "name": "concat('sigscan_', CASE c_custkey % 3 WHEN 0 THEN 'scans' ELSE 'matches' END, '_v', 2 + c_custkey % 4, CASE WHEN c_custkey % 11 = 0 THEN concat('_scan_', c_custkey) ELSE concat('_', lower({slug}), '_', substr(sha1(c_name), 1, 6), CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('_20', 20 + c_custkey % 7, CASE WHEN c_custkey % 12 < 9 THEN '0' ELSE '' END, 1 + c_custkey % 12) END) END)",
+    "rows": "c_custkey % 1000",
+    "newest_endpoint_ms": "1700000000000 + c_custkey * 60000",
+    "newest_ingest_ms": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 1700000000000 + c_custkey * 60000 + (c_custkey % 13) * 60000 - 240000 END",
+}
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and statistics of tables, from the customers."""
+    words = {"slug": "regexp_replace(c_name, '[^A-Za-z0-9]+', '_')"}
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return df.selectExpr(*(f"{e.format(**words) if n == 'name' else e} AS {n}" for n, e in CATALOG.items()))
+
+
+def duck_catalog() -> str:
+    words = {"slug": "regexp_replace(c_name, '[^A-Za-z0-9]+', '_', 'g')"}
+    return "SELECT " + ", ".join(f"{e.format(**words) if n == 'name' else e} AS {n}" for n, e in CATALOG.items()) + " FROM customer"

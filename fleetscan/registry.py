@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .operators.telemetry import BLOCKS, parse_telemetry
+from .operators.alerts import alert_count_last_hour, build_alerts, cap_alerts, resource_alerts, rollup_alerts
+from .operators.findings import detection_breakdown, evidence_unique, findings_agg, to_v3
+from .operators.lifecycle import final_metrics, heartbeat_gaps, latest_scan_state, worker_summary
+from .operators.maintenance import classify, gate, inventory, newest_ms, parse_names, parse_shard, scan_rule_summary, scan_stats, select_rotated, shard_suffix, terminal_map
+from .operators.scan import eval_conditions, scan_hits
+from .operators.scope import classify_scope, scope_filter, skip_breakdown
+from .operators.telemetry import BLOCKS, efficiency_metrics, parse_telemetry, performance_metrics, resource_summary
 from .plans import findings as pf
 from .plans import lifecycle as pl
 from .plans import recipes as pr
@@ -204,3 +210,62 @@ for _name, _f, _sql in (
     ("d8_parse_check", pr.d8_parse_check, "SELECT _time, hostname, rule_id, file_name, match_count FROM m ORDER BY _time DESC, data LIMIT 100"),
 ):
     add(_name, _on_telemetry(_f), T + _sql)
+
+# --- scan, alerts, lifecycle, metrics, maintenance --------------------------------------------
+
+
+def _findings_of(spark: SparkSession, sf: str) -> DataFrame:
+    files = fx.corpus(spark, sf)
+    hits = scan_hits(files, fx.RULES)
+    return findings_agg(hits, eval_conditions(hits, fx.RULES, files), fx.RULES)
+
+
+add("f12_skip_breakdown", lambda spark, sf: skip_breakdown(classify_scope(fx.corpus(spark, sf))), "SELECT 'Skipped extension' AS reason, count(*) AS files FROM documents WHERE doc_id % 17 = 0 HAVING count(*) > 0")
+add("f9_scope_filter", lambda spark, sf: scope_filter(fx.corpus(spark, sf)).select("path", "file_size"), f"WITH corpus AS ({fx.duck(fx.CORPUS, 'documents')}) SELECT path, strlen(content) AS file_size FROM corpus WHERE path NOT LIKE '%.iso'")
+add("g1_scan_hits", lambda spark, sf: scan_hits(fx.corpus(spark, sf), fx.RULES).groupBy("rule", "string_id").agg(F.count("*").alias("hits")), f"WITH corpus AS ({fx.duck(fx.CORPUS, 'documents')}) " + " UNION ALL ".join(f"SELECT '{r.rule}' AS rule, '{p.id}' AS string_id, CAST(sum({_count(p.pattern, p.nocase)}) AS BIGINT) AS hits FROM corpus" for r in fx.RULES for p in r.strings))
+add("g6_findings", lambda spark, sf: _findings_of(spark, sf).select("path", "rule", "match_count", "severity", "truncated"), F_SQL + "SELECT path, rule, CAST(n AS BIGINT) AS match_count, sev AS severity, n > 50 AS truncated FROM r")
+add("g10_file_rows", lambda spark, sf: fx.file_findings(spark, sf).select("scan_id", "hostname", "os_type", "filename", "file_size", "file_sha256", "severity", "match_total", "rule_count", "event_timestamp_ms"), F_SQL + "SELECT scan_id, hostname, os_type, filename, file_size, file_sha256, severity, match_total, rule_count, event_timestamp_ms FROM f")
+add("g16_rule_rows", lambda spark, sf: to_v3(fx.file_findings(spark, sf)).select("filename", "rule", "match_count", "severity"), F_SQL + "SELECT path AS filename, rule, CAST(n AS BIGINT) AS match_count, upper(sev[1]) || sev[2:] AS severity FROM r")
+add("g17_detection_breakdown", lambda spark, sf: detection_breakdown(_findings_of(spark, sf)), F_SQL + ", b AS (SELECT rule, count(*) AS detections FROM r GROUP BY 1) SELECT rule, detections, (SELECT CAST(sum(detections) AS BIGINT) FROM b) AS total, (SELECT count(*) FROM b) AS unique_rules FROM b ORDER BY 2 DESC, 1 LIMIT 10")
+add("g18_evidence_unique", lambda spark, sf: evidence_unique(fx.file_findings(spark, sf)).select("file_sha256", "file_size", "copies"), F_SQL + "SELECT file_sha256, any_value(file_size) AS file_size, count(*) AS copies FROM f GROUP BY 1")
+add("a1_alerts", lambda spark, sf: build_alerts(_findings_of(spark, sf)).select("alert_name", "severity", "ip"), F_SQL + "SELECT 'YARA Match: ' || rule || ' | ' || split_part(path, '/', 5) || ' (#' || substr(sha1(path), 1, 8) || ') | Host: ' || hostname AS alert_name, CASE sev WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS severity, '127.0.0.1' AS ip FROM r")
+add("a5_alert_rollup", lambda spark, sf: rollup_alerts(cap_alerts(build_alerts(_findings_of(spark, sf)), 2)), F_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY path, rule) AS i FROM r) SELECT scan_id, hostname, rule, count(*) AS suppressed_files, CAST(sum(n) AS BIGINT) AS suppressed_hits FROM k WHERE i > 2 GROUP BY 1, 2, 3")
+add("m19_scan_rule_summary", lambda spark, sf: scan_rule_summary(fx.findings(spark, sf)), F_SQL + "SELECT scan_id, hostname, rule, max(event_timestamp_ms) AS event_timestamp_ms FROM r GROUP BY 1, 2, 3")
+add("l4_heartbeat_gaps", _on_scans(lambda s: heartbeat_gaps(s).select("event_id", "scan_id", F.round("gap_secs", 3).alias("gap_secs"), "late")), S + "SELECT event_id, scan_id, round((event_timestamp_ms - lag(event_timestamp_ms) OVER w) / 1000, 3) AS gap_secs, coalesce((event_timestamp_ms - lag(event_timestamp_ms) OVER w) / 1000 > 600, false) AS late FROM s WHERE status = 'running' WINDOW w AS (PARTITION BY scan_id ORDER BY event_timestamp_ms)")
+add("l5_final_metrics", _on_scans(lambda s: final_metrics(latest_scan_state(s)).select("scan_id", "detection_rate", "skip_rate", "path_deduplication_ratio")), S + "SELECT scan_id, CASE WHEN files_scanned > 0 THEN round(detections / files_scanned, 6) ELSE 0.0 END AS detection_rate, CASE WHEN files_scanned + files_skipped > 0 THEN round(files_skipped / (files_scanned + files_skipped), 6) ELSE 0.0 END AS skip_rate, CASE WHEN files_scanned > 0 THEN 1.0 ELSE 0.0 END AS path_deduplication_ratio FROM l".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
+add("l10_worker_summary", lambda spark, sf: worker_summary(fx.scans(spark, sf).select(F.col("hostname").alias("worker_id"), F.col("files_scanned").alias("files"), F.col("files_skipped").alias("ms"), F.col("detections").alias("errors"))), S + "SELECT hostname AS worker_id, CAST(sum(files_scanned) AS BIGINT) AS files, round(sum(files_skipped) / sum(files_scanned), 6) AS mean_ms, round(sum(detections) * 100 / sum(files_scanned), 6) AS error_pct FROM s GROUP BY 1")
+add("p8_efficiency", _on_telemetry(lambda t: efficiency_metrics(t.where("type = 'system_resource_snapshot'")).select("hostname", "_time", "memory_efficiency", "cpu_efficiency", "io_intensity", "network_intensity")), T + "SELECT hostname, _time, 100 - CAST(sys_memory_used_percent AS DOUBLE) AS memory_efficiency, 100 - CAST(sys_cpu_percent AS DOUBLE) AS cpu_efficiency, round((CAST(proc_io_read_mb AS DOUBLE) + CAST(proc_io_write_mb AS DOUBLE)) / greatest(CAST(proc_memory_mb AS DOUBLE), 1.0), 6) AS io_intensity, round(CAST(net_total_mb AS DOUBLE) / greatest(CAST(proc_memory_mb AS DOUBLE), 1.0), 6) AS network_intensity FROM x")
+add("p10_resource_summary", _on_telemetry(lambda t: resource_summary(t.where("type = 'system_resource_snapshot'"), ("hostname",)).select("hostname", "snapshots", "min_cpu", "max_cpu", "avg_cpu", "current_cpu", "max_memory_mb")), T + "SELECT hostname, count(*) AS snapshots, min(CAST(proc_cpu_percent AS DOUBLE)) AS min_cpu, max(CAST(proc_cpu_percent AS DOUBLE)) AS max_cpu, round(avg(CAST(proc_cpu_percent AS DOUBLE)), 6) AS avg_cpu, arg_max(CAST(proc_cpu_percent AS DOUBLE), _time) AS current_cpu, max(CAST(proc_memory_mb AS DOUBLE)) AS max_memory_mb FROM x GROUP BY 1")
+add("p11_running_peaks", _on_telemetry(lambda t: performance_metrics(t.where("type = 'system_resource_snapshot'")).select("hostname", "_time", "peak_cpu", "peak_memory_mb")), T + "SELECT hostname, _time, max(CAST(proc_cpu_percent AS DOUBLE)) OVER w AS peak_cpu, max(CAST(proc_memory_mb AS DOUBLE)) OVER w AS peak_memory_mb FROM x WINDOW w AS (PARTITION BY hostname ORDER BY _time ROWS UNBOUNDED PRECEDING)")
+add("a7_resource_alerts", _on_telemetry(lambda t: resource_alerts(t.where("type = 'system_resource_snapshot'"))), T + ", v AS (SELECT hostname, _time, 'cpu' AS resource, CAST(sys_cpu_percent AS DOUBLE) AS value, CAST(90 AS DOUBLE) AS \"limit\" FROM x UNION ALL SELECT hostname, _time, 'memory', CAST(sys_memory_used_percent AS DOUBLE), CAST(85 AS DOUBLE) FROM x UNION ALL SELECT hostname, _time, 'disk', CAST(sys_disk_used_percent AS DOUBLE), CAST(95 AS DOUBLE) FROM x) SELECT * FROM v WHERE value > \"limit\"")
+add("a8_alerts_last_hour", lambda spark, sf: alert_count_last_hour(fx.alerts(spark, sf)).select("event_id", "alerts_last_hour"), f"WITH a AS ({fx.duck(fx.ALERTS, 'events', "event_type = 'error'")}) SELECT event_id, count(*) OVER (PARTITION BY hostname ORDER BY _time RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS alerts_last_hour FROM a")
+
+_N = (
+    f"WITH c AS ({fx.duck_catalog()}), p AS (SELECT *, regexp_extract(name, '^sigscan_(matches|scans)', 1) AS kind, CAST(regexp_extract(name, '_v([0-9]+)_', 1) AS INTEGER) AS version, nullif(regexp_extract(name, '_[0-9a-f]{{6}}_(20[0-9][0-9](0[1-9]|1[0-2]))$', 1), '') AS month, "
+    "nullif(regexp_extract(name, '_v[0-9]+_(.*?_[0-9a-f]{6})(_20[0-9]{4})?$', 1), '') AS host FROM c), n AS (SELECT *, host IS NULL AS scan_target, host IS NOT NULL AND month IS NULL AND kind = 'matches' AND version >= 4 AS overwrite, (2026 * 12 + 8) - (CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 5, 2) AS INTEGER)) AS age FROM p) "
+)
+_REASON = "CASE WHEN scan_target THEN 'scan_target' WHEN overwrite THEN 'overwrite' WHEN month IS NULL THEN 'not_rotated' WHEN age < 0 THEN 'future_month' WHEN age = 0 THEN 'current_month' WHEN age <= 6 THEN 'within_window' END"
+for _name, _f, _sql in (
+    ("m3_shards", lambda c: parse_shard(c).select("name", "kind", "version", "host", "month"), "SELECT name, kind, version, host, month FROM n WHERE NOT scan_target AND NOT overwrite"),
+    ("m4_names", lambda c: parse_names(c).select("name", "kind", "version", "host", "month", "scan_target", "overwrite"), "SELECT name, kind, version, host, month, scan_target, overwrite FROM n"),
+    ("m5_generations", lambda c: classify(c, 4).groupBy("generation").agg(F.count("*").alias("n")), "SELECT CASE WHEN version = 4 THEN 'current' WHEN version < 4 THEN 'legacy' ELSE 'newer' END AS generation, count(*) AS n FROM n GROUP BY 1"),
+    ("m8_newest", lambda c: c.select("name", newest_ms(F.col("newest_endpoint_ms"), F.col("newest_ingest_ms"), 1700040000000).alias("newest")), "SELECT name, greatest(CASE WHEN s IS NOT NULL AND newest_endpoint_ms > s + 300000 THEN NULL ELSE newest_endpoint_ms END, s) AS newest FROM (SELECT *, CASE WHEN newest_ingest_ms > 1700040000000 + 300000 THEN NULL ELSE newest_ingest_ms END AS s FROM c)"),
+    ("m23_retention", lambda c: select_rotated(c, 6, 2026, 8).select("name", "selected", "reason"), f"SELECT name, {_REASON} IS NULL AS selected, {_REASON} AS reason FROM n"),
+    ("m28_inventory", lambda c: inventory(c, 4, 2026, 8).groupBy("state").agg(F.count("*").alias("n"), F.max("age_months").alias("oldest")), "SELECT CASE WHEN scan_target THEN 'consolidated' WHEN overwrite THEN 'overwrite' WHEN month IS NOT NULL THEN 'rotated' WHEN EXISTS (SELECT 1 FROM n y WHERE regexp_matches(y.name, '_[0-9]{6}$') AND y.name[:-8] = n.name) THEN 'frozen' ELSE 'not_rotated' END AS state, count(*) AS n, max(age) AS oldest FROM n GROUP BY 1"),
+    ("m1_suffixes", lambda c: c.select("custkey", shard_suffix("name").alias("suffix")), "SELECT custkey, substr(name, 1, 32) || '_' || substr(sha1(name), 1, 6) AS suffix FROM c"),
+):
+    add(_name, lambda spark, sf, f=_f: f(fx.catalog(spark, sf)), _N + _sql)
+
+
+def _gate(spark: SparkSession, sf: str) -> DataFrame:
+    scans = fx.scans(spark, sf).withColumn("shard", F.concat("hostname", F.lit("_"), F.col("os_type")))
+    stats = scan_stats(scans).join(scans.select("shard", "scan_id", "hostname").distinct(), ["shard", "scan_id"])
+    return gate(stats, terminal_map(scans), _NOW)
+
+
+_NOW = 1706745600000
+add(
+    "m10_gate",
+    _gate,
+    S + f", z AS (SELECT hostname || '_' || os_type AS shard, scan_id, max(event_timestamp_ms) AS ep FROM s GROUP BY 1, 2), u AS (SELECT scan_id, min(status) AS status FROM l GROUP BY 1), v AS (SELECT z.*, CASE WHEN status NOT IN ('completed', 'cancelled', 'failed') AND {_NOW} - ep < 86400000 AND {_NOW} - ep < 604800000 THEN 'host_not_terminal' WHEN {_NOW} - ep < 900000 THEN 'within_quiet_period' END AS reason FROM z JOIN u USING (scan_id)) SELECT scan_id, arg_min(reason, CASE WHEN reason IS NOT NULL THEN shard END) AS reason FROM v GROUP BY 1",
+)
