@@ -204,7 +204,7 @@ def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, elig
     states = {r["scan_id"]: (r["state"], r["source_rows"]) for r in reverify(before).collect()}
     failed = {i: "row_ceiling_exceeded" for i, (_, n) in states.items() if n > ceiling}
     failed |= {i: s for i, (s, _) in states.items() if s == "count_mismatch" and i not in failed}
-    write = [i for i, (s, _) in states.items() if s == "write" and i not in failed]
+    write = [i for i, (s, _) in sorted(states.items()) if s == "write" and i not in failed]
     done = [i for i, (s, _) in states.items() if s == "verified" and i not in failed]
     if dry_run:
         return Compaction(write, done, failed, stopped, True)

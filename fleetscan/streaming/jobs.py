@@ -42,7 +42,7 @@ def stream_resource_alerts(parsed: DataFrame) -> DataFrame:
 
 class AlertCap(StatefulProcessor):
     """Passes the first ``cap`` alerts of a scan; counts the others by rule, and tells their
-    sums when the scan has been silent for ``quiet_ms``."""
+    sums when the scan has been silent for ``quiet_ms`` of event time."""
 
     def __init__(self, cap: int = 500, quiet_ms: int = 600_000):
         self.cap, self.quiet_ms = cap, quiet_ms
@@ -55,9 +55,11 @@ class AlertCap(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         sent = self.sent.get()[0] if self.sent.exists() else 0
+        last = self.timer.get()[0] - self.quiet_ms if self.timer.exists() else 0
         out = []
         for pdf in rows:
-            for r in pdf.sort_values(["_time", "path", "rule"]).itertuples():
+            for r in pdf.sort_values(["seen", "path", "rule"]).itertuples():
+                last = max(last, int(r.seen.timestamp() * 1000))
                 if sent < self.cap:
                     sent += 1
                     out.append((key[0], r.rule, r.path, 1, "alert"))
@@ -67,7 +69,7 @@ class AlertCap(StatefulProcessor):
         self.sent.update((sent,))
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
-        at = timerValues.getCurrentWatermarkInMs() + self.quiet_ms
+        at = last + self.quiet_ms
         self.handle.registerTimer(at)
         self.timer.update((at,))
         yield pd.DataFrame(out, columns=["scan_id", "rule", "path", "n", "kind"])
@@ -87,7 +89,8 @@ ALERT_OUT = "scan_id string, rule string, path string, n bigint, kind string"
 
 def cap_stream(alerts: DataFrame, cap: int = 500, quiet_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
     """Alerts (scan_id, rule, path, _time) capped for each scan, with a rollup at its end."""
-    timed = alerts.withWatermark("_time", late)
+    # Names in the state's rows mustn't begin with an underscore.
+    timed = alerts.select("scan_id", "rule", "path", F.col("_time").alias("seen")).withWatermark("seen", late)
     return timed.groupBy("scan_id").transformWithStateInPandas(AlertCap(cap, quiet_ms), ALERT_OUT, "Append", "EventTime")
 
 
@@ -128,7 +131,7 @@ class StaleScan(StatefulProcessor):
 
 def stale_scans(lifecycle: DataFrame, after_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
     """Scans (scan_id, status, last_ms) that went silent without an end."""
-    timed = lifecycle.withColumn("_time", F.timestamp_millis("event_timestamp_ms")).withWatermark("_time", late)
+    timed = lifecycle.select("scan_id", "status", "event_timestamp_ms", F.timestamp_millis("event_timestamp_ms").alias("seen")).withWatermark("seen", late)
     return timed.groupBy("scan_id").transformWithStateInPandas(StaleScan(after_ms), "scan_id string, status string, last_ms bigint", "Append", "EventTime")
 
 
