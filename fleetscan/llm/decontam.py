@@ -168,7 +168,7 @@ def _merged(parts: list[DataFrame], docs: DataFrame, text: str, key: str) -> Dat
 
     merged = found.groupBy(key, "__hash").agg(F.max("n_words").alias("n_words"), F.array_sort(ranges).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = merged.withColumn("r", F.aggregate("r", F.coalesce(empty, F.array().cast("array<struct<a:bigint,b:bigint,c:bigint,d:bigint>>")), grow))
-    flat = merged.select(F.col(key).alias("__key"), "__hash", "n_words", *(F.transform("r", lambda x, f=f: x[f]).alias(n) for f, n in zip("abcd", SPANS[1:5], strict=True)), "items")
+    flat = merged.select(F.col(key).alias("__key"), "__hash", "n_words", *(F.col(f"r.{f}").alias(n) for f, n in zip("abcd", SPANS[1:5], strict=True)), "items")
     rows = docs.select(key, F.xxhash64(text).alias("__row"))
     joined = rows.join(flat, rows[key].eqNullSafe(flat["__key"]) & (rows["__row"] == flat["__hash"]))
     return _result(joined.select(key, *SPANS), key)
