@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .operators.alerts import alert_count_last_hour, build_alerts, cap_alerts, resource_alerts, rollup_alerts
-from .operators.findings import detection_breakdown, evidence_unique, findings_agg, to_v3
-from .operators.lifecycle import final_metrics, heartbeat_gaps, latest_scan_state, worker_summary
-from .operators.maintenance import classify, gate, inventory, newest_ms, parse_names, parse_shard, scan_rule_summary, scan_stats, select_rotated, shard_suffix, terminal_map
+from .operators.alerts import alert_count_last_hour, build_alerts, cap_alerts, file_alert_events, resource_alerts, rollup_alerts
+from .operators.findings import detection_breakdown, evidence_unique, file_identity, findings_agg, match_events, rule_report, to_v3
+from .operators.lifecycle import delivery_shortfall, final_metrics, final_report, heartbeat_gaps, latest_scan_state, time_estimates, verify_host, worker_summary
+from .operators.maintenance import classify, filter_recent, gate, group_shards_by_scan, inventory, newest_ms, parse_names, parse_shard, plan, scan_rule_summary, scan_stats, select_legacy, select_rotated, shard_suffix, stale_scan_ids, summary_plan, target_name, terminal_map
 from .operators.scan import eval_conditions, scan_hits
-from .operators.scope import classify_scope, scope_filter, skip_breakdown
-from .operators.telemetry import BLOCKS, efficiency_metrics, parse_telemetry, performance_metrics, resource_summary
+from .operators.scope import classify_scope, dedupe_real_path, scope_filter, skip_breakdown, target_coverage, target_stats
+from .operators.telemetry import BLOCKS, efficiency_metrics, parse_telemetry, performance_metrics, resource_summary, resource_trends, throttle_reports
 from .plans import findings as pf
 from .plans import lifecycle as pl
 from .plans import recipes as pr
@@ -222,7 +222,7 @@ def _findings_of(spark: SparkSession, sf: str) -> DataFrame:
 
 add("f12_skip_breakdown", lambda spark, sf: skip_breakdown(classify_scope(fx.corpus(spark, sf))), "SELECT 'Skipped extension' AS reason, count(*) AS files FROM documents WHERE doc_id % 17 = 0 HAVING count(*) > 0")
 add("f9_scope_filter", lambda spark, sf: scope_filter(fx.corpus(spark, sf)).select("path", "file_size"), f"WITH corpus AS ({fx.duck(fx.CORPUS, 'documents')}) SELECT path, strlen(content) AS file_size FROM corpus WHERE path NOT LIKE '%.iso'")
-add("g1_scan_hits", lambda spark, sf: scan_hits(fx.corpus(spark, sf), fx.RULES).groupBy("rule", "string_id").agg(F.count("*").alias("hits")), f"WITH corpus AS ({fx.duck(fx.CORPUS, 'documents')}) " + " UNION ALL ".join(f"SELECT '{r.rule}' AS rule, '{p.id}' AS string_id, CAST(sum({_count(p.pattern, p.nocase)}) AS BIGINT) AS hits FROM corpus" for r in fx.RULES for p in r.strings))
+add("g1_scan_hits", lambda spark, sf: scan_hits(fx.corpus(spark, sf), fx.RULES).groupBy("rule", "string_id").agg(F.count("*").alias("hits")), f"WITH corpus AS ({fx.duck(fx.CORPUS, 'documents')}) " + " UNION ALL ".join(f"SELECT '{r.rule}' AS rule, '{p.id}' AS string_id, CAST(sum({_count(p.pattern, p.nocase)}) AS BIGINT) AS hits FROM corpus HAVING sum({_count(p.pattern, p.nocase)}) > 0" for r in fx.RULES for p in r.strings))
 add("g6_findings", lambda spark, sf: _findings_of(spark, sf).select("path", "rule", "match_count", "severity", "truncated"), F_SQL + "SELECT path, rule, CAST(n AS BIGINT) AS match_count, sev AS severity, n > 50 AS truncated FROM r")
 add("g10_file_rows", lambda spark, sf: fx.file_findings(spark, sf).select("scan_id", "hostname", "os_type", "filename", "file_size", "file_sha256", "severity", "match_total", "rule_count", "event_timestamp_ms"), F_SQL + "SELECT scan_id, hostname, os_type, filename, file_size, file_sha256, severity, match_total, rule_count, event_timestamp_ms FROM f")
 add("g16_rule_rows", lambda spark, sf: to_v3(fx.file_findings(spark, sf)).select("filename", "rule", "match_count", "severity"), F_SQL + "SELECT path AS filename, rule, CAST(n AS BIGINT) AS match_count, upper(sev[1]) || sev[2:] AS severity FROM r")
@@ -251,7 +251,7 @@ for _name, _f, _sql in (
     ("m5_generations", lambda c: classify(c, 4).groupBy("generation").agg(F.count("*").alias("n")), "SELECT CASE WHEN version = 4 THEN 'current' WHEN version < 4 THEN 'legacy' ELSE 'newer' END AS generation, count(*) AS n FROM n GROUP BY 1"),
     ("m8_newest", lambda c: c.select("name", newest_ms(F.col("newest_endpoint_ms"), F.col("newest_ingest_ms"), 1700040000000).alias("newest")), "SELECT name, greatest(CASE WHEN s IS NOT NULL AND newest_endpoint_ms > s + 300000 THEN NULL ELSE newest_endpoint_ms END, s) AS newest FROM (SELECT *, CASE WHEN newest_ingest_ms > 1700040000000 + 300000 THEN NULL ELSE newest_ingest_ms END AS s FROM c)"),
     ("m23_retention", lambda c: select_rotated(c, 6, 2026, 8).select("name", "selected", "reason"), f"SELECT name, {_REASON} IS NULL AS selected, {_REASON} AS reason FROM n"),
-    ("m28_inventory", lambda c: inventory(c, 4, 2026, 8).groupBy("state").agg(F.count("*").alias("n"), F.max("age_months").alias("oldest")), "SELECT CASE WHEN scan_target THEN 'consolidated' WHEN overwrite THEN 'overwrite' WHEN month IS NOT NULL THEN 'rotated' WHEN EXISTS (SELECT 1 FROM n y WHERE regexp_matches(y.name, '_[0-9]{6}$') AND y.name[:-8] = n.name) THEN 'frozen' ELSE 'not_rotated' END AS state, count(*) AS n, max(age) AS oldest FROM n GROUP BY 1"),
+    ("m28_inventory", lambda c: inventory(c, 4, 2026, 8).groupBy("state").agg(F.count("*").alias("n"), F.coalesce(F.max("age_months"), F.lit(-1)).alias("oldest")), "SELECT CASE WHEN scan_target THEN 'consolidated' WHEN overwrite THEN 'overwrite' WHEN month IS NOT NULL THEN 'rotated' WHEN EXISTS (SELECT 1 FROM n y WHERE regexp_matches(y.name, '_[0-9]{6}$') AND y.name[:-8] = n.name) THEN 'frozen' ELSE 'not_rotated' END AS state, count(*) AS n, coalesce(max(age), -1) AS oldest FROM n GROUP BY 1"),
     ("m1_suffixes", lambda c: c.select("custkey", shard_suffix("name").alias("suffix")), "SELECT custkey, substr(name, 1, 32) || '_' || substr(sha1(name), 1, 6) AS suffix FROM c"),
 ):
     add(_name, lambda spark, sf, f=_f: f(fx.catalog(spark, sf)), _N + _sql)
@@ -269,3 +269,52 @@ add(
     _gate,
     S + f", z AS (SELECT hostname || '_' || os_type AS shard, scan_id, max(event_timestamp_ms) AS ep FROM s GROUP BY 1, 2), u AS (SELECT scan_id, min(status) AS status FROM l GROUP BY 1), v AS (SELECT z.*, CASE WHEN status NOT IN ('completed', 'cancelled', 'failed') AND {_NOW} - ep < 86400000 AND {_NOW} - ep < 604800000 THEN 'host_not_terminal' WHEN {_NOW} - ep < 900000 THEN 'within_quiet_period' END AS reason FROM z JOIN u USING (scan_id)) SELECT scan_id, arg_min(reason, CASE WHEN reason IS NOT NULL THEN shard END) AS reason FROM v GROUP BY 1",
 )
+
+
+# --- more operators ---------------------------------------------------------------------------
+
+_C = f"WITH corpus AS ({fx.duck(fx.CORPUS, 'documents')}) "
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    hosts = fx.corpus(spark, sf).select("hostname").distinct()
+    return target_coverage(hosts.select("hostname", F.explode(F.array(F.concat(F.lit("/data/"), "hostname"), F.lit("/none"), F.lit("rel"))).alias("target")), fx.corpus(spark, sf))
+
+
+add("f13_target_coverage", _targets, _C + ", t AS (SELECT hostname, unnest(['/data/' || hostname, '/none', 'rel']) AS target FROM (SELECT DISTINCT hostname FROM corpus)) SELECT t.hostname, target, count(path) AS files, CASE WHEN target = 'rel' THEN 'invalid' WHEN count(path) = 0 THEN 'empty' ELSE 'covered' END AS status FROM t LEFT JOIN corpus c ON c.hostname = t.hostname AND starts_with(path, target || '/') GROUP BY 1, 2")
+add("f14_target_stats", lambda spark, sf: target_stats(fx.corpus(spark, sf).withColumn("target", F.col("os_type")).withColumn("scan_secs", F.lit(7.0))), _C + "SELECT hostname, os_type AS target, count(*) AS files_found, CAST(7 AS DOUBLE) AS scan_secs, round(count(*) / 7.0::DOUBLE, 2) AS files_per_second FROM corpus GROUP BY 1, 2")
+add("f10_real_paths", lambda spark, sf: dedupe_real_path(fx.corpus(spark, sf).withColumn("real_path", F.sha2(F.col("content").cast("binary"), 256))).groupBy("hostname").agg(F.count("*").alias("files")), _C + "SELECT hostname, count(DISTINCT sha256(content)) AS files FROM corpus GROUP BY 1")
+add("g12_file_identity", lambda spark, sf: file_identity(fx.corpus(spark, sf)).select("path", "file_size", "file_sha256"), _C + "SELECT path, strlen(content) AS file_size, sha256(content) AS file_sha256 FROM corpus")
+add("g15_match_events", lambda spark, sf: match_events(_findings_of(spark, sf)).select("hostname", "level", F.get_json_object("data", "$.filename").alias("filename"), F.get_json_object("data", "$.rule").alias("rule"), F.get_json_object("data", "$.match_count").alias("match_count")), F_SQL + "SELECT hostname, sev AS level, path AS filename, rule, CAST(n AS VARCHAR) AS match_count FROM r")
+add("g19_rule_report", lambda spark, sf: rule_report(_findings_of(spark, sf)).select("scan_id", "rule", "files", "hits", "dropped_lines"), F_SQL + "SELECT scan_id, rule, count(*) AS files, CAST(sum(n) AS BIGINT) AS hits, CAST(0 AS BIGINT) AS dropped_lines FROM r GROUP BY 1, 2")
+add("a6_file_alert_events", lambda spark, sf: file_alert_events(_findings_of(spark, sf)).select("path", F.array_join("rules", ",").alias("rules"), "hits"), F_SQL + "SELECT path, string_agg(rule, ',' ORDER BY rule) AS rules, CAST(sum(n) AS BIGINT) AS hits FROM r GROUP BY path, scan_id")
+add("l6_final_report", _on_scans(lambda s: final_report(latest_scan_state(s)).select("scan_id", "compile_success_pct", "efficiency")), S + "SELECT scan_id, round(round(valid_rules / (valid_rules + failed_rules), 12) * 100, 2) AS compile_success_pct, round(greatest(0.0, 100 - (CASE WHEN files_scanned + files_skipped > 0 THEN round(files_skipped / (files_scanned + files_skipped), 12) ELSE 0 END * 20 + round(failed_rules / (valid_rules + failed_rules), 12) * 30)), 2) AS efficiency FROM l")
+add(
+    "l7_delivery_shortfall",
+    lambda spark, sf: delivery_shortfall(fx.scans(spark, sf).select("scan_id", F.col("os_type").alias("channel"), F.col("files_skipped").alias("n")), fx.scans(spark, sf).where("event_id % 3 = 0").select("scan_id", F.col("os_type").alias("channel"), F.col("files_skipped").alias("n"))).select("scan_id", "channel", "queued", "landed", "lost"),
+    S + "SELECT scan_id, os_type AS channel, CAST(sum(files_skipped) AS BIGINT) AS queued, CAST(coalesce(sum(files_skipped) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS landed, CAST(sum(files_skipped) - coalesce(sum(files_skipped) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS lost FROM s GROUP BY 1, 2",
+)
+add(
+    "l8_time_estimates",
+    _on_scans(lambda s: time_estimates(s.select("event_id", "scan_id", F.col("files_scanned").alias("processed"), (F.col("files_scanned") + F.col("files_skipped")).alias("total"), "elapsed_secs", "event_timestamp_ms")).select("event_id", "rate", "files_remaining", (F.round("recent_rate", 4) + F.lit(0.0)).alias("recent_rate"))),
+    S + "SELECT event_id, CASE WHEN elapsed_secs > 0 THEN round(files_scanned / elapsed_secs, 6) ELSE 0.0 END AS rate, files_skipped AS files_remaining, CASE WHEN event_timestamp_ms > first_value(event_timestamp_ms) OVER w THEN round(round((files_scanned - first_value(files_scanned) OVER w) / ((event_timestamp_ms - first_value(event_timestamp_ms) OVER w) / 1000), 6), 4) + CAST(0 AS DOUBLE) ELSE 0.0 END AS recent_rate FROM s WINDOW w AS (PARTITION BY scan_id ORDER BY event_timestamp_ms ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+)
+add("l12_verify_host", _on_scans(lambda s: verify_host(s.select("event_id", "scan_id", "hostname", "event_timestamp_ms"), "host_5")), S + "SELECT event_id, scan_id, hostname, event_timestamp_ms FROM s WHERE hostname = 'host_5' ORDER BY event_timestamp_ms DESC, scan_id LIMIT 20")
+add(
+    "p9_resource_trends",
+    _on_telemetry(lambda t: resource_trends(t.where("type = 'system_resource_snapshot'")).select("hostname", "_time", "cpu_trend", "memory_trend", "data_points", F.round("cpu_avg", 4).alias("cpu_avg"))),
+    T + ", z AS (SELECT hostname, _time, CAST(sys_cpu_percent AS DOUBLE) AS c, CAST(sys_memory_used_percent AS DOUBLE) AS m FROM x), o AS (SELECT *, count(*) OVER w AS k, first_value(c) OVER w AS c0, first_value(m) OVER w AS m0, avg(c) OVER w AS ca FROM z WINDOW w AS (PARTITION BY hostname ORDER BY _time ROWS BETWEEN 359 PRECEDING AND CURRENT ROW)) SELECT hostname, _time, CASE WHEN k < 2 THEN NULL WHEN k >= 5 AND (c - c0) / k > 2 THEN 'increasing' WHEN k >= 5 AND (c - c0) / k < -2 THEN 'decreasing' ELSE 'stable' END AS cpu_trend, CASE WHEN k < 2 THEN NULL WHEN k >= 5 AND (m - m0) / k > 5 THEN 'increasing' WHEN k >= 5 AND (m - m0) / k < -5 THEN 'decreasing' ELSE 'stable' END AS memory_trend, CASE WHEN k >= 2 THEN k ELSE 0 END AS data_points, CASE WHEN k >= 2 THEN round(round(ca, 6), 4) END AS cpu_avg FROM o",
+)
+add("p12_throttled_reports", _on_telemetry(lambda t: throttle_reports(t.where("type = 'performance' AND worker_id IS NOT NULL"), 3600).select("hostname", "worker_id", "_time")), T + "SELECT hostname, worker_id, _time FROM (SELECT *, row_number() OVER (PARTITION BY hostname, worker_id, epoch_us(_time) // 3600000000 ORDER BY _time) AS rn FROM w) WHERE rn = 1")
+add("d10_unfinished_runs", lambda spark, sf: pr.d10_unfinished_runs(fx.runs(spark, sf).withColumn("status", F.when(F.col("status") == "crashed", "started").otherwise(F.col("status")))), f"WITH r AS (SELECT run_ts_ms, CASE status WHEN 'crashed' THEN 'started' ELSE status END AS status FROM ({fx.duck(fx.RUNS, 'orders')})), q AS (SELECT *, lead(status) OVER (ORDER BY run_ts_ms, status) AS following FROM r) SELECT run_ts_ms, status FROM q WHERE status = 'started' AND (following IS NULL OR following = 'started')")
+add("d12_run_history", lambda spark, sf: pr.d12_cleanup_history(fx.runs(spark, sf).select("run_ts_ms", "status").distinct()), f"SELECT run_ts_ms, status, make_timestamp(run_ts_ms * 1000) AS run_time FROM (SELECT DISTINCT run_ts_ms, status FROM ({fx.duck(fx.RUNS, 'orders')})) ORDER BY run_ts_ms DESC, status LIMIT 20")
+add("d17_v3_top_rules", lambda spark, sf: pr.d17_v3_top_rules(to_v3(fx.file_findings(spark, sf))), F_SQL + "SELECT rule, CAST(sum(n) AS BIGINT) AS hits FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+add("m2_targets", _on_scans(lambda s: s.select(target_name("matches", 4, "scan_id").alias("target")).distinct()), S + "SELECT DISTINCT 'sigscan_matches_v4_' || scan_id AS target FROM s")
+add("m6_scan_stats", _on_scans(lambda s: scan_stats(s.withColumn("shard", F.col("hostname"))).select("shard", "scan_id", "rows", "newest_endpoint_ms")), S + "SELECT hostname AS shard, scan_id, count(*) AS rows, max(event_timestamp_ms) AS newest_endpoint_ms FROM s GROUP BY 1, 2")
+add("m9_terminals", _on_scans(lambda s: terminal_map(s)), S + "SELECT scan_id, hostname, status IN ('completed', 'cancelled', 'failed') AS terminal FROM (SELECT scan_id, hostname, arg_max(status, (event_timestamp_ms, status)) AS status FROM s GROUP BY 1, 2)")
+add("m11_plan", _on_scans(lambda s: plan(s.groupBy("scan_id").agg(F.count("*").alias("source_rows"), F.count(F.when(F.col("event_id") % 97 > 0, 1)).alias("target_rows")), 70)), S + "SELECT scan_id, count(*) AS source_rows, count(*) FILTER (event_id % 97 > 0) AS target_rows, CASE WHEN count(*) > 70 THEN 'row_ceiling_exceeded' WHEN count(*) = count(*) FILTER (event_id % 97 > 0) THEN 'verified' ELSE 'count_mismatch' END AS state FROM s GROUP BY 1")
+add("m20_summary_plan", _on_scans(lambda s: summary_plan(s.groupBy("scan_id").agg((F.max("event_id") % 2 == 0).alias("terminal"), F.max("event_timestamp_ms").alias("newest_ms"), F.count("*").alias("expected_rows"), F.count(F.when(F.col("event_id") % 3 == 0, 1)).alias("summary_rows")), _NOW).select("scan_id", "action")), S + f"SELECT scan_id, CASE WHEN NOT (max(event_id) % 2 = 0 OR {_NOW} - max(event_timestamp_ms) >= 86400000) THEN 'wait' WHEN count(*) FILTER (event_id % 3 = 0) = count(*) THEN 'skip' WHEN count(*) FILTER (event_id % 3 = 0) > 0 THEN 'fail' ELSE 'write' END AS action FROM s GROUP BY 1")
+add("m24_recent_rail", lambda spark, sf: filter_recent(select_rotated(fx.catalog(spark, sf), 6, 2026, 8), 1700086400000 + 40 * 60000, 24).select("name", "selected", "reason"), _N + f", h AS (SELECT *, {_REASON} AS why, CASE WHEN newest_endpoint_ms IS NOT NULL AND newest_ingest_ms > 1700088800000 + 300000 THEN NULL ELSE newest_ingest_ms END AS srv FROM n), k AS (SELECT *, 1700088800000 - greatest(CASE WHEN srv IS NOT NULL AND newest_endpoint_ms > srv + 300000 THEN NULL ELSE newest_endpoint_ms END, srv) < 86400000 AS fresh FROM h) SELECT name, why IS NULL AND NOT fresh AS selected, CASE WHEN why IS NULL AND fresh THEN 'recently_written' ELSE why END AS reason FROM k")
+add("m26_legacy", lambda spark, sf: select_legacy(fx.catalog(spark, sf), 5, 6, 2026, 8).select("name", "selected", "reason"), _N + f"SELECT name, CASE WHEN version = 5 THEN false ELSE {_REASON} IS NULL END AS selected, CASE WHEN version = 5 THEN 'current_schema' ELSE {_REASON} END AS reason FROM n")
+add("m30_stale_scans", _on_scans(lambda s: stale_scan_ids(s, "host_3", "scan_3")), S + "SELECT DISTINCT scan_id FROM s WHERE hostname = 'host_3' AND scan_id <> 'scan_3'")
+add("m31_shards_by_scan", _on_scans(lambda s: group_shards_by_scan(s.withColumn("shard", F.col("os_type")))), S + "SELECT scan_id, os_type AS shard, count(*) AS rows FROM s GROUP BY 1, 2")
