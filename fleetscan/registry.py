@@ -296,8 +296,8 @@ add(
 )
 add(
     "l8_time_estimates",
-    _on_scans(lambda s: time_estimates(s.select("event_id", "scan_id", F.col("files_scanned").alias("processed"), (F.col("files_scanned") + F.col("files_skipped")).alias("total"), "elapsed_secs", "event_timestamp_ms")).select("event_id", "rate", "files_remaining", (F.round("recent_rate", 4) + F.lit(0.0)).alias("recent_rate"))),
-    S + "SELECT event_id, CASE WHEN elapsed_secs > 0 THEN round(files_scanned / elapsed_secs, 6) ELSE 0.0 END AS rate, files_skipped AS files_remaining, CASE WHEN event_timestamp_ms > first_value(event_timestamp_ms) OVER w THEN round(round((files_scanned - first_value(files_scanned) OVER w) / ((event_timestamp_ms - first_value(event_timestamp_ms) OVER w) / 1000), 6), 4) + CAST(0 AS DOUBLE) ELSE 0.0 END AS recent_rate FROM s WINDOW w AS (PARTITION BY scan_id ORDER BY event_timestamp_ms ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+    _on_scans(lambda s: time_estimates(s.select("event_id", "scan_id", F.col("files_scanned").alias("processed"), (F.col("files_scanned") + F.col("files_skipped")).alias("total"), "elapsed_secs", "event_timestamp_ms")).select("event_id", "rate", "files_remaining", (F.col("recent_rate") + F.lit(0.0)).alias("recent_rate"))),
+    S + "SELECT event_id, CASE WHEN elapsed_secs > 0 THEN round(files_scanned / elapsed_secs, 6) ELSE 0.0 END AS rate, files_skipped AS files_remaining, CASE WHEN event_timestamp_ms > first_value(event_timestamp_ms) OVER w THEN round((files_scanned - first_value(files_scanned) OVER w) / ((event_timestamp_ms - first_value(event_timestamp_ms) OVER w) / 1000), 6) + CAST(0 AS DOUBLE) ELSE 0.0 END AS recent_rate FROM s WINDOW w AS (PARTITION BY scan_id ORDER BY event_timestamp_ms ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
 )
 add("l12_verify_host", _on_scans(lambda s: verify_host(s.select("event_id", "scan_id", "hostname", "event_timestamp_ms"), "host_5")), S + "SELECT event_id, scan_id, hostname, event_timestamp_ms FROM s WHERE hostname = 'host_5' ORDER BY event_timestamp_ms DESC, scan_id LIMIT 20")
 add(
