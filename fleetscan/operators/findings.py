@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import RULE_HIT, severity_rank
-from .scan import KEYS, Rule, eval_conditions, scan_hits
+from .scan import KEYS, Rule, decide, file_variables, scan_hits
 
 SAMPLE_CAP = 50
 
@@ -78,11 +78,62 @@ def file_rows(findings: DataFrame, corpus: DataFrame, os_type: str = "os_type",
     return files.join(identity, list(KEYS)).select("scan_id", "hostname", "os_type", F.col("path").alias("filename"), "file_size", "file_sha256", label.alias("severity"), "match_total", "rule_count", "truncated", "event_timestamp_ms", "rules")
 
 
+CARRIED = ("os_type", "event_timestamp_ms")
+_SAMPLE = "array<struct<i:int,offset:bigint,string_id:string,matched:string>>"
+
+
+def gathered(hits: DataFrame, sample_cap: int = SAMPLE_CAP) -> DataFrame:
+    """A row for each (file, rule) with hits: match_count, the census, first offsets and the
+    sample, with the carried columns. Hits are dealt by file once, and all is worked out
+    in that partitioning."""
+    by_rule = Window.partitionBy(*KEYS, "rule")
+    by_id = Window.partitionBy(*KEYS, "rule", "string_id")
+    rows = hits.repartition(*KEYS).withColumn("__i", F.row_number().over(by_rule.orderBy("offset", "string_id", "matched")))
+    rows = rows.withColumn("__c", F.count("*").over(by_id)).withColumn("__f", F.min("offset").over(by_id))
+    one = F.struct(F.col("__i").alias("i"), "offset", "string_id", "matched")
+    kept = F.when(F.col("__i") <= sample_cap, one) if sample_cap else one
+    carried = [F.first(c).alias(c) for c in (*CARRIED, "file_size", "file_sha256")]
+    out = rows.groupBy(*KEYS, "rule").agg(*carried, F.count("*").alias("match_count"), F.sort_array(F.collect_set(F.struct(F.col("string_id").alias("id"), F.col("__c").alias("count"), F.col("__f").alias("first")))).alias("ids"), F.sort_array(F.collect_list(kept)).alias("sample_rows"))
+    return out.withColumns({"n": F.map_from_entries(F.transform("ids", lambda s: F.struct(s["id"], s["count"]))), "first": F.map_from_entries(F.transform("ids", lambda s: F.struct(s["id"], s["first"])))})
+
+
 def scan(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) -> DataFrame:
     """The whole scan: file rows of a corpus (scan_id, hostname, os_type, path, content,
-    event_timestamp_ms)."""
-    hits = scan_hits(corpus, rules)
-    return file_rows(findings_agg(hits, eval_conditions(hits, rules, corpus), rules, sample_cap), corpus)
+    event_timestamp_ms). Equal to :func:`file_rows` of :func:`findings_agg`, in one pass over
+    the contents and one shuffle of the hits."""
+    with_strings, without = [r for r in rules if r.strings], [r for r in rules if not r.strings]
+    cols = [*KEYS, *CARRIED, "file_size", "file_sha256", "rule", "match_count"]
+    parts = []
+    if with_strings:
+        got = gathered(scan_hits(corpus, with_strings, CARRIED, identity=True), sample_cap)
+        fired = decide(got.select("*", *file_variables()), with_strings)
+        parts.append(fired.select(*cols, F.transform("ids", lambda s: F.struct(s["id"].alias("id"), s["count"].alias("count"))).alias("string_ids"), "sample_rows"))
+    if without:
+        body = F.col("content").cast("binary")
+        files = corpus.select(*KEYS, *CARRIED, F.coalesce(F.octet_length(body).cast("bigint"), F.lit(-1)).alias("file_size"), "content", *file_variables(), F.explode(F.array(*(F.lit(r.rule) for r in without))).alias("rule"), F.expr("map('', 0L)").alias("n"), F.expr("map('', 0L)").alias("first"))
+        alone = decide(files, without).withColumn("file_sha256", F.sha2(body, 256)).withColumn("match_count", F.expr("1L"))
+        parts.append(alone.select(*cols, F.array().cast("array<struct<id:string,count:bigint>>").alias("string_ids"), F.array().cast(_SAMPLE).alias("sample_rows")))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    severities = F.create_map(*(F.lit(x) for r in rules for x in (r.rule, r.severity)))
+    sample = F.col("sample_rows")
+    one = F.struct(
+        "rule",
+        "match_count",
+        F.transform(sample, lambda s: s["offset"].cast("string")).alias("offsets"),
+        F.array_distinct(F.transform(sample, lambda s: s["matched"])).alias("strings"),
+        "string_ids",
+        ((F.size(sample) > 0) & (F.col("match_count") > F.size(sample))).alias("truncated"),
+        F.try_element_at(severities, F.col("rule")).alias("severity"),
+    ).cast(RULE_HIT)
+    files = found.select(*KEYS, *CARRIED, "file_size", "file_sha256", one.alias("r")).groupBy(*KEYS).agg(
+        *(F.first(c).alias(c) for c in (*CARRIED, "file_size", "file_sha256")),
+        F.sort_array(F.collect_list("r")).alias("rules"),
+        F.count("*").alias("rule_count"),
+        F.sum("r.match_count").alias("match_total"),
+        F.bool_or("r.truncated").alias("truncated"),
+        max_severity("r.severity").alias("severity"),
+    )
+    return files.select("scan_id", "hostname", "os_type", F.col("path").alias("filename"), "file_size", "file_sha256", F.initcap("severity").alias("severity"), "match_total", "rule_count", "truncated", "event_timestamp_ms", "rules")
 
 
 def rule_only_detail(findings: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ where it is read, and only hits are shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -141,14 +142,19 @@ def render(raw: bytes) -> str:
 _MATCHERS: dict[tuple[Pattern, ...], Matcher] = {}
 
 
-def scan_hits(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
+def scan_hits(corpus: DataFrame, rules: list[Rule], carry: tuple[str, ...] = (), identity: bool = False) -> DataFrame:
     """(scan_id, hostname, path, rule, string_id, offset, matched) of every hit.
 
     The corpus has scan_id, hostname, path and content (bytes or text; null has no hits).
+    ``carry`` names columns that come along; ``identity`` adds file_size and file_sha256,
+    which are worked out where the file is scanned and for matched files only, so contents
+    are never shuffled or read again.
     """
     ship(corpus.sparkSession)
     patterns = tuple(p for r in rules for p in r.strings)
-    source = corpus.select(*KEYS, F.col("content").cast("binary").alias("content"))
+    names = [*KEYS, *carry]
+    source = corpus.select(*names, F.col("content").cast("binary").alias("content"))
+    extra = ["file_size", "file_sha256"] if identity else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if patterns not in _MATCHERS:
@@ -156,19 +162,25 @@ def scan_hits(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
         matcher = _MATCHERS[patterns]
         for b in batches:
             at, out = [], []
-            for row, data in enumerate(b.column(3)):
-                for p, offset, raw in matcher.hits(data.as_py() or b""):
+            for row, cell in enumerate(b.column(len(names))):
+                data = cell.as_py() or b""
+                who: tuple = ()
+                for p, offset, raw in matcher.hits(data):
+                    if identity and not who:
+                        who = (len(data), hashlib.sha256(data).hexdigest())
                     at.append(row)
-                    out.append((p.rule, p.id or "$?", offset, render(raw)))
-            keys = b.select([0, 1, 2]).take(pa.array(at, pa.int64()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*KEYS, "rule", "string_id", "offset", "matched"])
+                    out.append((*who, p.rule, p.id or "$?", offset, render(raw)))
+            keys = b.select(list(range(len(names)))).take(pa.array(at, pa.int64()))
+            types = [pa.int64(), pa.string()][: len(extra)] + [pa.string(), pa.string(), pa.int64(), pa.string()]
+            cols = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*names, *extra, "rule", "string_id", "offset", "matched"])
 
-    return source.mapInArrow(run, "scan_id string, hostname string, path string, rule string, string_id string, offset bigint, matched string")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "content")
+    more = ", file_size bigint, file_sha256 string" if identity else ""
+    return source.mapInArrow(run, f"{head}{more}, rule string, string_id string, offset bigint, matched string")
 
 
-def _decide(rows: DataFrame, rules: list[Rule], chunk: int = 100) -> DataFrame:
+def decide(rows: DataFrame, rules: list[Rule], chunk: int = 100) -> DataFrame:
     """Rows for which their rule's condition holds; large packs are taken in chunks."""
     parts = []
     for i in range(0, len(rules), chunk):
@@ -200,12 +212,12 @@ def eval_conditions(hits: DataFrame, rules: list[Rule], corpus: DataFrame | None
     if with_strings:
         each = hits.groupBy(*KEYS, "rule", "string_id").agg(F.count("*").alias("c"), F.min("offset").alias("f"))
         maps = each.groupBy(*KEYS, "rule").agg(F.map_from_entries(F.collect_list(F.struct("string_id", "c"))).alias("n"), F.map_from_entries(F.collect_list(F.struct("string_id", "f"))).alias("first"))
-        out = _decide(maps.select("*", *file_variables()), with_strings).select(*KEYS, "rule", F.lit("string").alias("match_scope"))
+        out = decide(maps.select("*", *file_variables()), with_strings).select(*KEYS, "rule", F.lit("string").alias("match_scope"))
     if without and corpus is not None:
         names = F.explode(F.array(*(F.lit(r.rule) for r in without))).alias("rule")
         size = [F.octet_length(F.col("content").cast("binary")).alias("file_size")] if "file_size" not in corpus.columns else ["file_size"]
         files = corpus.select(*KEYS, *size, *file_variables()).select("*", names, F.expr("map('', 0L)").alias("n"), F.expr("map('', 0L)").alias("first"))
-        alone = _decide(files, without).select(*KEYS, "rule", F.lit("rule").alias("match_scope"))
+        alone = decide(files, without).select(*KEYS, "rule", F.lit("rule").alias("match_scope"))
         out = alone if out is None else out.unionByName(alone)
     if out is None:
         return hits.select(*KEYS, "rule", F.lit("string").alias("match_scope")).limit(0)

@@ -51,42 +51,38 @@ def _tree() -> str:
     return f"struct<{', '.join(flat + nested)}>"
 
 
-def _is_block(name: str) -> Column:
-    kind, message = F.col("type"), F.coalesce(F.col("message"), F.lit(""))
-    return {
-        "match": kind == MATCH,
-        "performance": kind == PERFORMANCE,
-        "progress": (kind == STATISTICS) & message.contains(PROGRESS),
-        "estimates": (kind == STATISTICS) & message.contains(ESTIMATES),
-        "summary": kind == SUMMARY,
-        "snapshot": kind == SNAPSHOT,
-    }[name]
+#: Which rows are of a kind, in SQL.
+IS_BLOCK = {
+    "match": f"type = '{MATCH}'",
+    "performance": f"type = '{PERFORMANCE}'",
+    "progress": f"type = '{STATISTICS}' AND contains(message, '{PROGRESS}')",
+    "estimates": f"type = '{STATISTICS}' AND contains(message, '{ESTIMATES}')",
+    "summary": f"type = '{SUMMARY}'",
+    "snapshot": f"type = '{SNAPSHOT}'",
+}
+
+
+def _leaf(path: str) -> str:
+    """A path into the parsed JSON; ``x[0]`` is null for a short array."""
+    head, bracket, at = path.partition("[")
+    return f"get(__j.{head}, {at[:-1]})" if bracket else f"__j.{path}"
 
 
 def parse_telemetry(raw: DataFrame) -> DataFrame:
     """The rows with the columns of their kind, all as text; rows of no kind stay as they are.
 
-    The JSON is parsed once. Where two kinds share a column, each row has its own kind's.
-    Summary rows take their hostname from the data, null if it isn't there. Broken JSON
-    gives nulls. Works on streams.
+    The JSON is parsed once, and a row's kind is found once. Where two kinds share a column,
+    each row has its own kind's. Summary rows take their hostname from the data, null if it
+    isn't there. Broken JSON gives nulls. Works on streams.
     """
-    j = F.col("__j")
-    parsed = raw.withColumn("__j", F.from_json("data", _tree()))
-    out: dict[str, Column] = {}
+    kind = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in IS_BLOCK.items()) + " END"
+    parsed = raw.selectExpr("*", f"from_json(data, '{_tree()}') AS __j", f"{kind} AS __k")
+    places: dict[str, list[tuple[str, str]]] = {}
     for block, columns in BLOCKS.items():
         for name, path in columns.items():
-            if "[" in path:
-                value = F.get(j[path.split(".")[0]][path.split(".")[1].split("[")[0]], F.lit(0))
-            else:
-                value = j
-                for part in path.split("."):
-                    value = value[part]
-            here = F.when(_is_block(block), value)
-            out[name] = here if name not in out else F.coalesce(out[name], here)
-    host = F.when(_is_block("summary"), j["system_info"]["hostname"]).otherwise(F.col("hostname"))
-    out["hostname"] = host
-    kept = [c for c in raw.columns if c not in out]
-    return parsed.select(*kept, *(v.alias(n) for n, v in out.items()))
+            places.setdefault(name, []).append((block, path))
+    out = {n: "CASE __k " + " ".join(f"WHEN '{b}' THEN {_leaf(p)}" for b, p in at) + (" ELSE hostname" if n == "hostname" else "") + " END" for n, at in places.items()}
+    return parsed.selectExpr(*(f"`{c}`" for c in raw.columns if c not in out), *(f"{e} AS `{n}`" for n, e in out.items()))
 
 
 def efficiency_metrics(snapshots: DataFrame) -> DataFrame:

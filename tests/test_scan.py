@@ -70,3 +70,15 @@ def test_report_keeps_counts_over_budget(found):
 def test_render_and_hex():
     assert render(b"a\x00b\x00") == "ab" and render(b"\xff\xfe\x00") == "fffe00" and render(b"a\tb") == "a\tb"
     assert hex_regex("4D ?? [1-2] (01 | 02)") == b"M..{1,2}?(?:\x01|\x02)"
+
+
+def test_one_pass_equals_the_steps(found, corpus):
+    for cap in (50, 3, 0):
+        hits = scan_hits(corpus, RULES)
+        steps = fo.file_rows(fo.findings_agg(hits, eval_conditions(hits, RULES, corpus), RULES, cap), corpus)
+        assert sorted(map(str, fo.scan(corpus, RULES, cap).collect())) == sorted(map(str, steps.collect()))
+
+
+def test_one_pass_never_shuffles_contents(corpus):
+    plan = fo.scan(corpus, RULES[:5])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
