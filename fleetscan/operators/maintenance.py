@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,7 +200,7 @@ def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, elig
     try:
         there = spark.read.parquet(target).where(F.col("scan_id").isin(ids)).groupBy("scan_id").agg(F.count("*").alias("target_rows"))
         before = sources.join(there, "scan_id", "left")
-    except Exception:
+    except AnalysisException:  # no target yet
         before = sources.withColumn("target_rows", F.lit(0).cast("bigint"))
     states = {r["scan_id"]: (r["state"], r["source_rows"]) for r in reverify(before).collect()}
     failed = {i: "row_ceiling_exceeded" for i, (_, n) in states.items() if n > ceiling}

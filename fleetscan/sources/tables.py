@@ -17,7 +17,8 @@ MAX_PACK_BYTES = 50 << 20
 def read_corpus(spark: SparkSession, roots: list[str], hostname: str = "localhost", max_bytes: int = 0) -> DataFrame:
     """Regular files below several roots: hostname, path, modified, file_size and content.
 
-    The size cap is pushed to the listing, so files over it aren't read.
+    The size cap is pushed to the listing, so files over it aren't read. Spark's file source
+    lists no empty files, so these have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     if max_bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -144,7 +145,7 @@ def upsert_latest(table: str, order: str = "event_timestamp_ms") -> Callable[[Da
         try:
             before = spark.read.parquet(f"{table}/version={version - 1}")
             rows = before.unionByName(batch.select(before.columns))
-        except Exception:
+        except AnalysisException:  # the first version
             rows = batch
         latest = rows.groupBy("scan_id").agg(F.max_by(F.struct(*rows.columns), F.struct(order, *(c for c in rows.columns if c not in (order, "scan_id")))).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(f"{table}/version={version}")

@@ -118,3 +118,22 @@ def test_ruleset(spark, tmp_path):
     p.write_text("")
     with pytest.raises(ValueError, match="no rule"):
         tables.load_ruleset(spark, str(p))
+
+
+def test_corpus_and_telemetry_files(spark, tmp_path):
+    for n, body in {"a/x.txt": b"ab", "a/b/y.bin": b"\x00" * 9, "c/z": b""}.items():
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(body)
+    roots = [str(tmp_path / "a"), str(tmp_path / "c")]
+    rows = {r["path"].rsplit("/", 1)[1]: r["file_size"] for r in tables.read_corpus(spark, roots, "h").collect()}
+    assert rows == {"x.txt": 2, "y.bin": 9}
+    assert tables.read_corpus(spark, roots, "h", max_bytes=5).count() == 1
+    table = tables.corpus_from_table(spark.createDataFrame([("h", "/p", "\u00e9")], "a string, b string, c string"), "a", "b", "c")
+    assert table.first()["file_size"] == 2
+    (tmp_path / "t.json").write_text('{"type":"x","hostname":"h","_time":"2024-01-01T00:00:00Z"}\n[1]\nbroken\n')
+    got = tables.read_telemetry(spark, str(tmp_path / "t.json")).cache()
+    assert got.where("_corrupt_record is null").count() == 1 and got.where("_corrupt_record is not null").count() == 2
+    tables.write_telemetry(got.where("_corrupt_record is null").drop("_corrupt_record"), str(tmp_path / "out"))
+    assert tables.read_telemetry(spark, str(tmp_path / "out")).first()["type"] == "x"
+    tables.write_alerts(got.select("type"), str(tmp_path / "al"))
+    assert spark.read.parquet(str(tmp_path / "al")).count() == 3
