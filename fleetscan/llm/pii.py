@@ -30,11 +30,26 @@ from .common import fresh
 ROUNDS = 8
 DEFAULT_KEY = "fleetscan-pseudonyms"
 
+#: The name of a secret, in quotes or not (JSON, also within a string), and
+#: the separators.
+_NAME = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_\-]?key)(?:\\?[\x22'`])?[ \t]*+"
+_EQUALS, _COLON = r"(?:=>|:=|={1,3}+)[ \t]*+", r":(?!=)[ \t]*+"
+#: A value of 8 signs or more in quotes, up to the closing one of its line. All repeated
+#: groups are possessive, which Java runs without recursion: values have no longest length.
+_QUOTED = "|".join([r"\\\x22(?:[^\x22\\\r\n]|\\\\\\\x22|\\(?!\x22)){8,}+\\\x22", *(rf"{q}(?:[^{q}\\\r\n]|\\.){{8,}}+{q}" for q in (r"\x22", "'", "`"))])
+#: A sign of a value without quotes, which runs to white space; a quote belongs to it before
+#: a word's sign only, and stops that end a clause don't.
+_INNER = r"[^\s\x22'`,;.:)\]}>]"
+_SIGN = rf"(?:{_INNER}|[,;.:)\]}}>](?=[,;.:)\]}}>]*+{_INNER})|[\x22'`](?=\w))"
+#: Behind a colon, which prose has too, such a value needs a digit or a sign within it.
+_IN_CODE = rf"(?=[\p{{L}}\p{{M}}\-'`’,;.:)\]}}>]*+(?:[\d#$%&*+/=@^_|~\\]|[!?]{_INNER}))"
+_OPEN = r"(?:\\?[\x22'`])?"
+_KEYED = f"{_NAME}(?:{_EQUALS}(?:{_QUOTED}|{_OPEN}{_SIGN}{{8,}}+)|{_COLON}(?:{_QUOTED}|{_OPEN}{_IN_CODE}{_SIGN}{{8,}}+))"
 #: The candidate patterns by kind, in the order they are tried.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32}|[0-9a-f]{64}|[0-9A-F]{64})(?![A-Za-z0-9])",
-    "keyed_secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_\-]?key) ?[=:] ?[\x22']?(?=[A-Za-z+/_\-]{0,127}\d)[A-Za-z0-9+/_\-]{8,128}",
+    "keyed_secret": _KEYED,
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
     "date": r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/]|\.\d)",
@@ -224,22 +239,31 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    """Of the same length and case; a known prefix stays."""
+    """Of the same length and case; a known prefix stays. Digests are chained to any length."""
 
     def made(prefix: Column) -> Column:
-        new = F.concat(_digest(m, key, "secret"), _digest(m, key, "secret2")).substr(F.lit(1), F.length(m) - F.length(prefix))
+        n = F.length(m) - F.length(prefix)
+
+        def chain(first: Column) -> Column:
+            more = F.when(n > 128, F.array_join(F.transform(F.sequence(F.lit(3), F.ceil(n / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), i.cast("string"), first), 256)), "")).otherwise("")
+            return F.concat(first, _digest(m, key, "secret2"), more)
+
+        new = let(_digest(m, key, "secret"), chain).substr(F.lit(1), n)
         return F.concat(prefix, F.when(F.upper(m) == m, F.upper(new)).otherwise(new))
 
     return let(F.regexp_extract(m, r"^(AKIA|gh[pousr]_|)", 1), made)
 
 
 def _keyed_secret(m: Column, key: str) -> Column:
-    """The value after the name, which stays."""
+    """The value after the name, which stays, as do the quotes."""
 
     def made(name: Column) -> Column:
-        return F.concat(name, let(m.substr(F.length(name) + 1, F.length(m)), lambda v: _secret(v, key)))
+        rest = m.substr(F.length(name) + 1, F.length(m))
+        # A value without quotes doesn't end in one.
+        end = F.when(~m.rlike(r"[\x22'`]$"), 0).when(name.endswith("\\\""), 2).otherwise(1)
+        return F.concat(name, let(rest.substr(F.lit(1), F.length(rest) - end), lambda v: _secret(v, key)), F.when(end > 0, F.right(m, end)).otherwise(""))
 
-    return let(F.regexp_extract(m, r"^([A-Za-z_\-]+ ?[=:] ?[\x22']?)", 1), made)
+    return let(F.regexp_extract(m, f"^({_NAME}(?:{_EQUALS}|{_COLON}){_OPEN})", 1), made)
 
 
 _MAKERS = {"email": _email, "secret": _secret, "keyed_secret": _keyed_secret, "ip": _ip, "phone": _phone, "date": _date, "ssn": _ssn, "iban": _iban, "card": _card}
@@ -264,7 +288,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, fo
     """
     t = F.col(text)
     m, p, r = (fresh(docs, f"__pii_{x}") for x in "mpr")
-    rows = docs.withColumn(m, F.when(t.rlike(r"[@\d]|AKIA"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = docs.withColumn(m, F.when(t.rlike(f"[@\\d]|AKIA|{_NAME}[:=]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     has = F.size(m) > 0
     rows = rows.withColumn(p, F.when(has, F.split(t, ANY))).withColumn(r, F.when(has, F.transform(m, lambda x: pseudonym(x, key))))
     before = F.slice(p, F.lit(1), F.size(m))

@@ -341,6 +341,30 @@ def test_what_is_not_valid_stays(spark):
     assert out_of(spark, long)[0][0].startswith("word ") and "10.0.0.1" not in out_of(spark, long)[0][0]
 
 
+def test_keyed_secrets_are_replaced_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    long, letters = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(4))[:200], "correcthorse"
+    forms = {
+        "token={}, next": [long, jwt, letters, "hunter2!"],
+        "token: {}. Next": [long, jwt, "hunter2!", "it's2good", "a/b,c;d9", "x1" * 50_000],
+        '{{"password": "{}", "n": ""}}': ["abc12345", long, jwt, letters, "correct horse battery", "it's \\\"2\\\" good", "x\\\\" * 20_000],
+        "{{'pwd' : '{}'}}": ["abc12345", 'a"b c"d9'],
+        '"{{\\"api_key\\":\\"{}\\",\\"n\\":1}}"': ["abc12345", letters],
+        "DB_PASSWORD  :=  {}": ["abc12345", letters],
+        'token = "{}\nnext': ["hunter2!", long],
+    }
+    cases = [(form, v) for form, values in forms.items() for v in values]
+    for (form, value), (new, found) in zip(cases, out_of(spark, *(f.format(v) for f, v in cases)), strict=True):
+        left, right = form.format("\0").split("\0")
+        assert [s["kind"] for s in found] == ["keyed_secret"], (form, value[:50])
+        assert new.startswith(left) and new.endswith(right) and len(new) == len(form.format(value)), (form, value[:50])
+        assert re.fullmatch("[0-9a-fA-F]+", new[len(left) : len(new) - len(right)]), (form, value[:50], new[:200])
+    same = ["The secret: patience!", "token: well-known, and so on", 'a "token": "x"', "secret: something. More"]
+    assert [t for t, _ in out_of(spark, *same)] == same
+    (a, _), (b, _) = out_of(spark, f"token={long}1", f"token={long}2")
+    assert a != b and len(set(re.findall(".{64}", a[6:]))) == 3
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = QUERIES["op7_pii"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
