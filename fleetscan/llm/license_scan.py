@@ -1,15 +1,17 @@
 """Licence scan by conditional compression (operator 10).
 
-Lines with a licence word, and the lines beside them that continue the notice, are the
-candidate blocks.  A block is compressed alone and with each template as a raw Zstandard
-dictionary; templates are ranked by the size that they save, and the best are confirmed
-by the exact wording: the words that template and block don't share.  A block that
-differs in a licence's name or version is another licence, however well it compresses.
+A text with a licence word is scanned as one sequence of words, so line breaks, comment
+signs and blank lines don't matter.  A template is confirmed wherever its meaningful words
+(all but filler) stand in the text one after the other with nothing but filler between, and
+at most a share of its filler is missing: a licence of another name or version is another
+licence, however well it compresses.  Of confirmed notices that overlap, the one with the
+most meaningful words stays; ties go to the template that, as a raw Zstandard dictionary,
+saves the most bytes of the notice.  SPDX tags are read by their own grammar.
 """
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -47,39 +49,45 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 #: Words that may differ between a notice and its template.
 FILLER = frozenset("a an and are as available code document distributed file files in is it license licensed of or permitted project published released software terms the this to under v version with work works".split())
-CANDIDATE = re.compile(r"licen[sc]|copyright|all rights reserved|public domain|hereby granted|redistribution and use|\bCC[ -]?(?:BY|0)\b", re.I)
+CANDIDATE = re.compile(r"licen[sc]|copyright|all\W+rights\W+reserved|public\W+domain|hereby\W+granted|redistribution\W+and\W+use|\bCC[ -]?(?:BY|0)\b|\b[AL]?GPL", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*|\d+(?:\.\d+)*")
-#: Templates that are confirmed a block, in the order of savings, and the words of the
-#: template that a block may lack (share).
-BEST, MAX_MISSING = 6, 0.25
-#: Words of a block around its licence words; longer lines are cut into such windows.
-BLOCK_WORDS = 60
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate blocks: lines with a licence word; of a line that is longer
-    than ``BLOCK_WORDS``, the words around each. No line is left out or cut short."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if CANDIDATE.search(line):
-            words = [m.span() for m in re.finditer(r"\S+", line)]
-            if len(words) <= BLOCK_WORDS:
-                out.append((at, at + len(line)))
-            else:
-                reach = -1
-                for m in CANDIDATE.finditer(line):
-                    if m.end() <= reach:
-                        continue
-                    k = next(i for i, (_, b) in enumerate(words) if b > m.start())
-                    a, b = max(0, k - BLOCK_WORDS // 3), min(len(words), k + 2 * BLOCK_WORDS // 3)
-                    reach = words[b - 1][1]
-                    out.append((at + words[a][0], at + reach))
-        at += len(line) + 1
-    return out
+#: Words of comment signs, which aren't of the text.
+_COMMENT = re.compile(r"^[ \t]*(?:REM|dnl)\b", re.M)
+#: Words of the template that a notice may lack (share).
+MAX_MISSING = 0.25
+#: The end of a sentence: no version number of a name before it stands behind it.
+_STOP = re.compile(r"(?<!\bv)(?<!\bver)\.\s", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)|\blicen[sc]e[\x22']?\s*[:=]\s*[\x22']([^\x22'\r\n]+)[\x22']", re.I)
+_SPDX_ID = re.compile(r"[\s(]*([A-Za-z0-9][\w.+-]*)(?:\s+WITH\s+[\w.+-]+)?[\s)]*?(?:\)*\s+(AND|OR)\s+|(?=[\s)]|$))", re.I)
+
+
+def plain(word: str) -> str:
+    """A word as it is compared: lower case, one spelling, 3 for 3.0."""
+    if word[0].isdigit():
+        return re.sub(r"(?:\.0)+$", "", word)
+    return word.lower().replace("licence", "license")
 
 
 def tokens(text: str) -> list[str]:
-    return [m.lower() for m in _TOKEN.findall(text)]
+    return [plain(m) for m in _TOKEN.findall(text)]
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, as early in ``b`` as may be."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
 
 class Scanner:
@@ -88,62 +96,110 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
         self.each = []
-        for name, t in templates:
-            low = t.lower().encode()
-            shared = zstandard.ZstdCompressionDict(low, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append((name, tokens(t), zstandard.ZstdCompressor(level=19, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
-
-    def ranked(self, block: str) -> list[tuple[int, int]]:
-        """(bytes saved, template number) in falling order; ties in the templates' order."""
-        raw = block.lower().encode()
-        alone = len(self.alone.compress(raw))
-        return sorted(((alone - len(c.compress(raw)), i) for i, (_, _, c) in enumerate(self.each)), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: str) -> tuple[str, int, list[str], list[str]] | None:
-        """(licence, bytes saved, words missing, words added within the notice) of the best
-        confirmed template: all its words but filler are in the block in order, at most
-        ``MAX_MISSING`` of them are missing, and none that carries meaning was put between."""
-        own = tokens(block)
-        best = None
-        for saved, i in self.ranked(block)[:BEST]:
-            name, want, _ = self.each[i]
-            if saved <= 0:
-                break
-            runs = [m for m in difflib.SequenceMatcher(None, want, own, autojunk=False).get_matching_blocks() if m.size]
-            if not runs:
-                continue
-            held = [False] * len(want)
-            for m in runs:
-                held[m.a : m.a + m.size] = [True] * m.size
-            missing = [w for w, h in zip(want, held, strict=True) if not h]
-            inside = set(range(runs[0].b, runs[-1].b + runs[-1].size)) - {j for m in runs for j in range(m.b, m.b + m.size)}
-            added = [own[j] for j in sorted(inside)]
-            if len(missing) <= MAX_MISSING * len(want) and set(missing) <= FILLER and set(added) <= FILLER:
-                rank = (-len(missing) - len(added), len(want), saved)
-                if best is None or rank > best[0]:
-                    best = (rank, (name, saved, missing, added))
-        return best and best[1]
+        self.by_first: dict[str, list[int]] = {}
+        self.ids = {n.lower(): n for n, _ in templates}
+        for i, (name, t) in enumerate(templates):
+            want = tokens(t)
+            core = [k for k, w in enumerate(want) if w not in FILLER] or list(range(len(want)))
+            shared = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.each.append((name, want, core, zstandard.ZstdCompressor(level=19, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            self.by_first.setdefault(want[core[0]], []).append(i)
+
+    def saved(self, notice: str, i: int) -> int:
+        """Bytes that template ``i`` saves of the notice."""
+        raw = notice.lower().encode()
+        return len(self.alone.compress(raw)) - len(self.each[i][3].compress(raw))
+
+    def match(self, i: int, own: list[str], heavy: list[int], at: int, text: str, spans: list[tuple[int, int]]) -> tuple[int, int, list[str], list[str]] | None:
+        """(first word, end, words missing, words added) of template ``i`` where its first
+        meaningful word is the text's ``heavy[at]``; None unless it is confirmed there."""
+        _, want, core, _ = self.each[i]
+        places = heavy[at : at + len(core)]
+        if len(places) < len(core) or any(own[p] != want[k] for p, k in zip(places, core, strict=True)):
+            return None
+        if len(core) <= 4 and any(own[q][0].isdigit() and _STOP.search(text, spans[p][1], spans[q][0]) for p, q in zip(places, places[1:], strict=False)):
+            return None
+        held, taken = set(core), set(places)
+        for k, x, p, q in zip(core, core[1:], places, places[1:], strict=False):
+            for i_, j in common(want[k + 1 : x], own[p + 1 : q]):
+                held.add(k + 1 + i_)
+                taken.add(p + 1 + j)
+        low = heavy[at - 1] + 1 if at else 0
+        for i_, j in common(want[: core[0]][::-1], own[low : places[0]][::-1]):
+            held.add(core[0] - 1 - i_)
+            taken.add(places[0] - 1 - j)
+        high = heavy[at + len(core)] if at + len(core) < len(heavy) else len(own)
+        for i_, j in common(want[core[-1] + 1 :], own[places[-1] + 1 : high]):
+            held.add(core[-1] + 1 + i_)
+            taken.add(places[-1] + 1 + j)
+        missing = [w for k, w in enumerate(want) if k not in held]
+        if len(missing) > MAX_MISSING * len(want):
+            return None
+        a, b = min(taken), max(taken) + 1
+        return a, b, missing, [own[j] for j in range(a, b) if j not in taken]
+
+    def tagged(self, text: str) -> list[tuple[str, int, int]]:
+        """(licence, start, end) of the ids of SPDX tags, and of fields named license whose
+        value is an id of the templates."""
+        out = []
+        for m in _SPDX.finditer(text):
+            g = 1 if m[1] is not None else 2
+            at, end = m.span(g)
+            while x := _SPDX_ID.match(text, at, end):
+                base = re.sub(r"-only$|-or-later$|\+$", "", x[1], flags=re.I)
+                known = self.ids.get(base.lower())
+                if known or (g == 1 and x[1].upper() not in ("NONE", "NOASSERTION")):
+                    out.append((known or x[1], *x.span(1)))
+                at = x.end()
+                if not x[2]:
+                    break
+        return out
+
+    def notices(self, text: str) -> list[dict]:
+        """Every confirmed notice that no better one overlaps, in the order of the text."""
+        off = {m.end() for m in _COMMENT.finditer(text)}
+        found = [m for m in _TOKEN.finditer(text) if m.end() not in off]
+        own, spans = [plain(m[0]) for m in found], [m.span() for m in found]
+        heavy = [j for j, w in enumerate(own) if w not in FILLER]
+        # An id in a tag is as good as can be.
+        ranked = [((1 << 30, 0, 0, 0), {"license": n, "start": a, "end": b, "saved": max([0, *(self.saved(text[a:b], i) for i, t in enumerate(self.each) if t[0] == n)]), "missing": [], "added": []}) for n, a, b in self.tagged(text)]
+        for at, p in enumerate(heavy):
+            for i in self.by_first.get(own[p], ()):
+                if got := self.match(i, own, heavy, at, text, spans):
+                    a, b, missing, added = got
+                    start, end = spans[a][0], spans[b - 1][1]
+                    name, want, core, _ = self.each[i]
+                    saved = self.saved(text[start:end], i)
+                    ranked.append(((len(core), -len(missing) - len(added), len(want), saved), {"license": name, "start": start, "end": end, "saved": saved, "missing": missing, "added": added}))
+        ranked.sort(key=lambda x: (*(-v for v in x[0]), x[1]["start"]))
+        starts, out = [], []
+        for _, n in ranked:
+            k = bisect.bisect(starts, n["start"])
+            if (k == 0 or out[k - 1]["end"] <= n["start"]) and (k == len(out) or n["end"] <= starts[k]):
+                starts.insert(k, n["start"])
+                out.insert(k, n)
+        return out
 
 
 _SCANNERS: dict[tuple, Scanner] = {}
 
 
 def scan_text(text: str | None, scanner: Scanner) -> tuple[int, list[dict]]:
-    """Candidate blocks and the confirmed notices of one text."""
-    found = blocks(text) if text else []
-    out = []
-    for a, b in found:
-        if got := scanner.confirm(text[a:b]):
-            out.append({"license": got[0], "start": a, "end": b, "saved": got[1], "missing": got[2], "added": got[3]})
-    return len(found), out
+    """Lines with a licence word, and the confirmed notices of one text."""
+    lines, at = 0, -1
+    for m in CANDIDATE.finditer(text or ""):
+        if at < 0 or text.find("\n", at, m.start()) >= 0:
+            lines += 1
+        at = m.start()
+    return lines, scanner.notices(text) if lines else []
 
 
 NOTICE = "array<struct<license:string,start:bigint,end:bigint,saved:bigint,missing:array<string>,added:array<string>>>"
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """``keys``, n_candidates and notices (licence, offsets of its block, bytes saved, words
-    missing and added) of every row; null and empty texts have none. Repeated rows give
+    """``keys``, n_candidates (lines with a licence word) and notices (licence, its offsets,
+    bytes saved, words missing and added) of every row; null and empty texts have none. Repeated rows give
     equal results; other columns are ignored."""
     ship(docs.sparkSession)
     source = docs.select(*keys, docs[text].alias("__text"))

@@ -444,6 +444,25 @@ def test_licences(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def licences_of(text):
+    return [n["license"] for n in license_scan.scan_text(text, license_scan.Scanner(license_scan.TEMPLATES))[1]]
+
+
+def test_wrapped_notices():
+    gpl = "This work is licensed under the GNU General Public\nLicense, version 3."
+    for text in (gpl, gpl.replace("\n", "\r\n * "), "# x\n# " + gpl.replace(" ", "\n# "), "REM " + gpl.replace("\n", "\nREM ")):
+        assert licences_of(text) == ["GPL-3.0"], text
+    (one,) = license_scan.scan_text("intro\n\n" + gpl + "\nrest", license_scan.Scanner(license_scan.TEMPLATES))[1]
+    assert (one["start"], one["end"]) == (7, 7 + len(gpl) - 1)
+    mit = dict(license_scan.TEMPLATES[1:2])["MIT"]
+    bsd = next(t for n, t in license_scan.TEMPLATES if t.startswith("Redistribution"))
+    for name, text in (("MIT", mit), ("BSD-3-Clause", bsd)):
+        for width in (1, 3, 7, 12):
+            w = text.split(" ")
+            assert licences_of("\n * ".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))) == [name]
+    assert licences_of("It is under the GNU General Public License. 3 files follow.") == []
+
+
 def test_licence_counts(spark, sf_dir):
     marks = {"MIT": "mit license", "GPL-3.0": "gnu general public license, version 3", "Apache-2.0": "apache license, version 2.0", "CC-BY-NC-4.0": "cc by-nc 4.0"}
     docs = docs_of(spark, "/root/testdata/sf0.01")
