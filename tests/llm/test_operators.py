@@ -463,6 +463,16 @@ def test_wrapped_notices():
     assert licences_of("It is under the GNU General Public License. 3 files follow.") == []
 
 
+def test_several_notices_of_one_line():
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    bsd = next(t for n, t in license_scan.TEMPLATES if t.startswith("Redistribution"))
+    assert licences_of(f"{mit} {apache}") == ["MIT", "Apache-2.0"]
+    for gap in (1, 15, 39, 70):
+        assert licences_of(" x" * 80 + f" {mit}" + " x" * gap + f" {apache}" + " x" * gap + f" {bsd} {mit}" + " x" * 80) == ["MIT", "Apache-2.0", "BSD-3-Clause", "MIT"]
+    notices = license_scan.scan_text(f"{mit} {apache}" * 3, license_scan.Scanner(license_scan.TEMPLATES))[1]
+    assert len(notices) == 6 and all(a["end"] <= b["start"] for a, b in zip(notices, notices[1:], strict=False))
+
+
 def test_licence_counts(spark, sf_dir):
     marks = {"MIT": "mit license", "GPL-3.0": "gnu general public license, version 3", "Apache-2.0": "apache license, version 2.0", "CC-BY-NC-4.0": "cc by-nc 4.0"}
     docs = docs_of(spark, "/root/testdata/sf0.01")
