@@ -473,6 +473,15 @@ def test_several_notices_of_one_line():
     assert len(notices) == 6 and all(a["end"] <= b["start"] for a, b in zip(notices, notices[1:], strict=False))
 
 
+def test_every_template_is_tried():
+    gnu = tuple((f"X-{i}", f"This work is licensed under the GNU General Public License, version {i}, see the terms of the license.") for i in range(20, 60))
+    text = "It is licensed under the ISC License, see the file for the terms of the license"
+    scanner = license_scan.Scanner(gnu + license_scan.TEMPLATES)
+    assert [n["license"] for n in license_scan.scan_text(text, scanner)[1]] == licences_of(text) == ["ISC"]
+    both = "This work is licensed under the GNU General Public License, version 3. All rights reserved."
+    assert [n["license"] for n in license_scan.scan_text(both, scanner)[1]] == licences_of(both) == ["GPL-3.0", "All-Rights-Reserved"]
+
+
 def test_licence_counts(spark, sf_dir):
     marks = {"MIT": "mit license", "GPL-3.0": "gnu general public license, version 3", "Apache-2.0": "apache license, version 2.0", "CC-BY-NC-4.0": "cc by-nc 4.0"}
     docs = docs_of(spark, "/root/testdata/sf0.01")
