@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 #: Short notices of public licences (id, text), public wordings.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,9 +47,63 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("All-Rights-Reserved", "All rights reserved."),
 )
+_GNU = (("GPL-2.0", "", "General", "2"), ("GPL-3.0", "", "General", "3"), ("LGPL-2.0", "L", "Library General", "2"), ("LGPL-2.0", "L", "Lesser General", "2"), ("LGPL-2.1", "L", "Lesser General", "2.1"), ("LGPL-3.0", "L", "Lesser General", "3"), ("AGPL-3.0", "A", "Affero General", "3"))
+_GNU_FORMS = (
+    "under the terms of the GNU {n} Public License as published by the Free Software Foundation, either version {v} of the License",
+    "under the terms of the GNU {n} Public License as published by the Free Software Foundation; version {v} of the License",
+    "under the terms of version {v} of the GNU {n} Public License as published by the Free Software Foundation",
+    "under the terms of the GNU {n} Public License version {v} as published by the Free Software Foundation",
+    "GNU {n} Public License, version {v}",
+    "GNU {n} Public License ({a}GPL), version {v}",
+    "GNU {n} Public License v{v}",
+    "version {v} of the GNU {n} Public License",
+    "{a}GPL {v}",
+    "{a}GPLv{v}",
+)
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_REST = " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+#: How the full BSD texts go on; the third clause names an owner, so it isn't read on.
+_BSD_ENDS = (("BSD-2-Clause", "THIS SOFTWARE IS PROVIDED BY"), ("BSD-3-Clause", "{2} Neither the name of"), ("BSD-3-Clause", "{2} The name of"), ("BSD-3-Clause", "{2} The names of"), ("BSD-4-Clause", "{2} All advertising materials mentioning features or use of this software must display the following acknowledgement:"))
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+#: All templates; beside the short notices the public standard notices and
+#: short forms of each licence.
+TEMPLATES: tuple[tuple[str, str], ...] = (
+    *_NOTICES,
+    *((name, form.format(a=a, n=n, v=v)) for name, a, n, v in _GNU for form in _GNU_FORMS),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_REST),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT"),
+    ("MIT", "MIT-licensed"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache Software License, Version 2.0"),
+    ("Apache-2.0", "Apache 2.0 License"),
+    ("Apache-2.0", "Licensed under Apache-2.0"),
+    ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "MPL 2.0"),
+    ("MPL-2.0", "MPLv2"),
+    *((name, (_BSD + end).format(*marks)) for name, end in _BSD_ENDS for marks in (("1.", "2.", "3."), ("a", "b", "c"), ("", "", ""))),
+    *((f"BSD-{n}-Clause", form) for n, word in ((2, "two"), (3, "three"), (4, "four")) for form in (f"BSD {n}-Clause License", f"{n}-Clause BSD License", f"{word}-clause BSD License", f"BSD {word}-clause License", f"BSD-{n}-Clause")),
+    ("BSD-2-Clause", "Simplified BSD License"),
+    ("BSD-3-Clause", "New BSD License"),
+    ("BSD-3-Clause", "Modified BSD License"),
+    ("ISC", "ISC License"),
+    ("ISC", "Licensed under the ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "released under the Unlicense"),
+    ("Unlicense", "The Unlicense license"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("CC0-1.0", "Creative Commons Zero v1.0 Universal"),
+    *((f"CC-{short}-4.0", form) for short, long in _CC for form in (f"CC {short} 4.0", f"CC-{short} 4.0", f"CC-{short}-4.0", f"Creative Commons {long} 4.0 International License", f"Creative Commons {long} 4.0")),
+)
 #: Words that may differ between a notice and its template.
 FILLER = frozenset("a an and are as available code document distributed file files in is it license licensed of or permitted project published released software terms the this to under v version with work works".split())
-CANDIDATE = re.compile(r"licen[sc]|copyright|all\W+rights\W+reserved|public\W+domain|hereby\W+granted|redistribution\W+and\W+use|\bCC[ -]?(?:BY|0)\b|\b[AL]?GPL", re.I)
+CANDIDATE = re.compile(r"licen[sc]|copyright|all\W+rights\W+reserved|public\W+domain|hereby\W+granted|redistribution\W+and\W+use|\bCC[ -]?(?:BY|0)\b|\b(?:[AL]?GPL|MPL|BSD[ -](?:\d|two|three)|creative\W+commons)", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*|\d+(?:\.\d+)*")
 #: Words of comment signs, which aren't of the text.
 _COMMENT = re.compile(r"^[ \t]*(?:REM|dnl)\b", re.M)
@@ -136,6 +190,9 @@ class Scanner:
         if len(missing) > MAX_MISSING * len(want):
             return None
         a, b = min(taken), max(taken) + 1
+        # 'MIT License' alone is read as a name only: 'mit' is a word too.
+        if len(want) <= 2 and len(core) == 1 and (not text[spans[places[0]][0] : spans[places[0]][0] + 3].isupper() or re.search(r"[.!?]\s|\n\s*\n", text[spans[a][0] : spans[b - 1][1]])):
+            return None
         return a, b, missing, [own[j] for j in range(a, b) if j not in taken]
 
     def tagged(self, text: str) -> list[tuple[str, int, int]]:

@@ -482,6 +482,66 @@ def test_every_template_is_tried():
     assert [n["license"] for n in license_scan.scan_text(both, scanner)[1]] == licences_of(both) == ["GPL-3.0", "All-Rights-Reserved"]
 
 
+def test_public_notices_and_short_forms():
+    gnu = "This {x} is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {n} Public License as published by\n# the Free Software Foundation, {v} of the License{o}"
+    later = ", or\n# (at your option) any later version."
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    cases = {
+        gnu.format(x="program", n="General", v="either version 3", o=later): ["GPL-3.0"],
+        gnu.format(x="file", n="General", v="version 2", o="."): ["GPL-2.0"],
+        gnu.format(x="library", n="Lesser General", v="either version 2.1", o=later): ["LGPL-2.1"],
+        gnu.format(x="program", n="Affero General", v="either version 3", o=later): ["AGPL-3.0"],
+        gnu.format(x="program", n="General", v="either version 4", o=later): [],
+        "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": ["GPL-3.0"],
+        mit: ["MIT"],
+        "MIT License\n\nCopyright (c) 2020 X\n\n" + mit: ["MIT", "MIT"],
+        bsd.format("1.", "2.") + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS": ["BSD-2-Clause"],
+        bsd.format("*", "*") + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS": ["BSD-2-Clause"],
+        bsd.format("1.", "2.") + "3. Neither the name of the copyright holder nor": ["BSD-3-Clause"],
+        bsd.format("*", "*") + "* Neither the name of X nor": ["BSD-3-Clause"],
+        "SPDX-License-Identifier: GPL-3.0": ["GPL-3.0"],
+        "/* SPDX-License-Identifier: GPL-2.0-only */": ["GPL-2.0"],
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nx": ["MIT", "Apache-2.0", "BSD-3-Clause"],
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": ["GPL-2.0"],
+        "<!-- SPDX-License-Identifier: Zlib -->": ["Zlib"],
+        "SPDX-License-Identifier: NONE": [],
+        '{"name": "x", "license": "ISC"}': ["ISC"],
+        "License: GPLv3+": ["GPL-3.0"],
+        "under LGPLv2.1 or the GPL v2": ["LGPL-2.1", "GPL-2.0"],
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"],
+        "This work is licensed under the MIT/ISC License.": ["MIT", "ISC"],
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": ["CC-BY-SA-4.0"],
+        "CC-BY-NC-ND-4.0": ["CC-BY-NC-ND-4.0"],
+        "Er kam mit.\nLicensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "die mit license plates": [],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC"],
+    }
+    assert {t: licences_of(t) for t in cases} == cases
+    for name, t in license_scan.TEMPLATES:
+        assert licences_of(t) == [name] or name == "Unlicense", (name, t)
+        assert license_scan.CANDIDATE.search(t) or name in ("MIT", "ISC"), t
+
+
 def test_licence_counts(spark, sf_dir):
     marks = {"MIT": "mit license", "GPL-3.0": "gnu general public license, version 3", "Apache-2.0": "apache license, version 2.0", "CC-BY-NC-4.0": "cc by-nc 4.0"}
     docs = docs_of(spark, "/root/testdata/sf0.01")
