@@ -29,6 +29,8 @@ TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 8192
 #: Remainders that a task packs at once; a rest under one window goes to the next block.
 BLOCK_ROWS = 20_000
+#: Tokens after which a task packs, however few its remainders.
+BLOCK_TOKENS = 8_000_000
 
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("capacity", pa.int32()), ("step_id", pa.int64())]
 
@@ -111,6 +113,24 @@ def pack_block(remainders: list[tuple[int, int, int]], tiers: tuple[int, ...], l
     return windows, []
 
 
+def per_step(cap: int, step_tokens: int) -> int:
+    """Windows of one capacity in a step group."""
+    return max(1, step_tokens // cap)
+
+
+def whole_steps(windows: list[tuple[int, list[tuple[int, int, int]]]], step_tokens: int) -> tuple[list, list]:
+    """Windows that fill step groups, and the last of each capacity that don't."""
+    by_cap: dict[int, list] = {}
+    for w in windows:
+        by_cap.setdefault(w[0], []).append(w)
+    full, rest = [], []
+    for cap, own in by_cap.items():
+        k = len(own) - len(own) % per_step(cap, step_tokens)
+        full += own[:k]
+        rest += own[k:]
+    return full, rest
+
+
 def step_groups(windows: list[tuple[int, list[tuple[int, int, int]]]], step_tokens: int) -> list[int]:
     """A step group for each window: windows of one capacity, ``step_tokens`` in all (less
     in the last), dealt back and forth in the order of attention cost."""
@@ -120,12 +140,16 @@ def step_groups(windows: list[tuple[int, list[tuple[int, int, int]]]], step_toke
     for i, (cap, _) in enumerate(windows):
         by_cap.setdefault(cap, []).append(i)
     for cap, own in sorted(by_cap.items()):
-        steps = -(-len(own) * cap // max(step_tokens, cap))
         own.sort(key=lambda i: (-sum(n * n for _, _, n in windows[i][1]), i))
-        for j, i in enumerate(own):
+        steps, over = divmod(len(own), per_step(cap, step_tokens))
+        # The last, short group has windows of all costs too.
+        short = {(2 * t + 1) * len(own) // (2 * over) for t in range(over)}
+        for j in short:
+            out[own[j]] = base + steps
+        for j, i in enumerate(i for j, i in enumerate(own) if j not in short):
             lap, at = divmod(j, steps)
             out[i] = base + (at if lap % 2 == 0 else steps - 1 - at)
-        base += steps
+        base += steps + (over > 0)
     return out
 
 
@@ -156,7 +180,9 @@ def _pack_task(batches, keys: list[str], path: str, tiers: tuple[int, ...], end_
     state = {"sequence": task << 32, "step": task << 32}
     held: dict[int, tuple] = {}  # documents with a remainder: keys, tokens, start, bytes
     todo: list[tuple[int, int, int]] = []
-    serial = 0
+    # Windows of the block that aren't dealt to steps yet, and its tokens.
+    ready: list[tuple[int, list[tuple[int, int, int]]]] = []
+    serial = fresh = 0
     key_types: list = []
 
     def rows(windows):
@@ -181,31 +207,25 @@ def _pack_task(batches, keys: list[str], path: str, tiers: tuple[int, ...], end_
         for part, ids, bounds in encode_column(batch, "__text", path, end_id):
             who = list(zip(*(part.column(part.schema.get_field_index(k)).to_pylist() for k in keys), strict=True))
             raw = ids.tobytes()
-            full = []
             for row, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
                 n, whole = b - a, (b - a) // top * top
-                if whole:
-                    full += [(top, [(serial, s, top)]) for s in range(0, whole, top)]
-                    held[serial] = (who[row], n, 0, raw[4 * a : 4 * b])
+                ready += [(top, [(serial, s, top)]) for s in range(0, whole, top)]
+                held[serial] = (who[row], n, 0, raw[4 * a : 4 * b])
                 if n > whole:
-                    if not whole:
-                        held[serial] = (who[row], n, 0, raw[4 * a : 4 * b])
                     todo.append((serial, whole, n - whole))
+                fresh += n
                 serial += 1
-            if full:
-                yield rows(full)
-            # Of documents with full windows, only the remainder is kept.
-            for doc, start, _ in todo:
-                w, n, base, data = held[doc]
-                if start > base:
-                    held[doc] = (w, n, start, data[4 * (start - base) :])
-            alive = {d for d, _, _ in todo}
-            held = {d: x for d, x in held.items() if d in alive}
-            if len(todo) >= BLOCK_ROWS:
+            if len(todo) >= BLOCK_ROWS or fresh >= BLOCK_TOKENS:
                 windows, todo = pack_block(todo, tiers, last=False)
-                yield rows(windows)
-                alive = {d for d, _, _ in todo}
-                held = {d: x for d, x in held.items() if d in alive}
-    if todo:
+                windows, ready = whole_steps(ready + windows, step_tokens)
+                if windows:
+                    yield rows(windows)
+                # Of documents, only what still is to be dealt is kept.
+                need: dict[int, int] = {}
+                for doc, start, _ in [*todo, *(x for _, pieces in ready for x in pieces)]:
+                    need[doc] = min(start, need.get(doc, start))
+                held = {d: (w, n, s, data[4 * (s - base) :]) for d, s in need.items() for w, n, base, data in [held[d]]}
+                fresh = 0
+    if todo or ready:
         windows, _ = pack_block(todo, tiers, last=True)
-        yield rows(windows)
+        yield rows(ready + windows)

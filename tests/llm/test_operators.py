@@ -94,6 +94,25 @@ def test_packing_in_blocks_and_steps(spark, sf_dir, monkeypatch):
     assert all(len(set(g)) == 1 and sum(g) <= 4096 for g in groups.values())
 
 
+def test_steps_of_long_and_short_documents_are_balanced(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{k}" for k in range(int(rng.choice([30, 60, 700, 2500]))))) for i in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs[k : k + 9]], "__text": [t for _, t in docs[k : k + 9]]}) for k in range(0, len(docs), 9)]
+    rows = [r for b in packing._pack_task(iter(batches), ["doc_id"], tokens.default_tokenizer(), packing.TIERS, 0, 8192, 0) for r in b.to_pylist()]
+    check_packing(rows, docs)
+    size, cost, cap = Counter(), Counter(), {}
+    for r in rows:
+        size[r["step_id"]] += r["length"]
+        cost[r["step_id"]] += r["length"] ** 2
+        cap[r["step_id"]] = r["capacity"]
+    assert max(Counter(cap[s] for s, n in size.items() if n < 8192).values(), default=0) <= 1
+    own = [cost[s] for s, n in size.items() if n == 8192 and cap[s] == 1024]
+    assert len(own) > 5 and max(own) < 1.5 * min(own)
+
+
 def test_packing_odd_rows(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id bigint, text string").withColumn("start", F.lit("clash")).withColumn("__text", F.lit("x"))
     check_packing(packing.pack_documents(df).collect(), list(enumerate(ODD)))
