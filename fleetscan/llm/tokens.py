@@ -56,10 +56,23 @@ def byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Parts of little-endian ids, one after another, and their bounds in ids."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+def joined(parts: list[bytes], index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of little-endian ids (those that ``index`` names, in its order), one after
+    another, and their bounds in ids."""
+    pool = pa.array(parts, pa.large_binary())
+    laid = pool if index is None else pool.take(pa.array(index))
+    if not len(laid):
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    bounds = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1) >> 2
+    return np.frombuffer(laid.buffers()[2] or b"", "<u4", int(bounds[-1])), bounds
+
+
+def strings(words: pa.Array) -> list[str]:
+    """A list of words without a space in them, by one join and split."""
+    if not len(words):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(one, " ")[0].as_py().split(" ")
 
 
 def encode_column(batch: pa.RecordBatch, column: str, path: str, end_id: int | None, block_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -76,11 +89,7 @@ def encode_column(batch: pa.RecordBatch, column: str, path: str, end_id: int | N
         base = sizes[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(sizes, base + block_bytes, "right")))
         part = batch.slice(at, stop - at)
-        ids, bounds = enc.encode(part.column(part.schema.get_field_index(column)))
-        if end_id is not None:
-            ids = np.insert(ids, bounds[1:], end_id).astype("<u4", copy=False)
-            bounds = bounds + np.arange(len(bounds))
-        yield part, ids, bounds
+        yield part, *enc.encode(part.column(part.schema.get_field_index(column)), end_id)
         at = stop
 
 
@@ -112,50 +121,53 @@ class RunEncoder:
         """Ids by the library's whole pipeline."""
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and where each text's begin (and the last's
-        end); null counts as empty.
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, each followed by ``end_id``, and where each
+        text's begin (and the last's end); null counts as empty.
 
         Texts are cut into runs and the runs reduced to distinct ones by Arrow, so Python
         sees each distinct run of a batch once.
         """
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         if not self.by_runs:
-            return joined(self.whole(texts.to_pylist()))
+            return joined([x + end for x in self.whole(texts.to_pylist())])
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.dictionary_encode()
-        index, runs = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, runs = coded.indices.to_numpy().copy(), strings(coded.dictionary)
         found = list(map(self.after_space.get, runs))
-        missing = [i for i, x in enumerate(found) if x is None]
+        missing = [r for r, x in zip(runs, found, strict=True) if x is None]
         if missing:
-            got = self._learn([runs[i] for i in missing])
-            for i in missing:
-                found[i] = got[runs[i]]
+            got = self._learn(missing)
+            found = [got.get(r) if x is None else x for r, x in zip(runs, found, strict=True)]
         first = bounds[:-1]
         heads = [runs[i] for i in index[first].tolist()]
         plain = self._pipeline(set(heads))
         # The first run of each text has no space before it.
-        index[first] = len(runs) + np.arange(len(first))
-        awkward = np.array([x is None for x in found] + [False] * len(first))
-        values = [x or b"" for x in found] + [plain[h] for h in heads]
-        if awkward.any():
-            for i in np.flatnonzero(np.logical_or.reduceat(awkward[index], first)).tolist():
+        index[first] = len(runs) + np.arange(len(first), dtype=index.dtype)
+        awkward = [i for i, x in enumerate(found) if x is None]
+        values = [*found, *(plain[h] for h in heads)]
+        if awkward:
+            bad = np.zeros(len(values), bool)
+            bad[awkward] = True
+            for i in awkward:
+                values[i] = b""
+            for i in np.flatnonzero(np.logical_or.reduceat(bad[index], first)).tolist():
                 # Runs beside more white space, which may join it: the text is cut with care.
                 more = _CUT.split(texts[i].as_py())
                 keys = [more[0], *(" " + r for r in more[1:])]
                 index[bounds[i] : bounds[i + 1]] = len(values)
                 index[bounds[i] + 1 : bounds[i + 1]] += 1
                 values += [b"".join(map(self._pipeline(set(keys)).__getitem__, keys)), b""]
-        pool = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[index]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends[bounds[1:] - 1]])
+        if end:
+            index = np.insert(index, bounds[1:], len(values))
+            values.append(end)
+            bounds = bounds + np.arange(len(bounds))
+        ids, at = joined(values, index)
+        return ids, at[bounds]
 
     def _pipeline(self, runs: set[str]) -> dict[str, bytes]:
         """Runs as they are, by the whole pipeline."""
@@ -168,41 +180,41 @@ class RunEncoder:
     def _learn(self, fresh: list[str]) -> dict[str, bytes | None]:
         """Runs with a space before them; None for those that may join white space."""
         got: dict[str, bytes | None] = {}
-        words, joined, other, known = [], [], [], set(fresh)
+        words, tailed, other = [], [], []
         for r in fresh:
             if r.isalpha():
                 words.append(r)
             elif not r or r[0].isspace() or r[-1].isspace():
                 got[r] = None
             elif m := _WORD_TAIL.fullmatch(r):
-                joined.append((r, m[1], m[2]))
+                tailed.append((r, *m.groups()))
             else:
                 other.append(r)
-        stems = list(dict.fromkeys(s for _, s, _ in joined if s not in self.after_space and s not in known))
-        if len(words) + len(stems):
-            got |= self._words(words + stems)
-        if joined:
-            tails = list({t for _, _, t in joined} - self.tails.keys())
+        known = set(words)
+        stems = list({s for _, s, _ in tailed if s not in self.after_space and s not in known})
+        if words or stems:
+            got |= self._split(self.words, words + stems, [self.mark + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words + stems], "")
+        if tailed:
+            tails = list({t for _, _, t in tailed} - self.tails.keys())
             ends = dict(zip(tails, self.whole(tails), strict=True)) if tails else {}
-            for r, s, t in joined:
+            for r, s, t in tailed:
                 got[r] = (got[s] if s in got else self.after_space[s]) + (ends[t] if t in ends else self.tails[t])
             self._keep(self.tails, ends)
         if other:
-            got |= zip(other, self.whole([" " + r for r in other]), strict=True)
+            got |= self._split(self.tokenizer, other, other, " ")
         self._keep(self.after_space, got)
         return got
 
-    def _words(self, words: list[str], group: int = 64) -> dict[str, bytes]:
-        """Single words with a space before each, many to a call; a token that opens with
-        the space's mark opens a word."""
-        coded = [self.mark + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words]
-        parts = self.words.encode_batch_fast([" ".join(coded[i : i + group]) for i in range(0, len(coded), group)], add_special_tokens=False)
+    def _split(self, by, runs: list[str], coded: list[str], head: str, group: int = 64) -> dict[str, bytes]:
+        """Ids of runs, each with a space before it, many to a call. A run has no space
+        within it, so a token that opens with the space's mark opens a run."""
+        parts = by.encode_batch_fast([head + " ".join(coded[i : i + group]) for i in range(0, len(coded), group)], add_special_tokens=False)
         ids = np.concatenate([np.asarray(p.ids, dtype="<u4") for p in parts])
         at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(words):  # a vocabulary without the usual alphabet
-            return dict(zip(words, self.whole([" " + w for w in words]), strict=True))
+        if len(at) != len(runs):  # a vocabulary without the usual alphabet
+            return dict(zip(runs, self.whole([" " + r for r in runs]), strict=True))
         raw, at = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
-        return {w: raw[a:b] for w, a, b in zip(words, at, at[1:], strict=False)}
+        return {r: raw[a:b] for r, a, b in zip(runs, at, at[1:], strict=False)}
 
     @staticmethod
     def _keep(cache: dict, got: dict) -> dict:
