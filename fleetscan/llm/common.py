@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _LOCAL: str | None = None
 
-__all__ = ["fresh", "hash_fraction", "in_fold", "materialize", "open_fs", "read_table", "shared_dir", "ship", "work_path"]
+__all__ = ["fresh", "hash_fraction", "in_fold", "materialize", "open_fs", "read_table", "shared_dir", "ship", "spread", "work_path"]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -53,6 +53,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, size: str, target: int, *order: str) -> DataFrame:
+    """``df``, a small table of places in files, over so many range partitions (in the order
+    of the columns ``order``) that each stands for about ``target`` of the sum of ``size``.
+
+    Adaptive execution judges a partition by the table's own bytes, not by those that its
+    rows point to, but leaves an explicit count as it is. At least the session's default
+    parallelism is used.
+    """
+    spark = df.sparkSession
+    total = df.agg(F.sum(size)).first()[0] or 0
+    parts = max(-(-int(total) // target), spark.sparkContext.defaultParallelism)
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and inner path of a shared-folder URI (file, hdfs, s3, gs)."""
     if "://" not in uri and not uri.startswith("file:"):

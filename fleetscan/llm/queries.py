@@ -29,8 +29,8 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "tokens")
     token_store.write_tokens(read_table(spark, sf_dir, "documents"), path)
-    rows = token_store.id_digests(token_store.read_tokens(spark, path).select("doc_id", "n_tokens", "token_ids", "file_part", "file_row"))
-    return rows.join(token_store.document_starts(spark, path), ["file_part", "file_row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = token_store.id_digests(spark, path)
+    return token_store.with_starts(rows, token_store.file_offsets(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

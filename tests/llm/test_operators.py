@@ -135,25 +135,62 @@ def test_token_store_layout_and_selective_reads(spark, sf_dir):
     path = work_path(spark, "t")
     token_store.write_tokens(docs_of(spark, sf_dir), path, row_group_bytes=200_000, page_bytes=4096)
     fs, inner = open_fs(path)
-    files = sorted(x.path for x in fs.get_file_info(__import__("pyarrow.fs", fromlist=["x"]).FileSelector(inner)) if x.path.endswith(".parquet"))
+    files = [f"{inner}/{r['file']}" for r in token_store.reports(spark, path).collect()]
+    assert sum(r["row_groups"] for r in token_store.reports(spark, path).collect()) > len(files)
     meta = [pq.ParquetFile(f).metadata for f in files]
     assert sum(m.num_rows for m in meta) == docs_of(spark, sf_dir).count()
     columns = {m.row_group(0).column(i).path_in_schema: m.row_group(0).column(i) for m in meta for i in range(m.num_columns)}
     ids = next(c for n, c in columns.items() if n.startswith("token_ids"))
-    assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings) and all(c.has_column_index for c in columns.values())
+    assert "RLE_DICTIONARY" in ids.encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and all(c.has_column_index for n, c in columns.items())
+    other = work_path(spark, "t")
+    token_store.write_tokens(docs_of(spark, sf_dir), other, encoding="delta")
+    one = pq.ParquetFile(f"{open_fs(other)[1]}/{token_store.reports(spark, other).first()['file']}").metadata.row_group(0)
+    assert "DELTA_BINARY_PACKED" in one.column(2).encodings
+    assert token_store.id_digests(spark, other).drop("file_part", "within").exceptAll(token_store.id_digests(spark, path).drop("file_part", "within")).isEmpty()
+    read = token_store.read_tokens(spark, path).agg(F.sum(F.size("token_ids"))).first()[0]
+    assert read == token_store.reports(spark, path).agg(F.sum("n_tokens")).first()[0]
     plan = token_store.read_tokens(spark, path).where("doc_id = 7").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "token_ids" not in plan and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
 
 
 def test_token_store_odd_rows(spark):
-    df = spark.createDataFrame([(None, "b"), (2, None), (1, "x y"), (1, "x y"), (1, "")], "doc_id bigint, text string").withColumn("n_tokens", F.lit(0))
+    df = spark.createDataFrame([(None, "b"), (2, None), (1, "x y"), (1, "x y"), (1, "")], "doc_id bigint, text string").withColumns({"n_tokens": F.lit(0), "file_part": F.lit(0), "__tie": F.lit(0)})
     path = work_path(spark, "t")
     token_store.write_tokens(df, path)
-    rows = token_store.read_tokens(spark, path).join(token_store.document_starts(spark, path), ["file_part", "file_row"]).orderBy("start").collect()
+    rows = token_store.with_starts(token_store.read_tokens(spark, path), token_store.file_offsets(spark, path)).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 1, 1, 2] and [r["n_tokens"] for r in rows][0] == 2 and rows[4]["n_tokens"] == 1
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows[:-1]]).tolist()
     empty = work_path(spark, "t")
     token_store.write_tokens(df.limit(0), empty)
-    assert token_store.id_digests(token_store.read_tokens(spark, empty)).count() == 0
+    assert token_store.id_digests(spark, empty).count() == 0 and token_store.read_tokens(spark, empty).columns == token_store.read_tokens(spark, path).columns
+
+
+def test_token_store_files_grow_in_number_not_in_size(spark):
+    # More input splits than shuffle partitions: a partition for each split.
+    docs = spark.range(600).repartition(30).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), "id").alias("text"))
+    path = work_path(spark, "t")
+    token_store.write_tokens(docs, path)
+    stored = token_store.read_tokens(spark, path)
+    assert stored.select("file_part").distinct().count() > 20
+    rows = token_store.with_starts(stored, token_store.file_offsets(spark, path)).orderBy("doc_id").collect()
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows[:-1]]).tolist()
+
+
+def test_token_store_reads_its_files_once_for_the_ids(spark, sf_dir):
+    out = QUERIES["op4_token_store"](spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_text_of_a_megabyte(spark):
+    text = " ".join(f"w{k % 5000},x" for k in range(150_000))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    path = work_path(spark, "t")
+    token_store.write_tokens(df, path)
+    want = tokens.encoder(tokens.default_tokenizer()).whole([text])[0] + b"\0\0\0\0"
+    rows = token_store.id_digests(spark, path).orderBy("doc_id").collect()
+    assert (rows[0]["n_tokens"], rows[0]["ids_crc32"]) == (len(want) // 4, zlib.crc32(want))
+    check_packing(packing.pack_documents(df).collect(), [(1, text), (2, "short")])
 
 
 # --- near duplicates ----------------------------------------------------------------------------
