@@ -8,7 +8,7 @@ distinct values stay distinct, and equal values stay equal in every document:
 * payment cards: all digits but the last are permuted, the check digit is made anew;
 * telephone numbers: all digits after a country code are permuted, the layout stays;
 * IPv4 addresses: the 32 bits are permuted;
-* dates: the day's number in a 400-year calendar cycle is permuted;
+* dates: the day's number in its 400-year calendar cycle is permuted;
 * social security numbers and IBANs: their digits are permuted (IBAN check digits anew);
 * e-mail addresses and secrets (known forms, or named by a key), which are no numbers,
   get keyed digests of their form.
@@ -19,16 +19,16 @@ month 13) stays as it is.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh
 
 #: Rounds of the Feistel networks.
 ROUNDS = 8
-DEFAULT_KEY = "fleetscan-pseudonyms"
 
 #: The name of a secret, in quotes or not (JSON, also within a string), and
 #: the separators.
@@ -40,28 +40,37 @@ _QUOTED = "|".join([r"\\\x22(?:[^\x22\\\r\n]|\\\\\\\x22|\\(?!\x22)){8,}+\\\x22",
 #: A sign of a value without quotes, which runs to white space; a quote belongs to it before
 #: a word's sign only, and stops that end a clause don't.
 _INNER = r"[^\s\x22'`,;.:)\]}>]"
-_SIGN = rf"(?:{_INNER}|[,;.:)\]}}>](?=[,;.:)\]}}>]*+{_INNER})|[\x22'`](?=\w))"
-#: Behind a colon, which prose has too, such a value needs a digit or a sign within it.
-_IN_CODE = rf"(?=[\p{{L}}\p{{M}}\-'`’,;.:)\]}}>]*+(?:[\d#$%&*+/=@^_|~\\]|[!?]{_INNER}))"
+_SIGN = rf"(?:{_INNER}|[,;.:)\]}}>](?=[,;.:)\]}}>]{{0,64}}+{_INNER})|[\x22'`](?=\w))"
+#: Behind a colon, which prose has too, such a value needs a digit or a sign in its first 513.
+#: Looking ahead is bounded (64 stops, 512 letters), so a text's length counts once.
+_IN_CODE = rf"(?=[\p{{L}}\p{{M}}\-'`’,;.:)\]}}>]{{0,512}}+(?:[\d#$%&*+/=@^_|~\\]|[!?]{_INNER}))"
 _OPEN = r"(?:\\?[\x22'`])?"
 _KEYED = f"{_NAME}(?:{_EQUALS}(?:{_QUOTED}|{_OPEN}{_SIGN}{{8,}}+)|{_COLON}(?:{_QUOTED}|{_OPEN}{_IN_CODE}{_SIGN}{{8,}}+))"
-#: The candidate patterns by kind, in the order they are tried.
+#: The candidate patterns by kind, in the order they are tried. Each repeat is of
+#: a class, possessive, or bounded (126 labels are the most that a host name has), so that
+#: Java's matcher, which recurses for other groups, needs little stack for any text.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32}|[0-9a-f]{64}|[0-9A-F]{64})(?![A-Za-z0-9])",
     "keyed_secret": _KEYED,
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
-    "date": r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/]|\.\d)",
+    "date": r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\w\-])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?![\w\-])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: The days of 400 Gregorian years, as the product of two Feistel halves.
+#: Texts without any of these have no candidate: every pattern needs a digit or "@" but for
+#: known secrets of letters alone and keyed ones.
+MAY_HAVE = rf"[@\d]|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}|{_NAME}[:=]"
+#: The days of 400 Gregorian years, as the product of two Feistel halves, and
+#: the first day of such a cycle (others begin 400 years, or a multiple, before and after).
 CYCLE_DAYS, DAYS_A, DAYS_B = 146097, 189, 773
-FIRST_DAY = "1800-01-01"
+FIRST_DAY = "1600-01-01"
+#: Setting of the session with the key, and the key of tests.
+KEY_SETTING = "spark.fleetscan.pseudonym.secret"
 
 
 def _mix(key: str, label: str, i: Column, half: Column, modulus: Column) -> Column:
@@ -173,25 +182,30 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     """Year first, or day first where dots divide or the first number can't be a month, or
-    else month first; the new date is written in the same way."""
-    plain = _digits(m)
-    year_first = m.rlike(r"^\d{4}")
-    day_first = m.contains(".") | (F.substring(plain, 1, 2).try_cast("int") > 12)
+    else month first; the new date is written in the same way, with one-digit months and
+    days where the old one has such."""
+    first, second, third = (F.regexp_extract(m, r"^(\d+)\D(\d+)\D(\d+)$", k) for k in (1, 2, 3))
     sep = F.regexp_extract(m, r"([\-/.])", 1)
+    year_first = F.length(first) == 4
+    short = (F.length(first) == 1) | (F.length(second) == 1)
 
-    def made(p: Column) -> Column:
-        y, x, z = F.substring(p, 5, 4), F.substring(p, 1, 2), F.substring(p, 3, 2)
-        iso = F.when(year_first, F.concat_ws("-", F.substring(p, 1, 4), F.substring(p, 5, 2), F.substring(p, 7, 2))).when(day_first, F.concat_ws("-", y, z, x)).otherwise(F.concat_ws("-", y, x, z))
+    def made(day_first: Column) -> Column:
+        x, y = F.lpad(first, 2, "0"), F.lpad(second, 2, "0")
+        iso = F.when(year_first, F.concat_ws("-", first, second, third)).when(day_first, F.concat_ws("-", third, y, x)).otherwise(F.concat_ws("-", third, x, y))
         number = F.datediff(iso.try_cast("date"), F.to_date(F.lit(FIRST_DAY))).cast("long")
-        moved = let(number, lambda n: F.when(n.between(0, CYCLE_DAYS - 1), F.date_add(F.to_date(F.lit(FIRST_DAY)), feistel(n, F.expr(f"{DAYS_A}L"), F.expr(f"{DAYS_B}L"), key, "date").cast("int"))))
+
+        def permuted(n: Column) -> Column:
+            inside = F.pmod(n, F.lit(CYCLE_DAYS))
+            return F.when(n.isNotNull(), F.date_add(F.to_date(F.lit(FIRST_DAY)), (n - inside + feistel(inside, F.expr(f"{DAYS_A}L"), F.expr(f"{DAYS_B}L"), key, "date")).cast("int")))
 
         def spelled(d: Column) -> Column:
-            year, month, day = F.date_format(d, "yyyy"), F.date_format(d, "MM"), F.date_format(d, "dd")
+            year = F.lpad(F.year(d).cast("string"), 4, "0")
+            month, day = (F.when(short, f(d).cast("string")).otherwise(F.lpad(f(d).cast("string"), 2, "0")) for f in (F.month, F.day))
             return F.when(d.isNotNull(), F.when(year_first, F.concat(year, sep, month, sep, day)).when(day_first, F.concat(day, sep, month, sep, year)).otherwise(F.concat(month, sep, day, sep, year)))
 
-        return let(moved, spelled)
+        return let(let(number, permuted), spelled)
 
-    return let(plain, made)
+    return let(m.contains(".") | (first.try_cast("int") > 12), made)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -269,26 +283,43 @@ def _keyed_secret(m: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "keyed_secret": _keyed_secret, "ip": _ip, "phone": _phone, "date": _date, "ssn": _ssn, "iban": _iban, "card": _card}
 
 
-def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(match: Column, key: str) -> Column:
     """(kind, value) of one candidate by the first kind whose pattern it matches as a whole
     and that finds it valid; null where none does."""
     made = F.array(*(F.struct(F.lit(kind).alias("kind"), F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), make(match, key)).alias("value")) for kind, make in _MAKERS.items()))
     return F.get(F.filter(made, lambda s: s["value"].isNotNull()), F.lit(0))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key, from ``KEY_SETTING``. Where it isn't set a random one is drawn and
+    set, so that equal values are linked within the application and nobody else can undo
+    them; set it to link values over several runs."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 SPANS = "array<struct<kind:string,start:bigint,length:bigint>>"
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, found: str = "pii") -> DataFrame:
+def pseudonymize(docs: DataFrame, text: str = "text", key: str | None = None, found: str = "pii") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, all columns kept, and ``found`` (an
     array of kind, start and length in characters of the original, in order).
 
     Null texts stay null and have an empty array; empty ones stay empty. Rows are
-    independent, so repeated rows stay equal. ``found`` must be a new column's name.
+    independent, so repeated rows stay equal. ``key`` is the secret of the permutations,
+    by default the session's (:func:`session_key`).
+    Texts of any length are searched whole, in time that grows with their length. ``found``
+    must be a new column's name.
     """
+    if found.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {found} already")
+    key = key or session_key(docs.sparkSession)
     t = F.col(text)
     m, p, r = (fresh(docs, f"__pii_{x}") for x in "mpr")
-    rows = docs.withColumn(m, F.when(t.rlike(f"[@\\d]|AKIA|{_NAME}[:=]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = docs.withColumn(m, F.when(t.rlike(MAY_HAVE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     has = F.size(m) > 0
     rows = rows.withColumn(p, F.when(has, F.split(t, ANY))).withColumn(r, F.when(has, F.transform(m, lambda x: pseudonym(x, key))))
     before = F.slice(p, F.lit(1), F.size(m))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, ledger, license_scan, packing, pii, quality, simhash, token_store, warc
-from .common import in_fold, read_table, work_path
+from .common import fresh, in_fold, read_table, work_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +45,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+def _count(found: str, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), *(_count(k).alias(f"n_{k}") for k in pii.KINDS))
+    docs = read_table(spark, sf_dir, "documents")
+    found = fresh(docs, "pii")
+    out = pii.pseudonymize(docs, found=found)
+    return out.select("doc_id", "text", F.size(found).cast("long").alias("n_found"), *(_count(found, k).alias(f"n_{k}") for k in pii.KINDS))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
