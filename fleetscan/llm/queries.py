@@ -58,7 +58,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_bundles(read_table(spark, sf_dir, "pages"), work_path(spark, "warc"))
-    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

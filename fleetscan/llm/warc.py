@@ -15,13 +15,14 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, open_fs, ship
+from .common import fresh, materialize, open_fs, ship, spread
 
 #: Uncompressed bytes of a frame and of a bundle (about), and the compression level.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 9
@@ -30,48 +31,71 @@ MIN_REVISIT_BYTES = 100
 #: Fixed values of the seekable format: skippable-frame magic, footer magic.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 
+#: Bytes of records that one task reads back, about.
+READ_BYTES = 64 << 20
+
+RECORD = (("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()))
 INDEX = "page_id long, bundle string, frame int, at int, size int, record_type string"
 
 
-def plan_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``pages`` with payload_digest (SHA-256) and refers_to (null for responses).
+def plan_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = MIN_REVISIT_BYTES, digest: str = "payload_digest", refers: str = "refers_to") -> DataFrame:
+    """``pages`` with ``digest`` (SHA-256) and ``refers`` (null for responses), which must be
+    new columns' names.
 
     Null payloads are empty. Rows that share the smallest id of their payload are all
-    responses; rows with a null id are responses. Only digests are aggregated.
+    responses; rows with a null id are responses. Only digests are aggregated, and only
+    those of repeated payloads are kept: a written table of known size, which Spark
+    broadcasts below its threshold. Beyond it the join deals pages by digest, of which each
+    is there once, so that adaptive execution can split a common payload's pages.
     """
+    first, n = fresh(pages, "__first"), fresh(pages, "__n")
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.withColumn("payload_digest", F.sha2(raw, 256)).withColumn("__long", F.octet_length(raw) >= least)
-    first = rows.where("__long").groupBy("payload_digest").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("payload_digest", "__first")
-    joined = rows.join(materialize(first, "first"), "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col(key) > F.col("__first"), F.col("__first"))).drop("__first", "__long")
+    rows = pages.withColumn(digest, F.sha2(raw, 256))
+    long = rows.where(F.octet_length(raw) >= least)
+    shared = materialize(long.groupBy(digest).agg(F.min(key).alias(first), F.count("*").alias(n)).where(F.col(n) > 1).select(digest, first), "first")
+    return rows.join(shared, digest, "left").withColumn(refers, F.when(F.col(key) > F.col(first), F.col(first))).select(*pages.columns, digest, refers)
 
 
 def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record; a revisit has the payload's digest and length, not its bytes."""
+def block(head: list[str], content: bytes) -> bytes:
+    """A WARC 1.1 record of header lines and content."""
+    return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(content)}", "", ""]).encode() + content + b"\r\n\r\n"
+
+
+def about(name: str, date: str) -> bytes:
+    """The warcinfo record that opens a bundle."""
+    return block(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:bundle:{name}>", f"WARC-Filename: {name}", f"WARC-Date: {date}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """A page's record: an HTTP response with the payload, or a revisit with its head alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
-        "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
-        "WARC-Date: 2020-01-01T00:00:00Z",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        "Content-Type: application/http;msgtype=response",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""]
-    return "\r\n".join(head).encode() + payload + b"\r\n\r\n"
+    if refers_to is None:
+        return block(head, http + payload)
+    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
+    return block(head, http)
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Named fields of a head, its first line aside."""
+    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and content of one record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    fields = fields_of(head)
     return fields, rest[: int(fields["Content-Length"])]
 
 
@@ -126,17 +150,21 @@ def seek_table(file, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, least: int = MIN_REVISIT_BYTES) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, least: int = MIN_REVISIT_BYTES, date: str | None = None) -> DataFrame:
     """Write a record for every row into bundles below ``folder`` and return the index
     (page_id, bundle, frame, at, size, record_type), itself a written table.
 
     Every try of a task writes bundles of its own names, and the index names only those of
     the try that Spark committed: a lost executor leaves unreferenced files, never a wrong
-    index. An empty table gives an empty index and no bundle.
+    index. An empty table gives an empty index and no bundle. ``date`` of the records (as
+    2020-01-31T00:00:00Z) is that of the call by default. A payload of any length is one
+    record, in a frame of its own where it is longer than ``frame_bytes``. Other columns
+    aren't written, whatever their names.
     """
     ship(pages.sparkSession)
-    rows = plan_revisits(pages, key, payload, least)
-    source = rows.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"), "payload_digest", F.col("refers_to").cast("long"))
+    stamp = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("html"))
+    source = plan_revisits(rows, least=least).select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), "payload_digest", "refers_to")
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
 
@@ -149,8 +177,10 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     out.close()
                     out = None
                 if out is None:
-                    out = BundleWriter(f"{folder}/{uuid.uuid4().hex}.warc.zst", frame_bytes, level)
-                found.append((r[0], out.uri, *out.add(record(*r)), "response" if r[4] is None else "revisit"))
+                    name = f"{uuid.uuid4().hex}.warc.zst"
+                    out = BundleWriter(f"{folder}/{name}", frame_bytes, level)
+                    out.add(about(name, stamp))
+                found.append((r[0], out.uri, *out.add(record(*r, stamp)), "response" if r[4] is None else "revisit"))
             cols = list(zip(*found, strict=True)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "bundle", "frame", "at", "size", "record_type"])
@@ -160,15 +190,16 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return materialize(source.mapInArrow(run, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = True, read_bytes: int = READ_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest (of the full
-    payload) and payload (null for revisits) of the index's records, read from the bundles.
+    payload) and payload (null for revisits, left out without ``payloads``) of the index's
+    records, read from the bundles.
 
-    Records of a frame are read together: each frame is fetched and decompressed once, and
-    the digest of a response is checked against its bytes.
+    Tasks get whole frames, about ``read_bytes`` of records each: every frame is fetched
+    and decompressed once, and the digest of a response is checked against its bytes.
     """
     ship(index.sparkSession)
-    placed = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
+    placed = spread(index, "size", read_bytes, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file, table, now, plain = None, None, [], None, b""
@@ -186,18 +217,18 @@ def read_records(index: DataFrame) -> DataFrame:
                     file.seek(table[frame][0])
                     plain, now = unzip.decompress(file.read(table[frame][1]), max_output_size=table[frame][2]), frame
                 fields, content = parse(plain[at : at + size])
+                http, _, content = content.partition(b"\r\n\r\n")
                 if fields["WARC-Record-ID"] != record_id(page):
                     raise ValueError(f"the index is wrong at {bundle}, frame {frame}, {at}")
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 original = fields.get("WARC-Refers-To")
                 if original is None and hashlib.sha256(content).hexdigest() != digest:
                     raise ValueError(f"damaged record of page {page} in {bundle}")
-                out.append((page, fields["WARC-Target-URI"], fields["WARC-Type"], original and int(original[10:-1]), int(fields["X-Payload-Length"]), digest, content if original is None else None))
+                out.append((page, fields["WARC-Target-URI"], fields["WARC-Type"], original and int(original[10:-1]), int(fields_of(http)["Content-Length"]), digest, content if original is None else None))
             cols = list(zip(*out, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, RECORD[: 6 + payloads], strict=False)], names=[n for n, _ in RECORD[: 6 + payloads]])
         if file is not None:
             file.close()
 
-    return placed.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    return placed.mapInArrow(run, schema + (", payload binary" if payloads else ""))
