@@ -39,9 +39,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def item_windows(items: DataFrame, text: str = "text", key: str = "item_id", words: int = WINDOW_WORDS) -> DataFrame:
-    """(pattern, items): each distinct window of the items and the distinct ids (as text)
-    of the items with it. Null texts and texts without words give none; a null id reads
-    "null"."""
+    """(pattern, item): the distinct windows of each item, with the item's id as text. Null
+    texts and texts without words give none; a null id reads "null"."""
     ship(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +54,7 @@ def item_windows(items: DataFrame, text: str = "text", key: str = "item_id", wor
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(ids, pa.string())], names=["pattern", "item"])
 
     rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "pattern string, item string").groupBy("pattern").agg(F.collect_set("item").alias("items"))
+    return rows.mapInArrow(run, "pattern string, item string").distinct()
 
 
 _AUTOMATA: dict[str, object] = {}
@@ -126,13 +125,31 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     of every row.
 
     Null texts have no words; an item without words matches nothing; with no items at all
-    no row is hit. Rows that repeat are each returned. Other columns are ignored.
+    no row is hit. Rows that repeat are each returned. Texts of any length are scanned
+    whole. Other columns are ignored.
 
     The patterns' size is counted before they are broadcast. Beyond ``max_chars`` they are
-    split over several automata, which scan the texts one after another.
+    split over several automata, which scan the texts one after another. The items' ids
+    travel with the patterns up to the same size; beyond it (a window may be in millions of
+    items) the windows' numbers do, and the ids are joined to the rows that were hit.
     """
     spark = docs.sparkSession
-    table = materialize(item_windows(items, item_text, item_key, words), "windows")
+    pairs = materialize(item_windows(items, item_text, item_key, words), "windows")
+    if (pairs.agg(F.sum(F.length("item"))).first()[0] or 0) <= max_chars:
+        return _scanned(docs, pairs.groupBy("pattern").agg(F.collect_set("item").alias("items")), text, key, max_chars)
+    table = materialize(pairs.select("pattern").distinct().withColumn("items", F.array(F.monotonically_increasing_id().cast("string"))), "patterns")
+    links = materialize(pairs.join(table, "pattern").select(F.element_at("items", 1).alias("number"), "item"), "links")
+    found = _scanned(docs, table, text, key, max_chars)
+    row = fresh(found, "__number")
+    rows = materialize(found.withColumn(row, F.monotonically_increasing_id()), "hit-windows")
+    hits = rows.select(row, F.explode("items").alias("number")).join(links, "number").groupBy(row).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.drop("items").join(hits, row, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).select(*found.columns)
+
+
+def _scanned(docs: DataFrame, table: DataFrame, text: str, key: str, max_chars: int) -> DataFrame:
+    """:func:`contamination` by the windows of ``table`` (pattern, items)."""
+    spark = docs.sparkSession
+    table = materialize(table, "patterns")
     total = table.agg(F.sum(F.length("pattern"))).first()[0] or 0
     shards = -(-total // max_chars) or 1
     parts = []
@@ -146,6 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
         rows = scan(docs.select(key, text, F.xxhash64(text).alias("__hash")), shared, text, (key, "__hash"))
         # Equal keys with equal texts have equal results: one row stands for them.
         parts.append(materialize(rows if not s else rows.where(F.size("items") > 0), "scan"))
+        shared.unpersist()
     return _merged(parts, docs, text, key)
 
 
