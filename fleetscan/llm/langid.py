@@ -25,7 +25,8 @@ BUCKETS, GRAMS = 8192, 3
 CENTROIDS, MAX_TRAIN = 6, 400
 #: Share of a language's texts that a centroid has at least.
 LEAST_SHARE = 0.04
-#: Languages at most; a model has CENTROIDS * BUCKETS numbers for each.
+#: Languages that are learned at most, the most frequent ones (junk codes are rare); a model
+#: has CENTROIDS * BUCKETS numbers for each.
 MAX_LANGUAGES = 300
 #: A text is rejected below this share of its centroid's least typical members' cosine.
 REJECT = 0.7
@@ -126,18 +127,17 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return c, np.array([np.quantile(cos[own == i, i], 0.02) if (own == i).any() else 0.0 for i in range(len(c))])
 
 
-def train(docs: DataFrame, train_rows: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", centroids: int = CENTROIDS, max_train: int = MAX_TRAIN) -> LanguageModel | None:
+def train(docs: DataFrame, train_rows: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", centroids: int = CENTROIDS, max_train: int = MAX_TRAIN, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
     """Fit on rows with a language for which ``train_rows`` holds; None without any.
 
-    Document frequencies cover all these rows; the centroids of a language come from about
+    Of more than ``max_languages`` values the most frequent are learned, of equally frequent
+    ones the first in order. Document frequencies cover all these rows; the centroids of a language come from about
     ``max_train`` of its texts, taken by hash, in one task a language.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & train_rows).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not sizes:
         return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{lang} has over {MAX_LANGUAGES} values; a model of so many languages isn't kept on one machine")
     df, n = document_frequency(known, "text")
     if not n:
         return None
@@ -164,8 +164,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
     from it than its members are) of every row.
 
     Null texts and those without letters, and all texts without a model, are "und" with
-    score 0 and rejected. Equal cosines go to the first language in order. Other columns
-    are ignored.
+    score 0 and rejected. Equal cosines go to the first language in order. Texts
+    of any length are counted whole; other columns are ignored.
     """
     ship(docs.sparkSession)
     source = docs.select(*keys, docs[text].alias("__text"))
