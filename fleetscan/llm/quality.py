@@ -191,15 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str = "t
 
     About ``max_train`` keys at most are taken, by hash, so the sample and what reaches the
     driver (its statistics) are bounded. Null keys and labels aren't used; a key with
-    several labels gets their majority; of several documents with a key one is used.
+    several labels gets their majority; of several documents with a key that with the least
+    text hash is used. Texts of any length are read whole.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & train_rows)
     each = known.groupBy(key).agg((F.avg(label) >= 0.5).cast("double").alias("__label"))
     total = each.count()
     sample = materialize(each.where(hash_fraction([F.col(key)], max_train / max(total, 1), "quality")), "labelled")
     # At most about max_train pairs of numbers, by the fraction above.
-    rows = docs.select(key, text).join(F.broadcast(sample), key)
-    got = text_stats(rows, text, (key, "__label")).dropDuplicates([key]).orderBy(key).select("__label", *STATS).toPandas().to_numpy(np.float64)
+    rows = docs.select(key, text).join(F.broadcast(sample), key).withColumn("__hash", F.xxhash64(text))
+    own = F.min(F.struct("__hash", "__label", *STATS)).alias("x")
+    got = text_stats(rows, text, (key, "__label", "__hash")).groupBy(key).agg(own).orderBy(key).select("x.__label", *(f"x.{s}" for s in STATS)).toPandas().to_numpy(np.float64)
     return fit(got[:, 1:], got[:, 0])
 
 
