@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` where it is set.  Otherwise a temporary folder in local
-    mode (tests), and the warehouse on a cluster, never a machine-local folder there.
+    mode (tests), and on a cluster the warehouse where it is in a store of its own: a folder
+    of one machine is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -28,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
         if _LOCAL is None or not os.path.isdir(_LOCAL):
             _LOCAL = tempfile.mkdtemp(prefix="fleetscan-")
         return "file://" + _LOCAL
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if "://" not in warehouse or warehouse.startswith("file:"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse + "/_work"
 
 
 _LOCAL: str | None = None
 
-__all__ = ["fresh", "hash_fraction", "in_fold", "materialize", "open_fs", "read_table", "shared_dir", "ship", "spread", "work_path"]
+__all__ = ["fresh", "hash_fraction", "in_fold", "join_classes", "materialize", "open_fs", "read_table", "shared_dir", "ship", "spread", "work_path"]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -67,6 +71,25 @@ def spread(df: DataFrame, size: str, target: int, *order: str) -> DataFrame:
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
+#: Rows of a key from which on a join gets it by broadcast.
+HOT_ROWS = 200_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``classes``, which has each ``key`` once and in ``n`` how many of
+    ``rows`` have it; both are written tables, and no key is null.
+
+    Keys of over ``hot`` rows are joined where their rows are, so that one key never fills a
+    task: there is at most one such key for ``hot`` rows, which bounds the broadcast. Other
+    keys are joined as Spark sees fit.
+    """
+    few = classes.where(F.col(n) > hot)
+    if few.isEmpty():
+        return rows.join(classes, key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(classes.where(F.col(n) <= hot), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and inner path of a shared-folder URI (file, hdfs, s3, gs)."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ship
+from .common import HOT_ROWS, fresh, join_classes, materialize, ship
 from .graph import components
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Members of a bucket that are searched without dividing it further.
 HOT_BUCKET = 4096
+#: Fingerprints that a task puts into the tables, about.
+SPREAD_ROWS = 100_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -135,7 +137,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKE
     ``radius``: two are connected by them exactly if a chain of links joins them."""
     masks = covering_masks(list(range(64)), radius)
     tables = [(v + 1, m) for v, m in enumerate(masks)]
-    placed = _in_tables(fps, tables)
+    # Few files of fingerprints make many rows of buckets.
+    parts = max(-(-fps.count() // SPREAD_ROWS), fps.sparkSession.sparkContext.defaultParallelism)
+    placed = _in_tables(fps.repartition(parts, "fp"), tables)
     shared = materialize(placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
     pairs = shared.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius)).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     members = placed.join(shared.where("n > 2").select("t", "key", "n"), ["t", "key"])
@@ -149,21 +153,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKE
     return links
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``key``, text_hash (64-bit hash of the text), fp, root (smallest fingerprint of the
     component) and component_id (smallest key in it, nulls aside) of every row.
 
     Null and empty texts have fingerprint 0 and are linked like others; repeated rows are
-    in one component. An empty table gives no rows. Other columns are ignored.
+    in one component. An empty table gives no rows. Texts of any length are hashed whole;
+    other columns are ignored. A fingerprint of very many rows (copies, texts without words)
+    is one row until the end, where its rows get their class without being dealt by it.
     """
     table = materialize(fingerprints(docs.select(key, text, F.xxhash64(text).alias("__hash")), text, (key, "__hash"), words), "fingerprints")
-    fps = materialize(table.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    fps = materialize(table.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct")
     roots = materialize(components(near_links(fps.select("fp"), radius, hot_bucket)), "roots")
     members = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "least")
     named = materialize(members.groupBy("root").agg(F.min("least").alias("named")), "named")
     linked = members.select("fp", "root").join(named, "root")
-    known = materialize(fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id")), "classes")
-    return table.join(known, "fp").select(key, F.col("__hash").alias("text_hash"), "fp", "root", "component_id")
+    known = materialize(fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id")), "classes")
+    return join_classes(table, known, "fp", "n", hot_rows).select(key, F.col("__hash").alias("text_hash"), "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
