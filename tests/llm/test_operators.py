@@ -5,6 +5,7 @@ import hashlib
 import ipaddress
 import json
 import re
+import string
 import struct
 import zlib
 from collections import Counter
@@ -272,6 +273,8 @@ def test_near_duplicates_odd_rows(spark):
     assert got >= {(5, 3), (3, 3), (None, 3), (9, 7), (7, 7), (1, 1), (2, 1)}
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] != 4) == [1, 3, 7]
+    hot = simhash.near_duplicates(df, hot_rows=1).select("doc_id", "fp", "component_id").collect()
+    assert sorted(map(str, hot)) == sorted(str(r) for r in simhash.near_duplicates(df).select("doc_id", "fp", "component_id").collect())
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
@@ -288,6 +291,10 @@ def test_contamination_offsets_and_shards(spark, sf_dir):
             assert decontam.words_of(text[r["doc_id"]][c:d]) == decontam.words_of(text[r["doc_id"]])[a:b]
     several = decontam.contamination(docs, items, max_chars=60_000).collect()
     assert sorted(map(str, one)) == sorted(map(str, several))
+    # Ids of more characters than that aren't broadcast.
+    long = items.withColumn("item_id", F.concat(F.col("item_id").cast("string"), F.lit("-" * 300)))
+    named = decontam.contamination(docs, long, max_chars=60_000).collect()
+    assert sorted((r["doc_id"], r["n_hit"], [i.rstrip("-") for i in r["items"]]) for r in named) == sorted((r["doc_id"], r["n_hit"], r["items"]) for r in one)
 
 
 def test_contamination_odd_rows(spark):
@@ -300,6 +307,8 @@ def test_contamination_odd_rows(spark):
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 2, 4]
     assert decontam.contamination(df, items.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(df.limit(0), items).count() == 0
+    long = spark.createDataFrame([(1, "w " * 1_000_000 + "solo" + " w" * 10)], "doc_id bigint, text string")
+    assert decontam.contamination(long, items).select("n_words", "n_hit", "char_from").first() == (1_000_011, 1, [2_000_000])
 
 
 # --- language and quality -----------------------------------------------------------------------
@@ -310,6 +319,53 @@ def test_language_held_out(spark, sf_dir):
     assert len(got) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_vector(text, idf):
+    """The unit vector of a text by Python integers, gram by gram."""
+    codes = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+    count = Counter()
+    for n in (1, 2, 3):
+        for at in range(len(codes) - n + 1):
+            if any(c != 32 for c in (codes[at], codes[at + n - 1])):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x9E3779B97F4A7C15 + codes[at + k] + k + 1) * 0xBF58476D1CE4E5B9 % 2**64
+                count[(h >> 40) % len(idf)] += 1
+    v = {b: np.log(1 + c) * float(idf[b]) for b, c in count.items()}
+    size = sum(x * x for x in v.values()) ** 0.5
+    return {b: x / size for b, x in v.items()}
+
+
+def test_language_by_the_nearest_of_all_centroids(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    model = langid.train(docs, ~in_fold("doc_id", 4, 2))
+    assert len(set(model.languages)) > 2 and len(model.languages) > len(set(model.languages))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in QUERIES["op3_langid"](spark, sf_dir).collect():
+        if not any(c.isalpha() for c in text[r["doc_id"]]):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
+            continue
+        v = plain_vector(text[r["doc_id"]], model.idf)
+        cos = [sum(x * float(c[b]) for b, x in v.items()) for c in model.centroids]
+        top = max(cos)
+        near = {model.languages[i] for i, c in enumerate(cos) if c > top - 1e-5}
+        assert r["lang_pred"] in near and abs(r["score"] - min(1, max(0, top))) < 1e-4
+        floors = [langid.REJECT * model.floors[i] for i, c in enumerate(cos) if c > top - 1e-5]
+        assert r["rejected"] in {top < f for f in floors} or min(abs(top - f) for f in floors) < 1e-4
+
+
+def test_equal_cosines_and_frequent_languages(spark):
+    c = np.eye(2, 8192, dtype=np.float32)
+    c[1] = c[0]
+    model = langid.LanguageModel(np.ones(8192, np.float32), ["aa", "bb"], c, np.zeros(2))
+    df = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
+    assert langid.predict(df, model).first()["lang_pred"] == "aa"
+    rows = [(i, f"{'the cat sat ' if i % 2 else 'le chat est '} {i}" * 5, "en" if i % 2 else "fr") for i in range(20)] + [(100 + i, "junk", f"z{i}") for i in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), max_languages=2)
+    assert set(model.languages) == {"en", "fr"}
+    long = spark.createDataFrame([(1, "the cat sat " * 200_000)], "doc_id bigint, text string")
+    assert langid.predict(long, model).first()["lang_pred"] == "en"
+
+
 def test_language_odd_rows(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat sat on the mat " * 9, "en"), ("le chat est sur la table " * 9, "fr"), (None, "en"), ("", "en"), ("123 !!", "en"), ("the cat", None), ("le chat", "fr"), ("le chat", "fr")])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("x"))
@@ -328,6 +384,48 @@ def test_quality_held_out(spark):
     assert len(got) > 50 and np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
 
 
+def plain_stats(text):
+    """The statistics as they are defined, by character and word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return dict.fromkeys(quality.STATS, 0.0)
+    n, chars, threes = len(words), sum(len(w.encode()) for w in words), list(zip(words, words[1:], words[2:], strict=False))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    of = lambda some: sum(c in some for c in text)
+    upper, lower = of(string.ascii_uppercase), of(string.ascii_lowercase)
+    return {
+        "n_words": n, "mean_word": chars / n, "distinct_share": len(set(words)) / n, "top_word_share": max(map(words.count, set(words))) / n,
+        "same_as_last_share": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "repeat_share": 1 - len(set(threes)) / (n - 2) if n > 2 else 0.0,
+        "symbol_share": of("#*$%&<>@^~_=+{}[]\\") / n, "bar_share": of("|") / n, "bang_share": of("!") / n, "upper_share": upper / max(1, upper + lower), "digit_share": of(string.digits) / chars,
+        "letter_share": (upper + lower + sum(ord(c) >= 0xC0 for c in text)) / chars, "dup_line_share": 1 - len(set(lines)) / len(lines), "words_per_line": n / len(lines),
+        "capital_word_share": sum(bool(re.search("[A-Z]", w)) and not re.search("[a-z]", w) for w in words) / n,
+    }
+
+
+def test_quality_by_plain_rules_over_plain_statistics(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = docs_of(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model, again = (quality.train(d, labels, ~in_fold("doc_id", 5, 0)) for d in (docs, docs.orderBy(F.desc("doc_id"))))
+    assert model == again and model.rules
+    text = {r["doc_id"]: r["text"] for r in docs.where("n_chars < 6000").collect()}
+    close = lambda a, b: abs(a - b) < 1e-9 * max(1, abs(b))
+    for r in quality.scored(docs, model).collect():
+        if r["doc_id"] in text:
+            want = plain_stats(text[r["doc_id"]])
+            assert all(close(r[s], v) for s, v in want.items()), {s: (r[s], v) for s, v in want.items() if not close(r[s], v)}
+            z = model.bias + sum(w for rule, w in model.rules if all((r[s] <= t) == low for s, low, t in rule))
+            assert close(r["score"], 1 / (1 + np.exp(-z)))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in QUERIES["op6_quality"](spark, sf).collect()}
+    assert got == {r["doc_id"]: (r["score"], int(r["score"] >= 0.3)) for r in quality.scored(docs, model).collect()}
+
+
+def test_quality_of_repeated_keys_is_the_same_each_time(spark):
+    rows = [(i, f"word{i % 3} " * (i % 9 + 1) + f"v{v}" * v) for i in range(60) for v in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    models = [quality.train(spark.createDataFrame(x, "doc_id bigint, text string"), labels, F.lit(True)) for x in (rows, rows[::-1])]
+    assert models[0] == models[1]
+
+
 def test_rules_compile_to_what_they_mean(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))
@@ -554,7 +652,7 @@ def test_warc_bundles_are_seekable(spark, tmp_path):
     import zstandard
 
     rows = [(i, f"http://x/{i}", "<p>" + f"line {i % 7} " * 200) for i in range(60)] + [(100, None, None), (101, "u\r\nv", "tiny"), (102, "u", "tiny"), (0, "again", "<p>" + "line 0 " * 200)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("record_type", F.lit(1)).coalesce(1)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("record_type", "__first", "__n", "payload_digest", "refers_to")}).coalesce(1)
     index = warc.write_bundles(df, f"file://{tmp_path}/w", frame_bytes=4096, bundle_bytes=20_000)
     got = warc.read_records(index).collect()
     assert len(got) == len(rows) and index.select("bundle").distinct().count() > 1 and index.agg(F.max("frame")).first()[0] > 1
@@ -570,7 +668,12 @@ def test_warc_bundles_are_seekable(spark, tmp_path):
     raw = open(bundle, "rb").read()
     assert struct.unpack("<I", raw[-4:])[0] == warc.FOOTER
     whole = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
-    assert whole.count(b"WARC/1.1\r\n") == index.where(F.col("bundle").endswith(bundle.rsplit("/", 1)[1])).count()
+    assert whole.count(b"WARC/1.1\r\n") == 1 + index.where(F.col("bundle").endswith(bundle.rsplit("/", 1)[1])).count()
+    assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in whole
+    # Frames are dealt by the bytes of their records, each to one task.
+    read = warc.read_records(index, payloads=False, read_bytes=4000)
+    assert "payload" not in read.columns and len(set(read.select(F.spark_partition_id()).distinct().collect())) > 3
+    assert Counter(map(str, read.collect())) == Counter(str(r) for r in warc.read_records(index).drop("payload").collect())
     assert warc.read_records(warc.write_bundles(df.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
