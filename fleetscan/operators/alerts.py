@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import ALERT_LABELS, ALERT_MARK
 
 ALERT_CAP = 500
+#: Parts that a scan's alerts are numbered in first.
+PARTS = 64
 #: Percentages that a resource must exceed.
 LIMITS = {"cpu": 90.0, "memory": 85.0, "disk": 95.0}
 
@@ -31,10 +33,19 @@ def build_alerts(findings: DataFrame, path: str = "path", ips: str | None = None
     return rows.select("scan_id", "hostname", "rule", F.col(path).alias("path"), F.col("match_count"), title.alias("alert_name"), alert_label("severity").alias("severity"), (host_ip(ips) if ips else F.lit("127.0.0.1")).alias("ip"), F.to_json(F.struct("rule", F.col(path).alias("file"), "match_count")).alias("alert_description"))
 
 
-def cap_alerts(alerts: DataFrame, cap: int = ALERT_CAP, order: tuple[str, ...] = ("path", "rule")) -> DataFrame:
-    """The alerts with suppressed: true beyond the first ``cap`` of a scan."""
-    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order))
-    return alerts.withColumn("suppressed", place > cap)
+def cap_alerts(alerts: DataFrame, cap: int = ALERT_CAP, order: tuple[str, ...] | None = None) -> DataFrame:
+    """The alerts with suppressed: true beyond the first ``cap`` of a scan, in the order of
+    their time (``_time`` or ``event_timestamp_ms``, where there is one), path and rule.
+
+    A scan's alerts are numbered in parts first; what is behind ``cap`` in its part is so in
+    the scan, and only the others, at most ``cap`` a part, are numbered as a whole.
+    """
+    stamps = [c for c in ("_time", "event_timestamp_ms") if c in alerts.columns][:1]
+    by = order or (*stamps, "path", "rule")
+    parted = alerts.withColumn("__part", F.pmod(F.xxhash64("path", "rule"), F.lit(PARTS)))
+    near = parted.withColumn("__near", F.row_number().over(Window.partitionBy("scan_id", "__part").orderBy(*by)) <= cap)
+    whole = Window.partitionBy("scan_id", F.when(F.col("__near"), F.lit(-1)).otherwise(F.col("__part"))).orderBy(*by)
+    return near.withColumn("suppressed", ~F.col("__near") | (F.row_number().over(whole) > cap)).drop("__part", "__near")
 
 
 def rollup_alerts(capped: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import RULE_HIT, severity_rank
-from .scan import KEYS, Rule, decide, file_variables, scan_hits
+from .scan import KEYS, Rule, scan_files
 
 SAMPLE_CAP = 50
+#: Parts that a scan's or rule's rows are put in order in first.
+PARTS = 64
 
 
 def rule_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -79,41 +81,37 @@ def file_rows(findings: DataFrame, corpus: DataFrame, os_type: str = "os_type",
 
 
 CARRIED = ("os_type", "event_timestamp_ms")
-_SAMPLE = "array<struct<i:int,offset:bigint,string_id:string,matched:string>>"
 
 
-def gathered(hits: DataFrame, sample_cap: int = SAMPLE_CAP) -> DataFrame:
-    """A row for each (file, rule) with hits: match_count, the census, first offsets and the
-    sample, with the carried columns. Hits are dealt by file once, and all is worked out
-    in that partitioning."""
-    by_rule = Window.partitionBy(*KEYS, "rule")
-    by_id = Window.partitionBy(*KEYS, "rule", "string_id")
-    rows = hits.repartition(*KEYS).withColumn("__i", F.row_number().over(by_rule.orderBy("offset", "string_id", "matched")))
-    rows = rows.withColumn("__c", F.count("*").over(by_id)).withColumn("__f", F.min("offset").over(by_id))
-    one = F.struct(F.col("__i").alias("i"), "offset", "string_id", "matched")
-    kept = F.when(F.col("__i") <= sample_cap, one) if sample_cap else one
-    carried = [F.first(c).alias(c) for c in (*CARRIED, "file_size", "file_sha256")]
-    out = rows.groupBy(*KEYS, "rule").agg(*carried, F.count("*").alias("match_count"), F.sort_array(F.collect_set(F.struct(F.col("string_id").alias("id"), F.col("__c").alias("count"), F.col("__f").alias("first")))).alias("ids"), F.sort_array(F.collect_list(kept)).alias("sample_rows"))
-    return out.withColumns({"n": F.map_from_entries(F.transform("ids", lambda s: F.struct(s["id"], s["count"]))), "first": F.map_from_entries(F.transform("ids", lambda s: F.struct(s["id"], s["first"])))})
+def findings(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) -> DataFrame:
+    """The rows of :func:`findings_agg` for a corpus, in one pass over its contents and
+    without a shuffle."""
+    rows = scan_files(corpus, rules, sample_cap)
+    known = F.create_map(*(x for r in rules for x in (F.lit(r.rule), F.struct(F.lit(r.severity).alias("severity"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.create_map(*(F.lit(x) for kv in r.meta for x in kv)).cast("map<string,string>").alias("meta")))))
+    rule, sample = F.try_element_at(known, F.col("rule")), F.col("sample_rows")
+    return rows.select(
+        *KEYS,
+        "rule",
+        "match_scope",
+        rule["severity"].alias("severity"),
+        rule["tags"].alias("tags"),
+        rule["meta"].alias("meta"),
+        "match_count",
+        F.get(F.transform(sample, lambda s: s["offset"]), F.lit(0)).alias("first_offset"),
+        F.transform(sample, lambda s: s["offset"].cast("string")).alias("offsets"),
+        F.array_distinct(F.transform(sample, lambda s: s["matched"])).alias("strings"),
+        F.transform(F.slice(sample, 1, 3), lambda s: F.concat(s["string_id"], F.lit("@"), s["offset"].cast("string"))).alias("samples"),
+        F.transform("ids", lambda s: F.struct(s["id"].alias("id"), s["count"].alias("count"))).alias("string_ids"),
+        ((F.size(sample) > 0) & (F.col("match_count") > F.size(sample))).alias("truncated"),
+        "sample_rows",
+    )
 
 
 def scan(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) -> DataFrame:
     """The whole scan: file rows of a corpus (scan_id, hostname, os_type, path, content,
     event_timestamp_ms). Equal to :func:`file_rows` of :func:`findings_agg`, in one pass over
-    the contents and one shuffle of the hits."""
-    with_strings, without = [r for r in rules if r.strings], [r for r in rules if not r.strings]
-    cols = [*KEYS, *CARRIED, "file_size", "file_sha256", "rule", "match_count"]
-    parts = []
-    if with_strings:
-        got = gathered(scan_hits(corpus, with_strings, CARRIED, identity=True), sample_cap)
-        fired = decide(got.select("*", *file_variables()), with_strings)
-        parts.append(fired.select(*cols, F.transform("ids", lambda s: F.struct(s["id"].alias("id"), s["count"].alias("count"))).alias("string_ids"), "sample_rows"))
-    if without:
-        body = F.col("content").cast("binary")
-        files = corpus.select(*KEYS, *CARRIED, F.coalesce(F.octet_length(body).cast("bigint"), F.lit(-1)).alias("file_size"), "content", *file_variables(), F.explode(F.array(*(F.lit(r.rule) for r in without))).alias("rule"), F.expr("map('', 0L)").alias("n"), F.expr("map('', 0L)").alias("first"))
-        alone = decide(files, without).withColumn("file_sha256", F.sha2(body, 256)).withColumn("match_count", F.expr("1L"))
-        parts.append(alone.select(*cols, F.array().cast("array<struct<id:string,count:bigint>>").alias("string_ids"), F.array().cast(_SAMPLE).alias("sample_rows")))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    the contents and one shuffle of a small row for each (file, rule)."""
+    found = scan_files(corpus, rules, sample_cap, CARRIED)
     severities = F.create_map(*(F.lit(x) for r in rules for x in (r.rule, r.severity)))
     sample = F.col("sample_rows")
     one = F.struct(
@@ -121,7 +119,7 @@ def scan(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) ->
         "match_count",
         F.transform(sample, lambda s: s["offset"].cast("string")).alias("offsets"),
         F.array_distinct(F.transform(sample, lambda s: s["matched"])).alias("strings"),
-        "string_ids",
+        F.transform("ids", lambda s: F.struct(s["id"].alias("id"), s["count"].alias("count"))).alias("string_ids"),
         ((F.size(sample) > 0) & (F.col("match_count") > F.size(sample))).alias("truncated"),
         F.try_element_at(severities, F.col("rule")).alias("severity"),
     ).cast(RULE_HIT)
@@ -197,8 +195,15 @@ def rule_report(findings: DataFrame, budget: int = 65536) -> DataFrame:
     that would pass the byte budget is left out; the counts in the header stay whole."""
     line = F.concat(F.col("path"), F.lit(": "), F.col("match_count").cast("string"), F.lit(" hits "), F.array_join("samples", ", "))
     rows = findings.withColumn("line", line)
-    order = Window.partitionBy("scan_id", "hostname", "rule").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.withColumn("__used", F.sum(F.octet_length("line") + 1).over(order)).withColumn("line", F.when(F.col("__used") <= budget, F.col("line")))
+    # A rule may have any number of files. Within a part of them, a line behind one that
+    # passes the budget can't stay, so few lines are left to be put in order as a whole.
+    part, before = F.pmod(F.xxhash64("path"), F.lit(PARTS)), Window.unboundedPreceding
+    rows = rows.withColumn("__part", part).withColumn("__size", F.octet_length("line") + 1)
+    inner = Window.partitionBy("scan_id", "hostname", "rule", "__part").orderBy("path")
+    rows = rows.withColumn("__near", F.coalesce(F.sum("__size").over(inner.rowsBetween(before, -1)) <= budget, F.lit(True)))
+    outer = Window.partitionBy("scan_id", "hostname", "rule", F.when(F.col("__near"), F.lit(-1)).otherwise(F.col("__part"))).orderBy("path")
+    fits = F.col("__near") & (F.sum("__size").over(outer.rowsBetween(before, 0)) <= budget)
+    kept = rows.withColumn("line", F.when(fits, F.col("line")))
     out = kept.groupBy("scan_id", "hostname", "rule").agg(F.count("*").alias("files"), F.sum("match_count").alias("hits"), F.sort_array(F.collect_list("line")).alias("lines"), F.count(F.when(F.col("line").isNull(), 1)).alias("dropped_lines"))
     head = F.concat(F.lit("Rule "), F.col("rule"), F.lit(": "), F.col("hits").cast("string"), F.lit(" hits in "), F.col("files").cast("string"), F.lit(" files"))
     return out.select("scan_id", "hostname", "rule", "files", "hits", "dropped_lines", F.concat_ws("\n", head, F.array_join("lines", "\n")).alias("report"))

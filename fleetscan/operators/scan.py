@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,11 +89,13 @@ def hex_regex(text: str) -> bytes:
 
 
 class Matcher:
-    """Compiled forms of all patterns."""
+    """Compiled forms of all patterns: an Aho-Corasick automaton for the literals as they are
+    and one for those without case, so that a pack of thousands is found in one pass over
+    the bytes, and regular expressions one by one."""
 
     def __init__(self, patterns: tuple[Pattern, ...]):
-        self.plain: list[tuple[Pattern, bytes]] = []
         self.regex: list[tuple[Pattern, re.Pattern]] = []
+        literals: dict[bool, dict[bytes, list[Pattern]]] = {False: {}, True: {}}
         for p in patterns:
             if p.kind == "hex":
                 self.regex.append((p, re.compile(hex_regex(p.pattern), re.S)))
@@ -104,21 +108,31 @@ class Matcher:
                 forms.append(p.pattern.encode("utf-16-le") if raw is not None else b"".join(c + b"\x00" for c in re.findall(rb"\\.|[^\\]", p.pattern.encode())))
             for f in forms:
                 if raw is not None:
-                    self.plain.append((p, f.lower() if p.nocase else f))
+                    literals[p.nocase].setdefault(f.lower() if p.nocase else f, []).append(p)
                 else:
                     self.regex.append((p, re.compile(f, re.S | (re.I if p.nocase else 0))))
+        self.exact, self.folded = (self._automaton(literals[k]) for k in (False, True))
+
+    @staticmethod
+    def _automaton(literals: dict[bytes, list[Pattern]]):
+        """Over bytes as Latin-1 characters; None without literals."""
+        made = ahocorasick.Automaton()
+        for raw, owners in literals.items():
+            if raw:
+                made.add_word(raw.decode("latin-1"), (len(raw), tuple(owners)))
+        if not len(made):
+            return None
+        made.make_automaton()
+        return made
 
     def hits(self, data: bytes) -> Iterator[tuple[Pattern, int, bytes]]:
         """Every start offset of every string, overlaps included."""
-        low = None
-        for p, raw in self.plain:
-            if p.nocase and low is None:
-                low = data.lower()
-            text = low if p.nocase else data
-            at = text.find(raw)
-            while at >= 0:
-                yield p, at, data[at : at + len(raw)]
-                at = text.find(raw, at + 1)
+        for automaton, fold in ((self.exact, False), (self.folded, True)):
+            if automaton is not None:
+                for end, (size, owners) in automaton.iter((data.lower() if fold else data).decode("latin-1")):
+                    at = end + 1 - size
+                    for p in owners:
+                        yield p, at, data[at : end + 1]
         for p, rx in self.regex:
             m = rx.search(data)
             while m:
@@ -127,6 +141,31 @@ class Matcher:
                 m = rx.search(data, m.start() + 1)
 
 
+class Gathered:
+    """One rule's hits in one file: counts and first offsets by string, and the first
+    ``cap`` hits in order (0: all), of which no more than a few times as many are held."""
+
+    def __init__(self, cap: int):
+        self.cap, self.count, self.first, self.hits = cap, Counter(), {}, []
+
+    def add(self, string_id: str, offset: int, raw: bytes) -> None:
+        self.count[string_id] += 1
+        self.first[string_id] = min(offset, self.first.get(string_id, offset))
+        self.hits.append((offset, string_id, raw))
+        if self.cap and len(self.hits) > 8 * self.cap + 1000:
+            self._cut()
+
+    def _cut(self) -> None:
+        self.hits = sorted((o, i, render(r) if isinstance(r, bytes) else r) for o, i, r in self.hits)
+        if self.cap:
+            del self.hits[self.cap :]
+
+    def row(self) -> tuple[int, list[dict], list[dict]]:
+        self._cut()
+        ids = [{"id": i, "count": self.count[i], "first": self.first[i]} for i in sorted(self.count)]
+        return sum(self.count.values()), ids, [{"i": k, "offset": o, "string_id": i, "matched": m} for k, (o, i, m) in enumerate(self.hits, 1)]
+
+
 def render(raw: bytes) -> str:
     """Matched bytes as text: UTF-16LE where every second byte is 0, else UTF-8 if it is
     printable (tabs too), else hex."""
@@ -142,57 +181,108 @@ def render(raw: bytes) -> str:
 _MATCHERS: dict[tuple[Pattern, ...], Matcher] = {}
 
 
-def scan_hits(corpus: DataFrame, rules: list[Rule], carry: tuple[str, ...] = (), identity: bool = False) -> DataFrame:
+def _matcher(patterns: tuple[Pattern, ...]) -> Matcher:
+    if patterns not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[patterns] = Matcher(patterns)
+    return _MATCHERS[patterns]
+
+
+def scan_hits(corpus: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
     """(scan_id, hostname, path, rule, string_id, offset, matched) of every hit.
 
     The corpus has scan_id, hostname, path and content (bytes or text; null has no hits).
-    ``carry`` names columns that come along; ``identity`` adds file_size and file_sha256,
-    which are worked out where the file is scanned and for matched files only, so contents
-    are never shuffled or read again.
+    ``carry`` names columns that come along.
     """
     ship(corpus.sparkSession)
     patterns = tuple(p for r in rules for p in r.strings)
     names = [*KEYS, *carry]
     source = corpus.select(*names, F.col("content").cast("binary").alias("content"))
-    extra = ["file_size", "file_sha256"] if identity else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if patterns not in _MATCHERS:
-            _MATCHERS[patterns] = Matcher(patterns)
-        matcher = _MATCHERS[patterns]
+        matcher = _matcher(patterns)
         for b in batches:
             at, out = [], []
             for row, cell in enumerate(b.column(len(names))):
-                data = cell.as_py() or b""
-                who: tuple = ()
-                for p, offset, raw in matcher.hits(data):
-                    if identity and not who:
-                        who = (len(data), hashlib.sha256(data).hexdigest())
+                for p, offset, raw in matcher.hits(cell.as_py() or b""):
                     at.append(row)
-                    out.append((*who, p.rule, p.id or "$?", offset, render(raw)))
+                    out.append((p.rule, p.id or "$?", offset, render(raw)))
             keys = b.select(list(range(len(names)))).take(pa.array(at, pa.int64()))
-            types = [pa.int64(), pa.string()][: len(extra)] + [pa.string(), pa.string(), pa.int64(), pa.string()]
+            types = [pa.string(), pa.string(), pa.int64(), pa.string()]
             cols = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*names, *extra, "rule", "string_id", "offset", "matched"])
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*names, "rule", "string_id", "offset", "matched"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "content")
-    more = ", file_size bigint, file_sha256 string" if identity else ""
-    return source.mapInArrow(run, f"{head}{more}, rule string, string_id string, offset bigint, matched string")
+    return source.mapInArrow(run, f"{head}, rule string, string_id string, offset bigint, matched string")
+
+
+_ID = pa.struct([("id", pa.string()), ("count", pa.int64()), ("first", pa.int64())])
+_HIT = pa.struct([("i", pa.int32()), ("offset", pa.int64()), ("string_id", pa.string()), ("matched", pa.string())])
+FOUND = (("file_size", pa.int64()), ("file_sha256", pa.string()), ("rule", pa.string()), ("match_scope", pa.string()), ("match_count", pa.int64()), ("ids", pa.list_(_ID)), ("sample_rows", pa.list_(_HIT)))
+
 
+def scan_files(corpus: DataFrame, rules: list[Rule], sample_cap: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each file and rule that fires on it, in one pass over the contents.
 
-def decide(rows: DataFrame, rules: list[Rule], chunk: int = 100) -> DataFrame:
-    """Rows for which their rule's condition holds; large packs are taken in chunks."""
-    parts = []
+    Columns: scan_id, hostname, path, ``carry``, file_size (-1: no content), file_sha256,
+    rule, match_scope (string, or rule where the rule has no strings), match_count, ids (id,
+    count and first offset of each string with hits) and sample_rows (the first
+    ``sample_cap`` hits in order, 0: all). The corpus has a row for each file.
+
+    A file's hits all arise in the task that reads it, so they are counted there and never
+    shuffled, and files that match are hashed there. Conditions are evaluated on those rows;
+    those of rules without strings before the file is passed to Python.
+    """
+    ship(corpus.sparkSession)
+    with_strings, without = [r for r in rules if r.strings], [r for r in rules if not r.strings]
+    patterns = tuple(p for r in with_strings for p in r.strings)
+    names = [*KEYS, *carry]
+    body = F.col("content").cast("binary")
+    none = [F.expr("map('', 0L)").alias("n"), F.expr("map('', 0L)").alias("first")]
+    files = corpus.select(*names, body.alias("content"), F.coalesce(F.octet_length(body).cast("bigint"), F.lit(-1)).alias("file_size"), *file_variables(), *none)
+    alone = F.filter(F.array(*(F.when(F.expr(r.condition), F.lit(r.rule)) for r in without)).cast("array<string>"), lambda x: x.isNotNull())
+    source = files.select(*names, "content", alone.alias("alone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(patterns)
+        for b in batches:
+            at, out = [], []
+            for row, (cell, fired) in enumerate(zip(b.column(len(names)), b.column(len(names) + 1), strict=True)):
+                data, by_rule = cell.as_py(), {}
+                for p, offset, raw in matcher.hits(data or b""):
+                    by_rule.setdefault(p.rule, Gathered(sample_cap)).add(p.id or "$?", offset, raw)
+                rows = [(r, "string", *g.row()) for r, g in by_rule.items()] + [(r, "rule", 1, [], []) for r in fired.as_py()]
+                if rows:
+                    who = (-1, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                    at += [row] * len(rows)
+                    out += [(*who, *r) for r in rows]
+            keys = b.select(list(range(len(names)))).take(pa.array(at, pa.int64()))
+            cols = list(zip(*out, strict=True)) or [()] * len(FOUND)
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, FOUND, strict=True))], names=[*names, *(n for n, _ in FOUND)])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name not in ("content", "alone"))
+    found = source.mapInArrow(run, head + ", file_size bigint, file_sha256 string, rule string, match_scope string, match_count bigint, ids array<struct<id:string,count:bigint,first:bigint>>, sample_rows array<struct<i:int,offset:bigint,string_id:string,matched:string>>")
+    maps = found.withColumns({"n": F.map_from_entries(F.transform("ids", lambda s: F.struct(s["id"], s["count"]))), "first": F.map_from_entries(F.transform("ids", lambda s: F.struct(s["id"], s["first"])))})
+    decided = maps.select("*", *file_variables()).where((F.col("match_scope") == "rule") | holds(with_strings))
+    return decided.select(*names, *(n for n, _ in FOUND))
+
+
+def holds(rules: list[Rule], chunk: int = 100) -> Column:
+    """Whether the row's rule's condition holds: one column however many rules there are, by
+    chunks of cases, each null for other chunks' rules."""
+    cases = []
     for i in range(0, len(rules), chunk):
         own = rules[i : i + chunk]
-        holds: Column = F.lit(False)
-        for r in own:
-            holds = F.when(F.col("rule") == r.rule, F.coalesce(F.expr(r.condition), F.lit(False))).otherwise(holds)
-        parts.append(rows.where(holds) if len(rules) <= chunk else rows.where(F.col("rule").isin([r.rule for r in own]) & holds))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        case = F.when(F.col("rule") == own[0].rule, F.coalesce(F.expr(own[0].condition), F.lit(False)))
+        for r in own[1:]:
+            case = case.when(F.col("rule") == r.rule, F.coalesce(F.expr(r.condition), F.lit(False)))
+        cases.append(case)
+    return F.coalesce(*cases, F.lit(False))
+
+
+def decide(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows for which their rule's condition holds."""
+    return rows.where(holds(rules))
 
 
 def file_variables(path: str = "path") -> list[Column]:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .operators.alerts import alert_count_last_hour, build_alerts, cap_alerts, file_alert_events, resource_alerts, rollup_alerts
-from .operators.findings import detection_breakdown, evidence_unique, file_identity, findings_agg, match_events, rule_report, to_v3
+from .operators.findings import detection_breakdown, evidence_unique, file_identity, findings, match_events, rule_report, to_v3
 from .operators.lifecycle import delivery_shortfall, final_metrics, final_report, heartbeat_gaps, latest_scan_state, time_estimates, verify_host, worker_summary
 from .operators.maintenance import classify, filter_recent, gate, group_shards_by_scan, inventory, newest_ms, parse_names, parse_shard, plan, scan_rule_summary, scan_stats, select_legacy, select_rotated, shard_suffix, stale_scan_ids, summary_plan, target_name, terminal_map
-from .operators.scan import eval_conditions, scan_hits
+from .operators.scan import scan_hits
 from .operators.scope import classify_scope, dedupe_real_path, scope_filter, skip_breakdown, target_coverage, target_stats
 from .operators.telemetry import BLOCKS, efficiency_metrics, parse_telemetry, performance_metrics, resource_summary, resource_trends, throttle_reports
 from .plans import findings as pf
@@ -215,9 +215,7 @@ for _name, _f, _sql in (
 
 
 def _findings_of(spark: SparkSession, sf: str) -> DataFrame:
-    files = fx.corpus(spark, sf)
-    hits = scan_hits(files, fx.RULES)
-    return findings_agg(hits, eval_conditions(hits, fx.RULES, files), fx.RULES)
+    return findings(fx.corpus(spark, sf), fx.RULES)
 
 
 add("f12_skip_breakdown", lambda spark, sf: skip_breakdown(classify_scope(fx.corpus(spark, sf))), "SELECT 'Skipped extension' AS reason, count(*) AS files FROM documents WHERE doc_id % 17 = 0 HAVING count(*) > 0")

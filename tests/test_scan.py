@@ -1,7 +1,8 @@
 import pytest
 
 from fleetscan.operators import findings as fo
-from fleetscan.operators.scan import Pattern, Rule, at_offset, eval_conditions, hex_regex, of_them, render, scan_hits
+from fleetscan.operators.alerts import cap_alerts
+from fleetscan.operators.scan import Matcher, Pattern, Rule, at_offset, eval_conditions, hex_regex, of_them, render, scan_hits
 
 RULES = [
     Rule("MatchCalc", (Pattern("MatchCalc", "$mz", "4D 5A", "hex"), Pattern("MatchCalc", "$calc", "calc.exe", nocase=True)), f"{at_offset('$mz', 0)} AND {of_them(['$calc'])}", "medium"),
@@ -79,6 +80,51 @@ def test_one_pass_equals_the_steps(found, corpus):
         assert sorted(map(str, fo.scan(corpus, RULES, cap).collect())) == sorted(map(str, steps.collect()))
 
 
+def test_findings_in_one_pass_equal_the_steps(found, corpus):
+    for cap in (50, 3, 0):
+        hits = scan_hits(corpus, RULES)
+        steps = fo.findings_agg(hits, eval_conditions(hits, RULES, corpus), RULES, cap)
+        assert sorted(map(str, fo.findings(corpus, RULES, cap).select(steps.columns).collect())) == sorted(map(str, steps.collect()))
+
+
 def test_one_pass_never_shuffles_contents(corpus):
-    plan = fo.scan(corpus, RULES[:5])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
+    plan = fo.scan(corpus, RULES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("MapInArrow") == 1
+    assert "Exchange" not in fo.findings(corpus, RULES)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_pack_is_one_pass(corpus):
+    pack = [Rule(f"R{i}", (Pattern(f"R{i}", "$a", f"beacon{'.dll' if i == 700 else i}"),), of_them(["$a"]), "low") for i in range(1000)]
+    out = fo.scan(corpus, pack)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r["filename"], r["rules"][0]["rule"]) for r in out.orderBy("filename").collect()] == [("/a/3.dll", "R700"), ("/a/4.dll", "R700")]
+
+
+def test_the_matcher_finds_what_a_search_finds():
+    words = ["aa", "aba", "ab", "License", "bab"]
+    pack = tuple(Pattern("r", f"${i}{n}", w, nocase=n) for i, w in enumerate(words) for n in (False, True))
+    for data in (b"aabababaaLICENSElicenseLicense", b"", b"\xff\x00aa\xffAA", "é aa".encode()):
+        got = sorted((p.id, at, raw) for p, at, raw in Matcher(pack).hits(data))
+        want = sorted((p.id, at, data[at : at + len(p.pattern)]) for p in pack for at in range(len(data)) if (data.lower() if p.nocase else data)[at:].startswith(p.pattern.lower().encode() if p.nocase else p.pattern.encode()))
+        assert got == want
+
+
+def test_many_hits_of_a_file_keep_the_first(spark):
+    corpus = spark.createDataFrame([("s", "h", "linux", "/x", bytearray(b"xz" * 30_000), 1)], "scan_id string, hostname string, os_type string, path string, content binary, event_timestamp_ms bigint")
+    row = fo.findings(corpus, RULES).first()
+    assert row["match_count"] == 30_000 and row["offsets"] == [str(2 * i) for i in range(50)] and row["truncated"]
+
+
+def test_report_of_a_rule_with_many_files(spark):
+    rows = [("s", "h", f"/f/{i:04d}", "R", 1, ["$a@1"]) for i in range(500)]
+    df = spark.createDataFrame(rows, "scan_id string, hostname string, path string, rule string, match_count bigint, samples array<string>")
+    row = fo.rule_report(df, 1000).first()
+    size = len("/f/0000: 1 hits $a@1") + 1
+    assert row["report"].split("\n")[1:] == [f"/f/{i:04d}: 1 hits $a@1" for i in range(1000 // size)] and row["dropped_lines"] == 500 - 1000 // size
+
+
+def test_alerts_are_capped_in_order_of_time(spark):
+    rows = [("s", f"/p{i % 7}/{i}", "R", 1000 - i) for i in range(900)] + [("t", "/x", "R", 1)]
+    df = spark.createDataFrame(rows, "scan_id string, path string, rule string, event_timestamp_ms bigint")
+    kept = [r["event_timestamp_ms"] for r in cap_alerts(df, 20).where("scan_id = 's' AND NOT suppressed").collect()]
+    assert sorted(kept) == list(range(101, 121)) and cap_alerts(df, 20).count() == 901
