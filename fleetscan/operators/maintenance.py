@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PREFIX, TERMINAL
-from ..sources.tables import delete_rows, read_union
+from ..sources.tables import delete_rows, folders_of, read_union, remove
 
 #: Limits and grace periods.
 ROW_CEILING = 2_000_000
@@ -147,20 +146,28 @@ def reverify(counts: DataFrame) -> DataFrame:
 
 
 def coerce(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Exactly the named columns as number (whole if it is, else float), text or bool (true,
-    1 and yes); absent columns are null and others are dropped."""
+    """Exactly the named columns as number, integer, text or bool (true, 1 and yes); absent
+    columns are null and others are dropped. A value that isn't of its kind (text that is no
+    number, a fraction for an integer) is null there and kept as it was in ``unparsed``, a
+    map by column, so that nothing is lost."""
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
     def one(name: str, kind: str) -> Column:
-        c = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+        c = text(name)
         if kind == "number":
             return c.try_cast("double")
         if kind == "integer":
-            return F.when(F.floor(c.try_cast("double")) == c.try_cast("double"), c.try_cast("double").cast("bigint"))
+            whole = F.coalesce(c.try_cast("decimal(38,18)"), c.try_cast("double").try_cast("decimal(38,18)"))
+            return F.when(F.floor(whole) == whole, whole.try_cast("bigint"))
         if kind == "bool":
-            return F.when(c.isNotNull(), F.lower(c).isin("true", "1", "yes"))
+            return F.when(c.isNotNull(), F.lower(F.trim(c)).isin("true", "1", "yes"))
         return c
 
-    return df.select(*(one(n, k).alias(n) for n, k in kinds.items()))
+    lost = [F.when(text(n).isNotNull() & one(n, k).isNull(), F.struct(F.lit(n).alias("k"), text(n).alias("v"))) for n, k in kinds.items()]
+    kept = F.map_from_entries(F.filter(F.array(*lost), lambda x: x.isNotNull()))
+    return df.select(*(one(n, k).alias(n) for n, k in kinds.items()), kept.alias("unparsed"))
 
 
 def droppable(shard_scans: DataFrame, verified: DataFrame) -> DataFrame:
@@ -197,10 +204,10 @@ def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, elig
     stopped, ids = len(ids) > max_scans, ids[:max_scans]
     rows = read_union(list(shards.values())).where(F.col("scan_id").isin(ids))
     sources = rows.groupBy("scan_id").agg(F.count("*").alias("source_rows"))
-    try:
+    if folders_of(spark, target):
         there = spark.read.parquet(target).where(F.col("scan_id").isin(ids)).groupBy("scan_id").agg(F.count("*").alias("target_rows"))
         before = sources.join(there, "scan_id", "left")
-    except AnalysisException:  # no target yet
+    else:
         before = sources.withColumn("target_rows", F.lit(0).cast("bigint"))
     states = {r["scan_id"]: (r["state"], r["source_rows"]) for r in reverify(before).collect()}
     failed = {i: "row_ceiling_exceeded" for i, (_, n) in states.items() if n > ceiling}
@@ -223,6 +230,19 @@ def strip_verified(spark: SparkSession, path: str, verified: list[str], partitio
     return delete_rows(spark, path, F.col("scan_id").isin(verified), partition)
 
 
+def drop_sources(spark: SparkSession, paths: dict[str, str], shard_scans: DataFrame, outcome: Compaction, shared: tuple[str, ...] = ()) -> tuple[list[str], int]:
+    """The last step of a pass: remove the shards (``paths`` by name) all of whose scans are
+    verified, and the verified scans' rows from ``shared`` match tables. Returns the removed
+    shards and the number of rows. A dry run removes nothing."""
+    if outcome.dry_run or not outcome.verified:
+        return [], 0
+    verified = spark.createDataFrame([(i,) for i in outcome.verified], "scan_id string")
+    gone = sorted(r["shard"] for r in droppable(shard_scans, verified).collect() if r["shard"] in paths)  # some of the given paths
+    for name in gone:
+        remove(spark, paths[name])
+    return gone, sum(strip_verified(spark, p, outcome.verified) for p in shared)
+
+
 def compaction_status(plans: DataFrame, kinds: int) -> DataFrame:
     """A row for each scan: ready only if it is in all its kinds; blocked before pending.
     plans has scan_id, kind, state (ready, pending, blocked) and reason."""

@@ -16,9 +16,9 @@ SKIP_FRAGMENTS = ("/node_modules/", "/__pycache__/", "/.git/", "/.svn/", "/.hg/"
 FORCE_FRAGMENTS = ("/library/caches/google/chrome/", "/library/caches/chromium/", "/library/caches/microsoft edge/", "/library/caches/firefox/", "/library/caches/com.apple.safari/")
 FORCE_EXCEPT = ("/volumes/", "/media/", "/mnt/", "/net/")
 LINUX_SKIPS = ("/sys", "/proc", "/dev", "/run", "/tmp/.X11-unix", "/var/run", "/lost+found", "/media")
-MACOS_PREFIXES = ("/system", "/private/var/folders", "/private/var/db", "/private/var/root", "/private/var/vm", "/private/var/log", "/private/tmp", "/dev", "/volumes", "/.spotlight-v100", "/.documentrevisions-v100", "/.fseventsd", "/.temporaryitems", "/.trashes", "/library/developer", "/library/caches", "/library/logs")
+MACOS_PREFIXES = ("/system", "/private/var/folders", "/private/var/db", "/private/var/root", "/private/var/vm", "/private/var/log", "/private/tmp", "/dev", "/volumes", "/.spotlight-v100", "/.documentrevisions-v100", "/.fseventsd", "/.temporaryitems", "/.trashes", "/library/developer", "/library/caches", "/library/logs", "/applications/xcode.app/contents", "/applications/android studio.app/contents", "/applications/docker.app/contents", "/applications/vmware fusion.app/contents", "/applications/pycharm ce.app/contents", "/applications/webstorm.app/contents", "/applications/imovie.app/contents")
 MACOS_APPS = (".app/contents/frameworks/", ".app/contents/resources/", ".app/contents/_codesignature/")
-MACOS_FRAGMENTS = ("library/containers", "library/caches", "library/application support/google", "library/developer", "library/android", "library/python", "library/logs", "library/metadata", "library/group containers", "node_modules", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".gradle", ".android", ".dart_tool", "build", "dist", ".git", ".svn", ".idea", ".vscode")
+MACOS_FRAGMENTS = ("library/containers", "library/caches", "library/application support/google", "library/application support/jetbrains", "library/application support/code", "library/application support/slack", "library/developer", "library/android", "library/python", "library/logs", "library/metadata", "library/group containers", "pycharmprojects", "webstormprojects", "node_modules", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".gradle", ".android", ".dart_tool", "build", "dist", ".git", ".svn", ".idea", ".vscode")
 WINDOWS_FOLDERS = ("c:\\programdata\\microsoft defender", "c:\\$recycle.bin", "c:\\system volume information")
 DEFAULT_MAX_BYTES = 64 << 20
 
@@ -93,13 +93,22 @@ def skip_breakdown(classified: DataFrame) -> DataFrame:
 
 def target_coverage(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     """files for each requested target (target, hostname), and a status: covered, empty
-    (nothing below it), or invalid (not an absolute path)."""
+    (nothing below it), or invalid (not an absolute path).
+
+    Files are counted by each folder above them (and as themselves), so that targets are
+    looked up by equality and no file is held against every target of its host.
+    """
     valid = F.col("target").rlike(r"^(/|[A-Za-z]:\\)")
-    rows = targets.select("hostname", "target").distinct()
-    files = corpus.select(F.col("hostname").alias("__h"), F.col("path").alias("__p"))
-    below = (F.col("__p") == F.col("target")) | F.col("__p").startswith(F.concat(F.rtrim(F.col("target"), F.lit("/\\")), F.when(F.col("target").contains("\\"), "\\").otherwise("/")))
-    joined = rows.join(files, (F.col("hostname") == F.col("__h")) & below, "left")
-    return joined.groupBy("hostname", "target").agg(F.count("__p").alias("files")).withColumn("status", F.when(~valid, "invalid").when(F.col("files") == 0, "empty").otherwise("covered"))
+    rows = targets.select("hostname", "target").distinct().withColumn("__at", F.rtrim(F.col("target"), F.lit("/\\")))
+
+    def above(sep: str, regex: str) -> Column:
+        parts = F.split("path", regex)
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep))
+
+    folders = F.explode(F.array_distinct(F.concat(above("/", "/"), above("\\", r"\\"))))
+    counts = corpus.where("path is not null").select("hostname", folders.alias("__at")).groupBy("hostname", "__at").agg(F.count("*").alias("files"))
+    out = rows.join(counts, ["hostname", "__at"], "left").select("hostname", "target", F.coalesce("files", F.lit(0)).cast("bigint").alias("files"))
+    return out.withColumn("status", F.when(~valid, "invalid").when(F.col("files") == 0, "empty").otherwise("covered"))
 
 
 def target_stats(corpus: DataFrame, target: str = "target", seconds: str = "scan_secs") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +134,30 @@ def performance_metrics(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumns(out)
 
 
-def throttle_reports(reports: DataFrame, interval_secs: int = 30) -> DataFrame:
-    """The first report of each worker in every interval of the clock."""
-    slot = F.floor(F.unix_seconds("_time") / interval_secs)
-    order = Window.partitionBy("hostname", "worker_id", slot).orderBy("_time")
-    return reports.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+def throttle_reports(reports: DataFrame, interval_secs: float = 30) -> DataFrame:
+    """A worker's first report, and each that comes ``interval_secs`` or more after the last
+    one kept (0: all); rows without a time are left out.
+
+    Which reports are kept depends on those kept before, so each worker's rows are passed
+    through in order of time with the last kept time as the only state.
+    """
+    rows = reports.where(F.col("_time").isNotNull())
+    if not interval_secs:
+        return rows
+    keys, least = ["hostname", "worker_id"], int(interval_secs * 1_000_000)
+    ties = [c for c, t in rows.dtypes if c not in (*keys, "_time") and not t.startswith(("map", "variant"))]
+    micros = next(c for c in ("__us", "__us_", "__us__") if c not in rows.columns)
+    ordered = rows.withColumn(micros, F.unix_micros("_time")).repartition(*keys).sortWithinPartitions(*keys, "_time", *ties)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, last = None, 0
+        for b in batches:
+            names = [b.schema.get_field_index(k) for k in (*keys, micros)]
+            keep = []
+            for i, (host, worker, us) in enumerate(zip(*(b.column(n).to_pylist() for n in names), strict=True)):
+                if (host, worker) != who or us - last >= least:
+                    who, last = (host, worker), us
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64())).drop_columns([micros])
+
+    return ordered.mapInArrow(run, rows.schema)

@@ -52,9 +52,15 @@ def d9_scan_totals(findings: DataFrame) -> DataFrame:
 
 
 def d10_unfinished_runs(runs: DataFrame) -> DataFrame:
-    """Started rows whose next row isn't a terminal one."""
-    order = Window.orderBy("run_ts_ms", "status")
-    return runs.select("run_ts_ms", "status", F.lead("status").over(order).alias("following")).where((F.col("status") == "started") & (F.col("following").isNull() | (F.col("following") == "started"))).select("run_ts_ms", "status")
+    """Started rows whose next row isn't a terminal one. Rows are put in order day by day;
+    a day's last row is followed by the next day's first, of which there is one a day."""
+    rows = runs.select("run_ts_ms", "status", F.floor(F.col("run_ts_ms") / 86_400_000).alias("day"))
+    heads = rows.groupBy("day").agg(F.min(F.struct("run_ts_ms", "status"))["status"].alias("head"))
+    after = heads.select("day", F.lead(F.struct("head")).over(Window.orderBy("day")).alias("next"))
+    inside = F.lead(F.struct("status")).over(Window.partitionBy("day").orderBy("run_ts_ms", "status"))
+    followed = rows.withColumn("own", inside).join(after, "day")
+    following = F.when(F.col("own").isNotNull(), F.col("own.status")).otherwise(F.col("next.head"))
+    return followed.where((F.col("status") == "started") & (following.isNull() | (following == "started"))).select("run_ts_ms", "status")
 
 
 def d11_rules_per_scan(findings: DataFrame) -> DataFrame:

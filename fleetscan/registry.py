@@ -303,7 +303,11 @@ add(
     _on_telemetry(lambda t: resource_trends(t.where("type = 'system_resource_snapshot'")).select("hostname", "_time", "cpu_trend", "memory_trend", "data_points", F.round("cpu_avg", 4).alias("cpu_avg"))),
     T + ", z AS (SELECT hostname, _time, CAST(sys_cpu_percent AS DOUBLE) AS c, CAST(sys_memory_used_percent AS DOUBLE) AS m FROM x), o AS (SELECT *, count(*) OVER w AS k, first_value(c) OVER w AS c0, first_value(m) OVER w AS m0, avg(c) OVER w AS ca FROM z WINDOW w AS (PARTITION BY hostname ORDER BY _time ROWS BETWEEN 359 PRECEDING AND CURRENT ROW)) SELECT hostname, _time, CASE WHEN k < 2 THEN NULL WHEN k >= 5 AND (c - c0) / k > 2 THEN 'increasing' WHEN k >= 5 AND (c - c0) / k < -2 THEN 'decreasing' ELSE 'stable' END AS cpu_trend, CASE WHEN k < 2 THEN NULL WHEN k >= 5 AND (m - m0) / k > 5 THEN 'increasing' WHEN k >= 5 AND (m - m0) / k < -5 THEN 'decreasing' ELSE 'stable' END AS memory_trend, CASE WHEN k >= 2 THEN k ELSE 0 END AS data_points, CASE WHEN k >= 2 THEN round(round(ca, 6), 4) END AS cpu_avg FROM o",
 )
-add("p12_throttled_reports", _on_telemetry(lambda t: throttle_reports(t.where("type = 'performance' AND worker_id IS NOT NULL"), 3600).select("hostname", "worker_id", "_time")), T + "SELECT hostname, worker_id, _time FROM (SELECT *, row_number() OVER (PARTITION BY hostname, worker_id, epoch_us(_time) // 3600000000 ORDER BY _time) AS rn FROM w) WHERE rn = 1")
+add(
+    "p12_throttled_reports",
+    _on_telemetry(lambda t: throttle_reports(t.where("type = 'performance' AND worker_id IS NOT NULL"), 3600).select("hostname", "worker_id", "_time")),
+    T.replace("WITH ", "WITH RECURSIVE ", 1) + ", kept AS (SELECT hostname, worker_id, min(_time) AS _time FROM w GROUP BY 1, 2 UNION ALL SELECT w.hostname, w.worker_id, min(w._time) FROM kept JOIN w ON w.hostname = kept.hostname AND w.worker_id = kept.worker_id AND w._time >= kept._time + INTERVAL 1 HOUR GROUP BY 1, 2) SELECT hostname, worker_id, _time FROM kept",
+)
 add("d10_unfinished_runs", lambda spark, sf: pr.d10_unfinished_runs(fx.runs(spark, sf).withColumn("status", F.when(F.col("status") == "crashed", "started").otherwise(F.col("status")))), f"WITH r AS (SELECT run_ts_ms, CASE status WHEN 'crashed' THEN 'started' ELSE status END AS status FROM ({fx.duck(fx.RUNS, 'orders')})), q AS (SELECT *, lead(status) OVER (ORDER BY run_ts_ms, status) AS following FROM r) SELECT run_ts_ms, status FROM q WHERE status = 'started' AND (following IS NULL OR following = 'started')")
 add("d12_run_history", lambda spark, sf: pr.d12_cleanup_history(fx.runs(spark, sf).select("run_ts_ms", "status").distinct()), f"SELECT run_ts_ms, status, make_timestamp(run_ts_ms * 1000) AS run_time FROM (SELECT DISTINCT run_ts_ms, status FROM ({fx.duck(fx.RUNS, 'orders')})) ORDER BY run_ts_ms DESC, status LIMIT 20")
 add("d17_v3_top_rules", lambda spark, sf: pr.d17_v3_top_rules(to_v3(fx.file_findings(spark, sf))), F_SQL + "SELECT rule, CAST(sum(n) AS BIGINT) AS hits FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import CLEANUP_RUNS, COMPACTION_RUNS, FINDINGS, LIFECYCLE, RULESET, TELEMETRY, conform, schema
 
@@ -71,10 +72,17 @@ def read_union(dfs: list[DataFrame], text: str = FINDINGS) -> DataFrame:
     return conform(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs), text)
 
 
-def overwrite_host_findings(df: DataFrame, path: str) -> None:
-    """Replace the rows of the hosts in ``df``; other hosts' partitions stay. A missing table
-    is made; without rows nothing changes."""
-    conform(df, FINDINGS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hostname").parquet(path)
+def overwrite_host_findings(df: DataFrame, path: str, hosts: list[str] | None = None) -> None:
+    """Replace the rows of the hosts in ``df``; other hosts' partitions stay. ``hosts`` names
+    all that were scanned: those of them without rows are clean now, and their former rows
+    go. A missing table is made; without rows and hosts nothing changes."""
+    spark, rows = df.sparkSession, conform(df, FINDINGS)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hostname").parquet(path)
+    if hosts:
+        found = {r[0] for r in rows.where(F.col("hostname").isin(hosts)).select("hostname").distinct().collect()}  # some of the named hosts
+        clean = [h for h in hosts if h not in found]
+        if clean and folders_of(spark, path):
+            delete_rows(spark, path, F.col("hostname").cast("string").isin(clean), "hostname")
 
 
 def append_lifecycle(df: DataFrame, path: str) -> None:
@@ -102,22 +110,77 @@ def append_cleanup_run(spark: SparkSession, path: str, status: str, dry_run: boo
 
 def delete_rows(spark: SparkSession, path: str, gone: Column, partition: str) -> int:
     """Delete exactly the rows for which ``gone`` is true, from a table with a partition
-    column; only partitions with such rows are rewritten. Returns how many went."""
-    rows = spark.read.parquet(path)
-    doomed = F.coalesce(gone, F.lit(False))
-    counts = {r[partition]: r["n"] for r in rows.where(doomed).groupBy(partition).agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    if counts:
-        touched = rows.where(F.col(partition).isin(list(counts)))
-        side = f"{path.rstrip('/')}__rewrite"
-        touched.where(~doomed).write.mode("overwrite").partitionBy(partition).parquet(side)
-        left = {r[partition] for r in spark.read.schema(rows.schema).parquet(side).select(partition).distinct().collect()}
-        spark.read.schema(rows.schema).parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-        for value in set(counts) - left:
-            _remove(spark, f"{path.rstrip('/')}/{partition}={value}")
-        _remove(spark, side)
+    column; only partitions with such rows are rewritten. Returns how many went.
+
+    The partitions' folders are taken from the files, so null and escaped values are folders
+    like others. What stays of them is written aside, in full, before the first folder is
+    touched; a call that ended in between is finished by the next one. Afterwards no such
+    row is left, or this raises. One writer at a time is assumed.
+    """
+    path = path.rstrip("/")
+    _finish_delete(spark, path, partition)
+    shape, doomed = _shape(spark, path, partition), F.coalesce(gone, F.lit(False))
+    rows = spark.read.schema(shape).parquet(path)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    counts = {r["folder"]: r["n"] for r in rows.where(doomed).groupBy(folder.alias("folder")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    if not counts:
+        return 0
+    # Paths of files are URIs; Hadoop gives the folders' own names.
+    folders = [_path(spark, spark._jvm.java.net.URI(f)).toString() for f in counts]
+    side, touched = f"{path}__rewrite", f"{path}__touched"
+    spark.createDataFrame([(f,) for f in folders], "folder string").coalesce(1).write.mode("overwrite").parquet(touched)
+    spark.read.schema(shape).option("basePath", path).parquet(*folders).where(~doomed).write.mode("overwrite").partitionBy(partition).parquet(side)
+    _finish_delete(spark, path, partition)
+    if not spark.read.schema(shape).parquet(path).where(doomed).isEmpty():
+        raise RuntimeError(f"rows of {path} weren't deleted")
     return sum(counts.values())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _finish_delete(spark: SparkSession, path: str, partition: str) -> None:
+    """Put what was written aside in its place, if it was written in full."""
+    side, touched = f"{path}__rewrite", f"{path}__touched"
+    if _exists(spark, f"{side}/_SUCCESS") and _exists(spark, f"{touched}/_SUCCESS"):
+        folders = [r["folder"] for r in spark.read.schema("folder string").parquet(touched).collect()]
+        kept = {s.getPath().getName() for s in _fs(spark, side).listStatus(_path(spark, side)) if s.isDirectory()}
+        if kept:
+            spark.read.schema(_shape(spark, side, partition)).parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        for f in folders:
+            if f.rsplit("/", 1)[-1] not in kept:
+                remove(spark, f)
+    for f in (side, touched):
+        if _exists(spark, f):
+            remove(spark, f)
+
+
+def _shape(spark: SparkSession, path: str, partition: str) -> StructType:
+    """A table's schema with its partition column as text, as the folders spell it (a host
+    007 is no number)."""
+    return StructType([StructField(f.name, StringType()) if f.name == partition else f for f in spark.read.parquet(path).schema])
+
+
+def _path(spark: SparkSession, path):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _fs(spark, path).exists(_path(spark, path))
+
+
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it isn't there."""
+    return [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path)) if s.isDirectory()] if _exists(spark, path) else []
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether Spark wrote a table here and committed it."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that may be gone already; anything else that stays raises."""
+    if not _fs(spark, path).delete(_path(spark, path), True) and _exists(spark, path):
+        raise RuntimeError(f"{path} wasn't removed")

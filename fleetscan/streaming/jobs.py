@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +14,7 @@ from ..operators.findings import scan
 from ..operators.scan import Rule
 from ..operators.telemetry import parse_telemetry
 from ..schemas import TELEMETRY, TERMINAL, schema
+from ..sources.tables import folders_of, remove, written
 
 
 def ingest_telemetry(spark: SparkSession, source: str, sink: str, checkpoint: str, max_files: int = 1000):
@@ -25,11 +25,8 @@ def ingest_telemetry(spark: SparkSession, source: str, sink: str, checkpoint: st
 
 def tumbling(stream: DataFrame, span: str, keys: list[str], aggregates: list, late: str = "10 minutes") -> DataFrame:
     """Aggregates over tumbling windows of event time; rows later than ``late`` are dropped."""
-    return stream.withWatermark("_time", late).groupBy(F.window("_time", span), *keys).agg(*aggregates).select(F.col("window.start").alias("bin"), *keys, *(c for c in _names(aggregates)))
-
-
-def _names(aggregates: list) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggregates]
+    out = stream.withWatermark("_time", late).groupBy(F.window("_time", span), *keys).agg(*aggregates)
+    return out.select(F.col("window.start").alias("bin"), *out.columns[1:])
 
 
 def first_findings(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -136,27 +133,67 @@ def stale_scans(lifecycle: DataFrame, after_ms: int = 86_400_000, late: str = "1
     return timed.groupBy("scan_id").transformWithStateInPandas(StaleScan(after_ms), "scan_id string, status string, last_ms bigint", "Append", "EventTime")
 
 
-def upsert_latest(table: str, order: str = "event_timestamp_ms") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the latest row of each scan by event time, kept as a table that each
-    batch replaces by a new version."""
+BUCKETS = 64
+
+
+def _version(version: int) -> str:
+    return f"version={version:012d}"
+
+
+def read_latest(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
+    """The table that :func:`upsert_latest` keeps, as of all versions (or those ``below``
+    one), with its bucket; None before the first. Of each bucket the newest version counts."""
+    newest: dict[str, str] = {}
+    for name in sorted(folders_of(spark, table)):
+        if name.startswith("version=") and (below is None or int(name[8:]) < below) and written(spark, f"{table}/{name}"):
+            newest |= {b: f"{table}/{name}/{b}" for b in folders_of(spark, f"{table}/{name}")}
+    if not newest:
+        return None
+    return spark.read.option("mergeSchema", "true").option("basePath", table).parquet(*newest.values()).drop("version")
+
+
+def upsert_latest(table: str, order: str = "event_timestamp_ms", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the latest row of each scan by event time.
+
+    Rows are in buckets by scan. A batch writes its buckets anew, as a version of its own
+    number, from the newest versions below it; a batch that is tried again writes the same.
+    Versions without a bucket that still counts are removed, but the last two stay. A batch
+    without a column of the table raises and changes nothing.
+    """
 
     def run(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{table}/version={version - 1}")
-            rows = before.unionByName(batch.select(before.columns))
-        except AnalysisException:  # the first version
-            rows = batch
-        latest = rows.groupBy("scan_id").agg(F.max_by(F.struct(*rows.columns), F.struct(order, *(c for c in rows.columns if c not in (order, "scan_id")))).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{table}/version={version}")
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).cast("int"))
+        before, rows = read_latest(spark, table, version), own
+        if before is not None:
+            if lost := set(before.columns) - set(own.columns):
+                raise ValueError(f"the batch lacks {sorted(lost)}")
+            touched = own.select("bucket").distinct()  # at most ``buckets`` rows
+            rows = before.join(F.broadcast(touched), "bucket", "left_semi").unionByName(own, allowMissingColumns=True)
+        ties = F.struct(order, *(c for c in rows.columns if c not in (order, "scan_id", "bucket")))
+        latest = rows.groupBy("scan_id").agg(F.max_by(F.struct(*rows.columns), ties).alias("r")).select("r.*")
+        latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/{_version(version)}")
+        _forget(spark, table)
 
     return run
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    """Remove versions all of whose buckets have newer ones, the last two aside."""
+    seen: set[str] = set()
+    done = [n for n in sorted(folders_of(spark, table), reverse=True) if n.startswith("version=") and written(spark, f"{table}/{n}")]
+    for i, name in enumerate(done):
+        own = set(folders_of(spark, f"{table}/{name}"))
+        if i >= 2 and own <= seen:
+            remove(spark, f"{table}/{name}")
+        seen |= own
+
+
 def scan_new_files(rules: list[Rule], sink: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over a corpus stream: append the batch's file rows."""
+    """For foreachBatch over a corpus stream: the batch's file rows, in a partition of its
+    number, which a batch that is tried again replaces."""
 
     def run(batch: DataFrame, version: int) -> None:
-        scan(batch, rules).write.mode("append").parquet(sink)
+        scan(batch, rules).write.mode("overwrite").parquet(f"{sink}/batch={version}")
 
     return run

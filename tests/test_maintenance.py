@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscan.operators import maintenance as m
+from fleetscan.operators.telemetry import throttle_reports
 from fleetscan.schemas import FINDINGS, LIFECYCLE, conform
 from fleetscan.sources import tables
 
@@ -105,6 +106,65 @@ def test_tables(spark, tmp_path):
         conform(df.withColumn("odd", F.lit(1)), FINDINGS)
 
 
+def test_deletes_in_odd_partitions(spark, tmp_path):
+    to = str(tmp_path / "d")
+    hosts = ["a:b", "x/y", "k=v", "sp ace", "50%", "007", None, "ok"]
+    spark.createDataFrame([(h, i, h) for h in hosts for i in range(4)], "hostname string, n int, was string").write.partitionBy("hostname").parquet(to)
+    gone = F.col("n").isin(1, 2) | F.col("was").isin("k=v", "x/y") | F.col("was").isNull()
+    assert tables.delete_rows(spark, to, gone, "hostname") == 2 * 5 + 4 * 3
+    left = spark.read.parquet(to).collect()
+    assert sorted((r["was"], r["n"]) for r in left) == sorted((h, n) for h in ("a:b", "sp ace", "50%", "007", "ok") for n in (0, 3)) and all(str(r["hostname"]).lstrip("0") == r["was"].lstrip("0") for r in left)
+    assert tables.delete_rows(spark, to, F.col("n") == 9, "hostname") == 0 and not list(tmp_path.glob("d__*"))
+    # A call that ended before the folders were touched is finished by the next.
+    tables_finish, tables._finish_delete = tables._finish_delete, lambda *a: None
+    try:
+        with pytest.raises(RuntimeError):
+            tables.delete_rows(spark, to, F.col("was") == "ok", "hostname")
+    finally:
+        tables._finish_delete = tables_finish
+    assert tables.delete_rows(spark, to, F.col("n") == 9, "hostname") == 0
+    assert sorted({r["was"] for r in spark.read.parquet(to).collect()}) == ["007", "50%", "a:b", "sp ace"] and not list(tmp_path.glob("d__*"))
+
+
+def test_a_clean_rescan_empties_the_host(spark, tmp_path):
+    to = str(tmp_path / "f")
+    df = conform(spark.createDataFrame([("s1", "h:1", "/a"), ("s1", "h2", "/b"), ("s1", "h3", "/c")], "scan_id string, hostname string, filename string"), FINDINGS)
+    tables.overwrite_host_findings(df, to)
+    tables.overwrite_host_findings(df.where("hostname = 'h2'").withColumn("scan_id", F.lit("s2")), to, ["h:1", "h2", "none"])
+    assert {(r["scan_id"], r["hostname"]) for r in spark.read.parquet(to).collect()} == {("s2", "h2"), ("s1", "h3")}
+
+
+def test_coerce_loses_nothing(spark):
+    df = spark.createDataFrame([("0", "9.0", "7.5", " TRUE ", "x"), ("9.25", "9007199254740993", "q", "no", None)], "a string, b string, c string, d string, e string")
+    got = [r.asDict() for r in m.coerce(df, {"a": "number", "b": "integer", "c": "integer", "d": "bool", "e": "number", "f": "text"}).collect()]
+    assert got == [{"a": 0.0, "b": 9, "c": None, "d": True, "e": None, "f": None, "unparsed": {"c": "7.5", "e": "x"}}, {"a": 9.25, "b": 9007199254740993, "c": None, "d": False, "e": None, "f": None, "unparsed": {"c": "q"}}]
+
+
+def test_sources_go_after_verification(spark, tmp_path):
+    a, b, live = "sigscan_matches_v3_a_aaaaaa_202601", "sigscan_matches_v3_b_bbbbbb_202601", str(tmp_path / "live")
+    rows = {a: [("s1", "h1", 1), ("s1", "h1", 2)], b: [("s1", "h2", 3), ("s2", "h2", 4)]}
+    paths = {n: str(tmp_path / n) for n in rows}
+    for n, r in rows.items():
+        spark.createDataFrame(r, "scan_id string, hostname string, match_total bigint").write.parquet(paths[n])
+    spark.createDataFrame([("s1", "h1", 9), ("s2", "h1", 9)], "scan_id string, hostname string, n int").write.partitionBy("hostname").parquet(live)
+    shards = {n: spark.read.parquet(p) for n, p in paths.items()}
+    scans = spark.createDataFrame([(n, i) for n, r in rows.items() for i in {x[0] for x in r}], "shard string, scan_id string")
+    ids = spark.createDataFrame([("s1",)], "scan_id string")
+    dry = m.compact(spark, shards, str(tmp_path / "t"), ids)
+    assert m.drop_sources(spark, paths, scans, dry, (live,)) == ([], 0)
+    done = m.compact(spark, shards, str(tmp_path / "t"), ids, dry_run=False)
+    assert done.verified == ["s1"] and m.drop_sources(spark, paths, scans, done, (live,)) == ([a], 1)
+    assert not (tmp_path / a).exists() and (tmp_path / b).exists() and [r["scan_id"] for r in spark.read.parquet(live).collect()] == ["s2"]
+
+
+def test_throttling_counts_from_the_last_kept(spark):
+    rows = [("h", w, f"2024-01-01 00:0{s // 60}:{s % 60:02d}", s) for w in ("a", "b") for s in (29, 30, 59, 60, 88, 89)] + [("h", None, "2024-01-01 00:00:00", 0), ("h", "a", None, -1)]
+    df = spark.createDataFrame(rows, "hostname string, worker_id string, at string, n int").withColumn("_time", F.col("at").cast("timestamp"))
+    got = throttle_reports(df, 30)
+    assert got.columns == df.columns and sorted((str(r["worker_id"]), r["n"]) for r in got.collect()) == [("None", 0), ("a", 29), ("a", 59), ("a", 89), ("b", 29), ("b", 59), ("b", 89)]
+    assert throttle_reports(df, 0).count() == 13
+
+
 def test_union_of_versions_and_summary(spark):
     old = spark.createDataFrame([("s", "h", "/a", "r1", 3, 5)], "scan_id string, hostname string, filename string, rule string, match_count bigint, event_timestamp_ms bigint")
     both = tables.read_union([old, conform(old.limit(0), FINDINGS)])

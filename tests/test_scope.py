@@ -19,6 +19,11 @@ CASES = [
     ("/a/x.iso", "linux", "Skipped extension"),
     ("/a/Thumbs.db", "windows", "Skipped file name"),
     ("/a/own/skip/me", "linux", "Skipped path"),
+    ("/Users/u/Library/Application Support/JetBrains/x", "macos", "System directory"),
+    ("/Users/u/Library/Application Support/Slack/x", "macos", "System directory"),
+    ("/Users/u/PycharmProjects/a.py", "macos", "System directory"),
+    ("/Applications/Docker.app/Contents/MacOS/d", "macos", "System directory"),
+    ("/Applications/Docker2.app/Contents/MacOS/d", "macos", None),
 ]
 
 
@@ -42,3 +47,7 @@ def test_targets_without_files_show(spark):
     c = spark.createDataFrame([("h", "/a/x"), ("h", "/ab/x")], "hostname string, path string")
     got = {r["target"]: (r["files"], r["status"]) for r in target_coverage(t, c).collect()}
     assert got == {"/a": (1, "covered"), "/b": (0, "empty"), "c": (0, "invalid")}
+    t = spark.createDataFrame([("h", x) for x in ("/", "C:\\", "C:\\a", "/a/", "/a/x", "/a")], "hostname string, target string")
+    c = spark.createDataFrame([("h", x) for x in ("/a/x", "/a/b/y", "C:\\a\\b.exe", "C:\\ab")] + [("i", "/a/q")], "hostname string, path string")
+    got = {r["target"]: r["files"] for r in target_coverage(t, c).collect()}
+    assert got == {"/": 2, "C:\\": 2, "C:\\a": 1, "/a/": 2, "/a/x": 1, "/a": 2}

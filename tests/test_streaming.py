@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from fleetscan.operators.scan import Pattern, Rule, of_them
 from fleetscan.streaming import jobs
 
 
@@ -45,8 +47,34 @@ def test_upsert_takes_event_time(spark, tmp_path):
     write_json(tmp_path / "in", 2, [{"scan_id": "s", "status": "initiated", "event_timestamp_ms": 1}])
     q = stream(spark, tmp_path / "in", ddl).writeStream.foreachBatch(jobs.upsert_latest(str(tmp_path / "t"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(300)
-    last = sorted((tmp_path / "t").glob("version=*"))[-1]
-    assert [r["status"] for r in spark.read.parquet(str(last)).collect()] == ["completed"]
+    assert [r["status"] for r in jobs.read_latest(spark, str(tmp_path / "t")).collect()] == ["completed"]
+
+
+def test_upsert_is_idempotent_and_loses_nothing(spark, tmp_path):
+    table, ddl = str(tmp_path / "t"), "scan_id string, status string, event_timestamp_ms bigint"
+    up = jobs.upsert_latest(table, buckets=4)
+    batch = lambda *rows: spark.createDataFrame(list(rows), ddl)
+    up(batch(*((f"s{i}", "running", 1) for i in range(20))), 0)
+    up(batch(("s1", "completed", 5), ("s2", "failed", 0)), 1)
+    up(batch(("s1", "completed", 5), ("s2", "failed", 0)), 1)
+    got = {r["scan_id"]: r["status"] for r in jobs.read_latest(spark, table).collect()}
+    assert len(got) == 20 and got["s1"] == "completed" and got["s2"] == "running"
+    with pytest.raises(ValueError, match="status"):
+        up(batch(("s1", "x", 9)).drop("status"), 2)
+    # A version is missing: rows of other buckets and of earlier versions still count.
+    for v in range(3, 9):
+        up(batch((f"s{v}", f"v{v}", 10 + v)), v)
+    got = {r["scan_id"]: r["status"] for r in jobs.read_latest(spark, table).collect()}
+    assert len(got) == 20 and [got[f"s{v}"] for v in range(3, 9)] == [f"v{v}" for v in range(3, 9)] and got["s1"] == "completed"
+    assert len(jobs.folders_of(spark, table)) < 8
+
+
+def test_scan_of_a_batch_that_is_tried_again(spark, tmp_path):
+    rules = [Rule("R", (Pattern("R", "$a", "x"),), of_them(["$a"]), "low")]
+    batch = spark.createDataFrame([("s", "h", "linux", "/a", "xx", 1)], "scan_id string, hostname string, os_type string, path string, content string, event_timestamp_ms bigint")
+    for _ in range(2):
+        jobs.scan_new_files(rules, str(tmp_path / "out"))(batch, 3)
+    assert [(r["filename"], r["match_total"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("/a", 2, 3)]
 
 
 def test_stateful_processors(spark, tmp_path):
