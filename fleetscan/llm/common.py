@@ -3,48 +3,17 @@ intermediate tables, shipping of this package to executors, and row hygiene."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..work import shared_dir, work_path
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` where it is set.  Otherwise a temporary folder in local
-    mode (tests), and on a cluster the warehouse where it is in a store of its own: a folder
-    of one machine is an error there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if spark.sparkContext.master.startswith(("local[", "local")) and not spark.sparkContext.master.startswith("local-cluster"):
-        global _LOCAL
-        if _LOCAL is None or not os.path.isdir(_LOCAL):
-            _LOCAL = tempfile.mkdtemp(prefix="fleetscan-")
-        return "file://" + _LOCAL
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if "://" not in warehouse or warehouse.startswith("file:"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return warehouse + "/_work"
-
-
-_LOCAL: str | None = None
-
 __all__ = ["fresh", "hash_fraction", "in_fold", "join_classes", "materialize", "open_fs", "read_table", "shared_dir", "ship", "spread", "work_path"]
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
