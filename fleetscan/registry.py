@@ -19,6 +19,7 @@ from .plans import findings as pf
 from .plans import lifecycle as pl
 from .plans import recipes as pr
 from .plans import telemetry as pt
+from .table_queries import register as register_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,3 +321,5 @@ add("m24_recent_rail", lambda spark, sf: filter_recent(select_rotated(fx.catalog
 add("m26_legacy", lambda spark, sf: select_legacy(fx.catalog(spark, sf), 5, 6, 2026, 8).select("name", "selected", "reason"), _N + f"SELECT name, CASE WHEN version = 5 THEN false ELSE {_REASON} IS NULL END AS selected, CASE WHEN version = 5 THEN 'current_schema' ELSE {_REASON} END AS reason FROM n")
 add("m30_stale_scans", _on_scans(lambda s: stale_scan_ids(s, "host_3", "scan_3")), S + "SELECT DISTINCT scan_id FROM s WHERE hostname = 'host_3' AND scan_id <> 'scan_3'")
 add("m31_shards_by_scan", _on_scans(lambda s: group_shards_by_scan(s.withColumn("shard", F.col("os_type")))), S + "SELECT scan_id, os_type AS shard, count(*) AS rows FROM s GROUP BY 1, 2")
+
+register_tables(add, F_SQL, S, T, _N, _REASON)
