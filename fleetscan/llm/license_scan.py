@@ -1,12 +1,14 @@
 """Licence scan by conditional compression (operator 10).
 
-A text with a licence word is scanned as one sequence of words, so line breaks, comment
-signs and blank lines don't matter.  A template is confirmed wherever its meaningful words
-(all but filler) stand in the text one after the other with nothing but filler between, and
-at most a share of its filler is missing: a licence of another name or version is another
-licence, however well it compresses.  Of confirmed notices that overlap, the one with the
-most meaningful words stays; ties go to the template that, as a raw Zstandard dictionary,
-saves the most bytes of the notice.  SPDX tags are read by their own grammar.
+Candidate blocks are the words around a licence word, over line breaks, comment signs and
+blank lines; blocks that touch are one.  A block is compressed with each template as a raw
+Zstandard dictionary, and the templates are ranked by the bytes they save.  In that order
+they are confirmed by their exact wording: where a template's meaningful words (all but
+filler) stand in the block one after the other with nothing but filler between, and at most
+a share of its filler is missing.  A licence of another name or version is another licence,
+however well it compresses.  The first to be confirmed takes its words; no template is left
+untried, so the ranking decides between notices that overlap and loses none.  SPDX tags are
+read by their own grammar.
 """
 
 from __future__ import annotations
@@ -109,6 +111,8 @@ _TOKEN = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*|\d+(?:\.\d+)*")
 _COMMENT = re.compile(r"^[ \t]*(?:REM|dnl)\b", re.M)
 #: Words of the template that a notice may lack (share).
 MAX_MISSING = 0.25
+#: Compression level: templates are ranked by what a block's bytes have in common with them.
+LEVEL = 3
 #: The end of a sentence: no version number of a name before it stands behind it.
 _STOP = re.compile(r"(?<!\bv)(?<!\bver)\.\s", re.I)
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)|\blicen[sc]e[\x22']?\s*[:=]\s*[\x22']([^\x22'\r\n]+)[\x22']", re.I)
@@ -148,16 +152,16 @@ class Scanner:
     """Templates with their dictionaries; one is made for each worker."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
+        self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.each = []
-        self.by_first: dict[str, list[int]] = {}
         self.ids = {n.lower(): n for n, _ in templates}
         for i, (name, t) in enumerate(templates):
             want = tokens(t)
             core = [k for k, w in enumerate(want) if w not in FILLER] or list(range(len(want)))
             shared = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append((name, want, core, zstandard.ZstdCompressor(level=19, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
-            self.by_first.setdefault(want[core[0]], []).append(i)
+            self.each.append((name, want, core, zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        # Words beside a licence word that a notice may reach: a template's, and added filler.
+        self.reach = 3 * max((len(want) for _, want, _, _ in self.each), default=0) // 2
 
     def saved(self, notice: str, i: int) -> int:
         """Bytes that template ``i`` saves of the notice."""
@@ -175,14 +179,14 @@ class Scanner:
             return None
         held, taken = set(core), set(places)
         for k, x, p, q in zip(core, core[1:], places, places[1:], strict=False):
-            for i_, j in common(want[k + 1 : x], own[p + 1 : q]):
+            for i_, j in common(want[k + 1 : x], own[p + 1 : min(q, p + 1 + self.reach)]):
                 held.add(k + 1 + i_)
                 taken.add(p + 1 + j)
-        low = heavy[at - 1] + 1 if at else 0
+        low = max(heavy[at - 1] + 1 if at else 0, places[0] - self.reach)
         for i_, j in common(want[: core[0]][::-1], own[low : places[0]][::-1]):
             held.add(core[0] - 1 - i_)
             taken.add(places[0] - 1 - j)
-        high = heavy[at + len(core)] if at + len(core) < len(heavy) else len(own)
+        high = min(heavy[at + len(core)] if at + len(core) < len(heavy) else len(own), places[-1] + 1 + self.reach)
         for i_, j in common(want[core[-1] + 1 :], own[places[-1] + 1 : high]):
             held.add(core[-1] + 1 + i_)
             taken.add(places[-1] + 1 + j)
@@ -212,29 +216,52 @@ class Scanner:
                     break
         return out
 
+    def blocks(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Ranges of words around the licence words of a text, apart from each other."""
+        starts, out = [a for a, _ in spans], []
+        for m in CANDIDATE.finditer(text):
+            at = bisect.bisect_right(starts, m.start()) - 1
+            low, high = max(0, at - self.reach), min(len(spans), bisect.bisect_left(starts, m.end()) + self.reach)
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], high)
+            else:
+                out.append((low, high))
+        return out
+
+    def ranked(self, block: str) -> list[int]:
+        """The templates by the bytes they save of a block, most first; of equal ones those
+        with more meaningful words, and more words."""
+        raw = block.lower().encode()
+        size = [len(x[3].compress(raw)) for x in self.each]
+        return sorted(range(len(self.each)), key=lambda i: (size[i], -len(self.each[i][2]), -len(self.each[i][1]), i))
+
     def notices(self, text: str) -> list[dict]:
         """Every confirmed notice that no better one overlaps, in the order of the text."""
         off = {m.end() for m in _COMMENT.finditer(text)}
         found = [m for m in _TOKEN.finditer(text) if m.end() not in off]
         own, spans = [plain(m[0]) for m in found], [m.span() for m in found]
         heavy = [j for j, w in enumerate(own) if w not in FILLER]
+        starts, out = [], []
+
+        def take(name: str, start: int, end: int, saved: int, missing: list[str], added: list[str]) -> None:
+            k = bisect.bisect(starts, start)
+            if (k == 0 or out[k - 1]["end"] <= start) and (k == len(out) or end <= starts[k]):
+                starts.insert(k, start)
+                out.insert(k, {"license": name, "start": start, "end": end, "saved": saved, "missing": missing, "added": added})
+
         # An id in a tag is as good as can be.
-        ranked = [((1 << 30, 0, 0, 0), {"license": n, "start": a, "end": b, "saved": max([0, *(self.saved(text[a:b], i) for i, t in enumerate(self.each) if t[0] == n)]), "missing": [], "added": []}) for n, a, b in self.tagged(text)]
-        for at, p in enumerate(heavy):
-            for i in self.by_first.get(own[p], ()):
-                if got := self.match(i, own, heavy, at, text, spans):
-                    a, b, missing, added = got
+        for n, a, b in self.tagged(text):
+            take(n, a, b, max([0, *(self.saved(text[a:b], i) for i, t in enumerate(self.each) if t[0] == n)]), [], [])
+        for low, high in self.blocks(text, spans):
+            places: dict[str, list[int]] = {}
+            for at in range(bisect.bisect_left(heavy, low), bisect.bisect_left(heavy, high)):
+                places.setdefault(own[heavy[at]], []).append(at)
+            for i in self.ranked(text[spans[low][0] : spans[high - 1][1]]) if low < high else ():
+                name, want, core, _ = self.each[i]
+                confirmed = [m for at in places.get(want[core[0]], ()) if (m := self.match(i, own, heavy, at, text, spans))]
+                for a, b, missing, added in sorted(confirmed, key=lambda m: (len(m[2]) + len(m[3]), m[0])):
                     start, end = spans[a][0], spans[b - 1][1]
-                    name, want, core, _ = self.each[i]
-                    saved = self.saved(text[start:end], i)
-                    ranked.append(((len(core), -len(missing) - len(added), len(want), saved), {"license": name, "start": start, "end": end, "saved": saved, "missing": missing, "added": added}))
-        ranked.sort(key=lambda x: (*(-v for v in x[0]), x[1]["start"]))
-        starts, out = [], []
-        for _, n in ranked:
-            k = bisect.bisect(starts, n["start"])
-            if (k == 0 or out[k - 1]["end"] <= n["start"]) and (k == len(out) or n["end"] <= starts[k]):
-                starts.insert(k, n["start"])
-                out.insert(k, n)
+                    take(name, start, end, self.saved(text[start:end], i), missing, added)
         return out
 
 
@@ -257,7 +284,8 @@ NOTICE = "array<struct<license:string,start:bigint,end:bigint,saved:bigint,missi
 def scan_licenses(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """``keys``, n_candidates (lines with a licence word) and notices (licence, its offsets,
     bytes saved, words missing and added) of every row; null and empty texts have none. Repeated rows give
-    equal results; other columns are ignored."""
+    equal results; texts of any length are scanned whole, in time that grows with their
+    length; other columns are ignored."""
     ship(docs.sparkSession)
     source = docs.select(*keys, docs[text].alias("__text"))
     item = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saved", pa.int64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))])

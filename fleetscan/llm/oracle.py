@@ -60,4 +60,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9}
+_RULES = ("few_words", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words", "upper_case")
+_ABLATIONS = _OP9.rsplit("SELECT *", 1)[0] + "SELECT rule, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (failures = bit) AS BIGINT) AS sole, CAST(count(*) FILTER (failures = 0) AS BIGINT) AS kept FROM f, (VALUES " + ", ".join(f"('{r}', {1 << i})" for i, r in enumerate(_RULES)) + ") r(rule, bit) GROUP BY rule"
+
+ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}

@@ -66,12 +66,16 @@ def op9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", *ledger.MEASURES, "failures", (~ledger.passes("v1")).alias("base_failed"), ledger.passes("v3").alias("kept"))
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.ablations(ledger.ledger(read_table(spark, sf_dir, "documents")), "v3")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_candidates", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"), "notices")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "op10_licenses": op10_licenses}
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "ledger_ablations": ledger_ablations, "op10_licenses": op10_licenses}
 from .oracle import ORACLE_SQL  # noqa: E402
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,10 +3,12 @@
 import datetime
 import hashlib
 import ipaddress
+import itertools
 import json
 import re
 import string
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -831,6 +833,62 @@ def test_licence_counts(spark, sf_dir):
         assert want and want <= {i for i, x in got.items() if name in x}
 
 
+def shared_words(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, old=row, x=x: old[j - 1] + 1 if x == b[j - 1] else max(left, old[j]), initial=0))
+    return row[-1]
+
+
+def plain_notices(text):
+    """(licence, start, end) from the first to the last meaningful word of all exact wordings,
+    each template held against each place of the text."""
+    words = [(license_scan.plain(m[0]), *m.span()) for m in license_scan._TOKEN.finditer(text)]
+    heavy = [k for k, w in enumerate(words) if w[0] not in license_scan.FILLER]
+    out = set()
+    for name, t in license_scan.TEMPLATES:
+        want = license_scan.tokens(t)
+        core = [k for k, w in enumerate(want) if w not in license_scan.FILLER] or list(range(len(want)))
+        for at in range(len(heavy) - len(core) + 1):
+            places = heavy[at : at + len(core)]
+            if [words[p][0] for p in places] != [want[k] for k in core]:
+                continue
+            edges, ends = [-1, *core, len(want)], [heavy[at - 1] if at else -1, *places, heavy[at + len(core)] if at + len(core) < len(heavy) else len(words)]
+            held = len(core) + sum(shared_words(want[a + 1 : b], [w[0] for w in words[c + 1 : d]]) for a, b, c, d in zip(edges, edges[1:], ends, ends[1:], strict=False))
+            sentences = any(words[q][0][0].isdigit() and license_scan._STOP.search(text[words[p][2] : words[q][1]]) for p, q in zip(places, places[1:], strict=False))
+            if len(want) - held <= 0.25 * len(want) and not (len(core) <= 4 and sentences) and len(want) > 2:
+                out.add((name, words[places[0]][1], words[places[-1]][2]))
+    return out
+
+
+def test_licences_of_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    text = {r["doc_id"]: r["text"] for r in docs_of(spark, sf).collect()}
+    found = Counter()
+    for r in QUERIES["op10_licenses"](spark, sf).collect():
+        t = text[r["doc_id"]] or ""
+        spans = [(n["license"], n["start"], n["end"]) for n in r["notices"]]
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False)) and r["n_notices"] == len(spans) and r["licenses"] == ",".join(sorted({n for n, _, _ in spans}))
+        exact = plain_notices(t) if license_scan.CANDIDATE.search(t) else set()
+        for name, a, b in exact:
+            assert any(x <= a and b <= y for _, x, y in spans if name == _) or any(x < b and a < y for _, x, y in spans if name != _), (r["doc_id"], name)
+        for name, x, y in spans:
+            assert any(name == n and x <= a and b <= y for n, a, b in exact), (r["doc_id"], name, t[x:y])
+            found[name] += 1
+    assert sum(found.values()) > 30 and len(found) >= 4
+
+
+def test_every_template_has_a_licence_word_and_long_texts_take_little_time():
+    assert all(license_scan.CANDIDATE.search(t) for _, t in license_scan.TEMPLATES)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    began = time.process_time()
+    for t in ("license " * 50_000, "mit license is the " * 20_000, "word " * 100_000 + "Released under the MIT License. " + "word " * 100_000, "MIT License" + " the" * 100_000):
+        n, notices = license_scan.scan_text(t, scanner)
+        assert n == 1 and ("MIT" not in t or [x["license"] for x in notices] == ["MIT"])
+    assert time.process_time() - began < 60
+
+
 def test_fold_of_null(spark):
     assert spark.createDataFrame([(None,), (1,)], "d bigint").select(in_fold("d", 1, 0)).collect()[0][0] is False
     assert json.loads("[]") == []
