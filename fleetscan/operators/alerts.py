@@ -68,6 +68,13 @@ def resource_alerts(snapshots: DataFrame, limits: dict[str, float] = LIMITS) ->
 
 
 def alert_count_last_hour(alerts: DataFrame) -> DataFrame:
-    """alerts_last_hour: this host's alerts in the hour up to each."""
-    span = Window.partitionBy("hostname").orderBy(F.col("_time").cast("double")).rangeBetween(-3600, 0)
-    return alerts.withColumn("alerts_last_hour", F.count("*").over(span))
+    """alerts_last_hour: this host's alerts in the hour up to each.
+
+    A host's alerts are counted clock hour by clock hour, each with those of the hour before
+    beside its own, so that one host never fills a task.
+    """
+    hour = F.floor(F.col("_time").cast("double") / 3600)
+    rows = alerts.withColumn("__own", hour).withColumn("__hour", F.explode(F.when(hour.isNull(), F.array(hour)).otherwise(F.array(hour, hour + 1))))
+    span = Window.partitionBy("hostname", "__hour").orderBy(F.col("_time").cast("double")).rangeBetween(-3600, 0)
+    counted = rows.withColumn("alerts_last_hour", F.count("*").over(span))
+    return counted.where(F.col("__hour").eqNullSafe(F.col("__own"))).drop("__own", "__hour")
