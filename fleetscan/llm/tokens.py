@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Runs kept per Python worker. A full cache takes no more; frequent runs come first.
-CACHE_RUNS = 600_000
+CACHE_RUNS = 300_000
 #: Runs longer than this are encoded but not kept.
 CACHE_CHARS = 48
 
@@ -75,7 +75,7 @@ def strings(words: pa.Array) -> list[str]:
     return pc.binary_join(one, " ")[0].as_py().split(" ")
 
 
-def encode_column(batch: pa.RecordBatch, column: str, path: str, end_id: int | None, block_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encode_column(batch: pa.RecordBatch, column: str, path: str, end_id: int | None, block_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Blocks of a batch with their ids and bounds, ``end_id`` after each text's ids.
 
     A block holds about ``block_bytes`` of text (or one longer text), which bounds the
@@ -119,7 +119,14 @@ class RunEncoder:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids by the library's whole pipeline."""
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.tobytes() for x in self._ids(self.tokenizer, texts)]
+
+    @staticmethod
+    def _ids(by, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. The library's results are large, so few are held at once."""
+        for at in range(0, len(texts), 256):
+            for e in by.encode_batch_fast(texts[at : at + 256], add_special_tokens=False):
+                yield np.asarray(e.ids, dtype="<u4")
 
     def encode(self, texts: list[str | None] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each followed by ``end_id``, and where each
@@ -208,8 +215,7 @@ class RunEncoder:
     def _split(self, by, runs: list[str], coded: list[str], head: str, group: int = 64) -> dict[str, bytes]:
         """Ids of runs, each with a space before it, many to a call. A run has no space
         within it, so a token that opens with the space's mark opens a run."""
-        parts = by.encode_batch_fast([head + " ".join(coded[i : i + group]) for i in range(0, len(coded), group)], add_special_tokens=False)
-        ids = np.concatenate([np.asarray(p.ids, dtype="<u4") for p in parts])
+        ids = np.concatenate(list(self._ids(by, [head + " ".join(coded[i : i + group]) for i in range(0, len(coded), group)])))
         at = np.flatnonzero(self.opens[ids])
         if len(at) != len(runs):  # a vocabulary without the usual alphabet
             return dict(zip(runs, self.whole([" " + r for r in runs]), strict=True))
