@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, materialize, ship
+from .common import hash_fraction, ship
 
 #: Hash buckets of the n-grams, and n.
 BUCKETS, GRAMS = 8192, 3
