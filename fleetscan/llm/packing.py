@@ -29,7 +29,7 @@ STEP_TOKENS = 8192
 #: Remainders that a task packs at once; a rest under one window goes to the next block.
 BLOCK_ROWS = 20_000
 #: Tokens after which a task packs, however few its remainders.
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 4_000_000
 
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("capacity", pa.int32()), ("step_id", pa.int64())]
 
