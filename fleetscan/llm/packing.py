@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import ship
-from .tokens import default_tokenizer, encode_column
+from .tokens import default_tokenizer, encode_column, release_memory
 
 #: Context sizes, ascending powers of two.
 TIERS = (128, 256, 512, 1024)
@@ -169,6 +169,7 @@ def pack_documents(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pack_task(batches, list(keys), path, tiers, end_id, step_tokens, TaskContext.get().partitionId())
+        release_memory()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     return source.mapInArrow(run, f"{schema}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, capacity int, step_id long")

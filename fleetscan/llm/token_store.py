@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from .common import fresh, materialize, open_fs, ship, spread
-from .tokens import default_tokenizer, encode_column
+from .tokens import default_tokenizer, encode_column, release_memory
 
 #: Writer settings: bytes of ids in a row group, bytes of a page, and of a dictionary.
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 32 << 20, 256 << 10, 8 << 20
@@ -122,6 +122,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([own_part], pa.int32()), pa.array([name]), pa.array([n_rows]), pa.array([before]), pa.array([out.groups], pa.int32())], names=["file_part", "file", "n_rows", "n_tokens", "row_groups"])
+        release_memory()
 
     ordered = in_order(docs, key, text).select(key, F.col(text).alias(body))
     ordered.mapInArrow(run, REPORT).write.parquet(f"{path}/reports")

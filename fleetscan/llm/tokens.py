@@ -75,6 +75,11 @@ def strings(words: pa.Array) -> list[str]:
     return pc.binary_join(one, " ")[0].as_py().split(" ")
 
 
+def release_memory() -> None:
+    """Give Arrow's unused memory back, as a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+
+
 def encode_column(batch: pa.RecordBatch, column: str, path: str, end_id: int | None, block_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Blocks of a batch with their ids and bounds, ``end_id`` after each text's ids.
 
@@ -91,6 +96,7 @@ def encode_column(batch: pa.RecordBatch, column: str, path: str, end_id: int | N
         part = batch.slice(at, stop - at)
         yield part, *enc.encode(part.column(part.schema.get_field_index(column)), end_id)
         at = stop
+    release_memory()
 
 
 class RunEncoder:
