@@ -63,4 +63,27 @@ FROM p LEFT JOIN f USING (payload_digest)
 _RULES = ("few_words", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words", "upper_case")
 _ABLATIONS = _OP9.rsplit("SELECT *", 1)[0] + "SELECT rule, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (failures = bit) AS BIGINT) AS sole, CAST(count(*) FILTER (failures = 0) AS BIGINT) AS kept FROM f, (VALUES " + ", ".join(f"('{r}', {1 << i})" for i, r in enumerate(_RULES)) + ") r(rule, bit) GROUP BY rule"
 
-ORACLE_SQL: dict[str, str] = {"op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}
+_OP11 = """
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS v
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+), h AS (
+  SELECT c, v, c - c % 100 AS b, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda a, x: list_reduce([xor(a, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)), 4294967295::UBIGINT) % 6 AS h
+  FROM own
+), re AS (
+  SELECT h.c, list_concat(coalesce(o.v[1:h.h], []), h.v[h.h + 1:]) AS v FROM h LEFT JOIN own o ON o.c = h.b
+), node AS (
+  SELECT v[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(v) = d), '')) AS ends_sha256
+  FROM (SELECT c, v, unnest(range(0, len(v) + 1)) AS d FROM re) GROUP BY 1, 2
+), kids AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1
+), sub AS (
+  SELECT n.p[1:a] AS p, count(*) FILTER (k.n IS NULL) AS leaves, sum(CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.p[n.d].t) END) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM node) n LEFT JOIN kids k USING (p) GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN sub s USING (p) LEFT JOIN kids k USING (p) LEFT JOIN node u ON n.d > 0 AND u.p = n.p[1:n.d - 1] AND u.d = n.d - 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_trie": _OP11, "op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}

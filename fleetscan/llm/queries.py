@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ledger, license_scan, packing, pii, quality, simhash, token_store, warc
+from . import decontam, langid, ledger, license_scan, packing, pii, quality, simhash, token_store, trie, warc
 from .common import fresh, in_fold, read_table, work_path
 
 
@@ -75,7 +75,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_candidates", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"), "notices")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "ledger_ablations": ledger_ablations, "op10_licenses": op10_licenses}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns, who = trie.rebuilt(read_table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6)
+    return trie.prefix_trie(turns, who)
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "ledger_ablations": ledger_ablations, "op10_licenses": op10_licenses, "op11_trie": op11_trie}
 from .oracle import ORACLE_SQL  # noqa: E402
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
