@@ -86,4 +86,14 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAS
 FROM node n JOIN sub s USING (p) LEFT JOIN kids k USING (p) LEFT JOIN node u ON n.d > 0 AND u.p = n.p[1:n.d - 1] AND u.d = n.d - 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_trie": _OP11, "op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}
+# The given pages name their article in one way, so SQL can cut it out.
+_OP12 = """
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(p|br|h1)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM pages
+), d AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM a
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_html_text": _OP12, "op11_trie": _OP11, "op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}
