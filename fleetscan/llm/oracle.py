@@ -96,4 +96,28 @@ WITH a AS (
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_html_text": _OP12, "op11_trie": _OP11, "op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}
+_OP13 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[ \\t]+'), lambda x: x <> '') AS w FROM documents
+), spans AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS a FROM spans GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY 1
+), longer AS (
+  SELECT DISTINCT lang, unnest([p[1:k - 1], p[2:k]]) AS p, a FROM f WHERE k > 2
+), kept AS (
+  SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM longer g WHERE g.lang = f.lang AND g.p = f.p AND 100 * g.a >= 100 * f.a)
+), cuts AS (
+  SELECT c.*, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept) c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.c] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.c + 1:c.k] JOIN n ON n.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1
+), ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM best
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_collocations": _OP13, "op12_html_text": _OP12, "op11_trie": _OP11, "op2_decontam": _OP2, "op8_warc": _OP8, "op9_ledger": _OP9, "ledger_ablations": _ABLATIONS}

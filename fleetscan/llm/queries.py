@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, ledger, license_scan, packing, pii, quality, simhash, token_store, trie, warc
+from . import collocations, decontam, html_text, langid, ledger, license_scan, packing, pii, quality, simhash, token_store, trie, warc
 from .common import fresh, in_fold, read_table, work_path
 
 
@@ -86,7 +86,11 @@ def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "ledger_ablations": ledger_ablations, "op10_licenses": op10_licenses, "op11_trie": op11_trie, "op12_html_text": op12_html_text}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_decontam": op2_decontam, "op3_langid": op3_langid, "op4_token_store": op4_token_store, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_ledger": op9_ledger, "ledger_ablations": ledger_ablations, "op10_licenses": op10_licenses, "op11_trie": op11_trie, "op12_html_text": op12_html_text, "op13_collocations": op13_collocations}
 from .oracle import ORACLE_SQL  # noqa: E402
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
