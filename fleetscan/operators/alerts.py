@@ -35,14 +35,15 @@ def build_alerts(findings: DataFrame, path: str = "path", ips: str | None = None
 
 def cap_alerts(alerts: DataFrame, cap: int = ALERT_CAP, order: tuple[str, ...] | None = None) -> DataFrame:
     """The alerts with suppressed: true beyond the first ``cap`` of a scan, in the order of
-    their time (``_time`` or ``event_timestamp_ms``, where there is one), path and rule.
+    their time (``_time`` or ``event_timestamp_ms``, where there is one), path, rule and host.
 
     A scan's alerts are numbered in parts first; what is behind ``cap`` in its part is so in
     the scan, and only the others, at most ``cap`` a part, are numbered as a whole.
     """
     stamps = [c for c in ("_time", "event_timestamp_ms") if c in alerts.columns][:1]
-    by = order or (*stamps, "path", "rule")
-    parted = alerts.withColumn("__part", F.pmod(F.xxhash64("path", "rule"), F.lit(PARTS)))
+    ends = tuple(c for c in ("path", "rule", "hostname") if c in alerts.columns)
+    by = order or (*stamps, *ends)
+    parted = alerts.withColumn("__part", F.pmod(F.xxhash64(*ends), F.lit(PARTS)))
     near = parted.withColumn("__near", F.row_number().over(Window.partitionBy("scan_id", "__part").orderBy(*by)) <= cap)
     whole = Window.partitionBy("scan_id", F.when(F.col("__near"), F.lit(-1)).otherwise(F.col("__part"))).orderBy(*by)
     return near.withColumn("suppressed", ~F.col("__near") | (F.row_number().over(whole) > cap)).drop("__part", "__near")

@@ -20,7 +20,8 @@ def rule_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def findings_agg(hits: DataFrame, fired: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) -> DataFrame:
-    """A row for each (file, rule) that fired.
+    """A row for each (file, rule) that fired: the plain form of :func:`findings`, step by step, with
+    a window over all hits of a (file, rule), for small tables and comparison.
 
     match_count and string_ids (the census) count every hit. offsets, strings, samples and
     sample_rows hold the first ``sample_cap`` hits in order (0: all); truncated tells that
@@ -66,7 +67,8 @@ def file_identity(corpus: DataFrame) -> DataFrame:
 
 
 def file_rows(findings: DataFrame, corpus: DataFrame, os_type: str = "os_type", stamp: str = "event_timestamp_ms") -> DataFrame:
-    """A row for each file with a finding, its rules in an array; none for other files.
+    """A row for each file with a finding, its rules in an array; none for other files: the plain
+    form of :func:`scan`, which reads the corpus once more.
 
     Contents are hashed for matched files only, after the join has dropped the rest.
     """
@@ -86,16 +88,14 @@ CARRIED = ("os_type", "event_timestamp_ms")
 def findings(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) -> DataFrame:
     """The rows of :func:`findings_agg` for a corpus, in one pass over its contents and
     without a shuffle."""
-    rows = scan_files(corpus, rules, sample_cap)
-    known = F.create_map(*(x for r in rules for x in (F.lit(r.rule), F.struct(F.lit(r.severity).alias("severity"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.create_map(*(F.lit(x) for kv in r.meta for x in kv)).cast("map<string,string>").alias("meta")))))
-    rule, sample = F.try_element_at(known, F.col("rule")), F.col("sample_rows")
+    rows, sample = scan_files(corpus, rules, sample_cap, about=True), F.col("sample_rows")
     return rows.select(
         *KEYS,
         "rule",
         "match_scope",
-        rule["severity"].alias("severity"),
-        rule["tags"].alias("tags"),
-        rule["meta"].alias("meta"),
+        "severity",
+        "tags",
+        "meta",
         "match_count",
         F.get(F.transform(sample, lambda s: s["offset"]), F.lit(0)).alias("first_offset"),
         F.transform(sample, lambda s: s["offset"].cast("string")).alias("offsets"),
@@ -112,7 +112,6 @@ def scan(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) ->
     event_timestamp_ms). Equal to :func:`file_rows` of :func:`findings_agg`, in one pass over
     the contents and one shuffle of a small row for each (file, rule)."""
     found = scan_files(corpus, rules, sample_cap, CARRIED)
-    severities = F.create_map(*(F.lit(x) for r in rules for x in (r.rule, r.severity)))
     sample = F.col("sample_rows")
     one = F.struct(
         "rule",
@@ -121,7 +120,7 @@ def scan(corpus: DataFrame, rules: list[Rule], sample_cap: int = SAMPLE_CAP) ->
         F.array_distinct(F.transform(sample, lambda s: s["matched"])).alias("strings"),
         F.transform("ids", lambda s: F.struct(s["id"].alias("id"), s["count"].alias("count"))).alias("string_ids"),
         ((F.size(sample) > 0) & (F.col("match_count") > F.size(sample))).alias("truncated"),
-        F.try_element_at(severities, F.col("rule")).alias("severity"),
+        "severity",
     ).cast(RULE_HIT)
     files = found.select(*KEYS, *CARRIED, "file_size", "file_sha256", one.alias("r")).groupBy(*KEYS).agg(
         *(F.first(c).alias(c) for c in (*CARRIED, "file_size", "file_sha256")),

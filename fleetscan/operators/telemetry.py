@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schemas import ESTIMATES, MATCH, PERFORMANCE, PROGRESS, SNAPSHOT, STATISTICS, SUMMARY
+from .ordered import BLOCK, END, chain, free_name, matched, numbered, numbered_by_time, saved, so_far, sortable, trailing
 
 #: The columns of each kind of row and their places in its JSON, in order.
 BLOCKS: dict[str, dict[str, str]] = {
@@ -100,19 +101,25 @@ def efficiency_metrics(snapshots: DataFrame) -> DataFrame:
     })
 
 
-def resource_trends(snapshots: DataFrame, kept: int = 360) -> DataFrame:
+def resource_trends(snapshots: DataFrame, kept: int = 360, block: int = BLOCK) -> DataFrame:
     """Trend, mean and data points of CPU and memory over the last ``kept`` snapshots of a
-    host; no trend with under 2, stable with under 5."""
-    recent = Window.partitionBy("hostname").orderBy("_time").rowsBetween(1 - kept, 0)
-    n = F.count("*").over(recent)
+    host; no trend with under 2, stable with under 5. Snapshots of one time are in the order of
+    a hash of the row. A host's snapshots are taken in blocks of ``block``."""
 
-    def trend(col: str, limit: float) -> Column:
-        v = F.col(col).try_cast("double")
-        slope = F.when(n >= 5, (v - F.first(v).over(recent)) / n).otherwise(F.lit(0.0))
-        return F.when(n < 2, F.lit(None)).when(slope > limit, "increasing").when(slope < -limit, "decreasing").otherwise("stable")
+    def columns(recent: WindowSpec) -> dict[str, Column]:
+        n = F.count("*").over(recent)
+
+        def trend(col: str, limit: float) -> Column:
+            v = F.col(col).try_cast("double")
+            slope = F.when(n >= 5, (v - F.first(v).over(recent)) / n).otherwise(F.lit(0.0))
+            return F.when(n < 2, F.lit(None)).when(slope > limit, "increasing").when(slope < -limit, "decreasing").otherwise("stable")
 
-    mean = lambda c: F.when(n >= 2, F.round(F.avg(F.col(c).try_cast("double")).over(recent), 6))
-    return snapshots.withColumns({"cpu_trend": trend("sys_cpu_percent", 2.0), "memory_trend": trend("sys_memory_used_percent", 5.0), "cpu_avg": mean("sys_cpu_percent"), "memory_avg": mean("sys_memory_used_percent"), "data_points": F.when(n >= 2, n).otherwise(F.lit(0))})
+        mean = lambda c: F.when(n >= 2, F.round(F.avg(F.col(c).try_cast("double")).over(recent), 6))
+        return {"cpu_trend": trend("sys_cpu_percent", 2.0), "memory_trend": trend("sys_memory_used_percent", 5.0), "cpu_avg": mean("sys_cpu_percent"), "memory_avg": mean("sys_memory_used_percent"), "data_points": F.when(n >= 2, n).otherwise(F.lit(0))}
+
+    at = free_name(snapshots, "__at")
+    rows = numbered_by_time(snapshots, ["hostname"], at)
+    return trailing(rows, ["hostname"], at, kept, columns, block).drop(at)
 
 
 def resource_summary(snapshots: DataFrame, keys: tuple[str, ...] = ("scan_id", "hostname")) -> DataFrame:
@@ -124,30 +131,42 @@ def resource_summary(snapshots: DataFrame, keys: tuple[str, ...] = ("scan_id", "
     return snapshots.groupBy(*keys).agg(F.count("*").alias("snapshots"), *out)
 
 
-def performance_metrics(snapshots: DataFrame) -> DataFrame:
-    """Peak and mean CPU and memory of the scanner process so far."""
-    so_far = Window.partitionBy("hostname").orderBy("_time").rowsBetween(Window.unboundedPreceding, 0)
-    out = {}
-    for name, col in (("cpu", "proc_cpu_percent"), ("memory_mb", "proc_memory_mb")):
-        v = F.col(col).try_cast("double")
-        out |= {f"peak_{name}": F.max(v).over(so_far), f"avg_{name}": F.round(F.avg(v).over(so_far), 6)}
-    return snapshots.withColumns(out)
+def performance_metrics(snapshots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Peak and mean CPU and memory of the scanner process so far, snapshots of one time in the
+    order of a hash of the row. A host's snapshots are taken in blocks of ``block``."""
+    at = free_name(snapshots, "__at")
+    of = {"cpu": F.col("proc_cpu_percent").try_cast("double"), "memory_mb": F.col("proc_memory_mb").try_cast("double")}
+    out = so_far(numbered_by_time(snapshots, ["hostname"], at), ["hostname"], at, {f"__{n}": v for n, v in of.items()}, block)
+    made = {}
+    for n in of:
+        made |= {f"peak_{n}": F.col(f"__{n}_max"), f"avg_{n}": F.round(F.try_divide(f"__{n}_sum", f"__{n}_n"), 6)}
+    return out.withColumns(made).drop(at, *(f"__{n}_{s}" for n in of for s in ("max", "sum", "n")))
 
 
-def throttle_reports(reports: DataFrame, interval_secs: float = 30) -> DataFrame:
+def throttle_reports(reports: DataFrame, interval_secs: float = 30, hot: int = BLOCK) -> DataFrame:
     """A worker's first report, and each that comes ``interval_secs`` or more after the last
-    one kept (0: all); rows without a time are left out.
+    one kept (0: all); rows without a time are left out. Of reports of one time, the one with the
+    least hash of the row counts.
 
-    Which reports are kept depends on those kept before, so each worker's rows are passed
-    through in order of time with the last kept time as the only state.
+    Which reports are kept depends on those kept before. The reports of a worker with at most
+    ``hot`` of them are passed through in order of time. Those of others are numbered, each is
+    given the first that may follow it, and the way from the first is taken by blocks (see
+    :func:`~.ordered.chain`), so that no worker fills a task.
     """
     rows = reports.where(F.col("_time").isNotNull())
     if not interval_secs:
         return rows
     keys, least = ["hostname", "worker_id"], int(interval_secs * 1_000_000)
-    ties = [c for c, t in rows.dtypes if c not in (*keys, "_time") and not t.startswith(("map", "variant"))]
-    micros = next(c for c in ("__us", "__us_", "__us__") if c not in rows.columns)
-    ordered = rows.withColumn(micros, F.unix_micros("_time")).repartition(*keys).sortWithinPartitions(*keys, "_time", *ties)
+    many = saved(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot), "hot-workers")
+    if many.isEmpty():
+        return _in_order(rows, keys, least)
+    few = rows.join(many.select(*(F.col(k).alias(f"__{k}") for k in keys)), F.col("hostname").eqNullSafe(F.col("__hostname")) & F.col("worker_id").eqNullSafe(F.col("__worker_id")), "left_anti")
+    return _in_order(few, keys, least).unionByName(_by_blocks(matched(rows, many, keys).drop("__n"), keys, least, hot))
+
+
+def _in_order(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    micros, tie = free_name(rows, "__us"), free_name(rows, "__tie")
+    ordered = rows.withColumns({micros: F.unix_micros("_time"), tie: F.xxhash64(*sortable(rows))}).repartition(*keys).sortWithinPartitions(*keys, micros, tie).drop(tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, last = None, 0
@@ -161,3 +180,17 @@ def throttle_reports(reports: DataFrame, interval_secs: float = 30) -> DataFrame
             yield b.take(pa.array(keep, pa.int64())).drop_columns([micros])
 
     return ordered.mapInArrow(run, rows.schema)
+
+
+def _by_blocks(rows: DataFrame, keys: list[str], least: int, block: int) -> DataFrame:
+    at, k = free_name(rows, "__at"), free_name(rows, "__k")
+    all_ = saved(numbered_by_time(rows, keys, at).withColumn(k, F.to_json(F.struct(*keys))), "reports")
+    times = all_.select(F.col(k).alias("k"), F.unix_micros("_time").alias("t"), F.lit(1).alias("kind"), F.col(at).alias("node"))
+    # Where a time that is late enough stands among the reports: as many of both are before it as
+    # there are such times (of the reports before) and reports (before the one that follows).
+    wanted = times.select("k", (F.col("t") + least).alias("t"), F.lit(0).alias("kind"), "node")
+    last = times.groupBy("k").agg(F.max("node").alias("last"))
+    ranked = numbered(times.unionByName(wanted), ["k"], ["t", "kind", "node"], "at").where("kind = 0").join(last, "k")
+    steps = ranked.select("k", "node", F.when(F.col("at") - F.col("node") > F.col("last"), F.lit(END)).otherwise(F.col("at") - F.col("node")).alias("next"))
+    kept = chain(steps, block)
+    return all_.join(kept.select(F.col("k").alias(k), F.col("node").alias(at)), [k, at]).select(*rows.columns)

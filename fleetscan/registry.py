@@ -228,7 +228,14 @@ add("g16_rule_rows", lambda spark, sf: to_v3(fx.file_findings(spark, sf)).select
 add("g17_detection_breakdown", lambda spark, sf: detection_breakdown(_findings_of(spark, sf)), F_SQL + ", b AS (SELECT rule, count(*) AS detections FROM r GROUP BY 1) SELECT rule, detections, (SELECT CAST(sum(detections) AS BIGINT) FROM b) AS total, (SELECT count(*) FROM b) AS unique_rules FROM b ORDER BY 2 DESC, 1 LIMIT 10")
 add("g18_evidence_unique", lambda spark, sf: evidence_unique(fx.file_findings(spark, sf)).select("file_sha256", "file_size", "copies"), F_SQL + "SELECT file_sha256, any_value(file_size) AS file_size, count(*) AS copies FROM f GROUP BY 1")
 add("a1_alerts", lambda spark, sf: build_alerts(_findings_of(spark, sf)).select("alert_name", "severity", "ip"), F_SQL + "SELECT 'YARA Match: ' || rule || ' | ' || split_part(path, '/', 5) || ' (#' || substr(sha1(path), 1, 8) || ') | Host: ' || hostname AS alert_name, CASE sev WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS severity, '127.0.0.1' AS ip FROM r")
-add("a5_alert_rollup", lambda spark, sf: rollup_alerts(cap_alerts(build_alerts(_findings_of(spark, sf)), 2)), F_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY path, rule) AS i FROM r) SELECT scan_id, hostname, rule, count(*) AS suppressed_files, CAST(sum(n) AS BIGINT) AS suppressed_hits FROM k WHERE i > 2 GROUP BY 1, 2, 3")
+add("a5_alert_rollup", lambda spark, sf: rollup_alerts(cap_alerts(build_alerts(_findings_of(spark, sf)), 2)), F_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY path, rule, hostname) AS i FROM r) SELECT scan_id, hostname, rule, count(*) AS suppressed_files, CAST(sum(n) AS BIGINT) AS suppressed_hits FROM k WHERE i > 2 GROUP BY 1, 2, 3")
+def _on_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same findings on six hosts of one scan, of which eight alerts are let through."""
+    hosts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("h"), i.cast("string"))))
+    return cap_alerts(build_alerts(_findings_of(spark, sf).withColumns({"scan_id": F.lit("s"), "path": F.concat_ws("/", "rule", F.substring("path", 1, 6)), "hostname": hosts})), 8)
+
+
+add("a4_alert_ties", lambda spark, sf: _on_hosts(spark, sf).where("NOT suppressed").select("hostname", "path", "rule"), F_SQL + ", h AS (SELECT DISTINCT rule || '/' || path[1:6] AS path, rule, unnest(['h0', 'h1', 'h2', 'h3', 'h4', 'h5']) AS hostname FROM r) SELECT hostname, path, rule FROM h ORDER BY path, rule, hostname LIMIT 8")
 add("m19_scan_rule_summary", lambda spark, sf: scan_rule_summary(fx.findings(spark, sf)), F_SQL + "SELECT scan_id, hostname, rule, max(event_timestamp_ms) AS event_timestamp_ms FROM r GROUP BY 1, 2, 3")
 add("l4_heartbeat_gaps", _on_scans(lambda s: heartbeat_gaps(s).select("event_id", "scan_id", F.round("gap_secs", 3).alias("gap_secs"), "late")), S + "SELECT event_id, scan_id, round((event_timestamp_ms - lag(event_timestamp_ms) OVER w) / 1000, 3) AS gap_secs, coalesce((event_timestamp_ms - lag(event_timestamp_ms) OVER w) / 1000 > 600, false) AS late FROM s WHERE status = 'running' WINDOW w AS (PARTITION BY scan_id ORDER BY event_timestamp_ms)")
 add("l5_final_metrics", _on_scans(lambda s: final_metrics(latest_scan_state(s)).select("scan_id", "detection_rate", "skip_rate", "path_deduplication_ratio")), S + "SELECT scan_id, CASE WHEN files_scanned > 0 THEN round(detections / files_scanned, 6) ELSE 0.0 END AS detection_rate, CASE WHEN files_scanned + files_skipped > 0 THEN round(files_skipped / (files_scanned + files_skipped), 6) ELSE 0.0 END AS skip_rate, CASE WHEN files_scanned > 0 THEN 1.0 ELSE 0.0 END AS path_deduplication_ratio FROM l".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
@@ -323,3 +330,4 @@ add("m30_stale_scans", _on_scans(lambda s: stale_scan_ids(s, "host_3", "scan_3")
 add("m31_shards_by_scan", _on_scans(lambda s: group_shards_by_scan(s.withColumn("shard", F.col("os_type")))), S + "SELECT scan_id, os_type AS shard, count(*) AS rows FROM s GROUP BY 1, 2")
 
 register_tables(add, F_SQL, S, T, _N, _REASON)
+ORACLE_SQL["t9_throttled_stream"] = ORACLE_SQL["p12_throttled_reports"]

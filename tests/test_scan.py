@@ -1,8 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 
 from fleetscan.operators import findings as fo
 from fleetscan.operators.alerts import cap_alerts
-from fleetscan.operators.scan import Matcher, Pattern, Rule, at_offset, eval_conditions, hex_regex, of_them, render, scan_hits
+from fleetscan.operators.scan import Matcher, Pattern, Rule, at_offset, eval_conditions, hex_regex, may_hold_without_hits, of_them, render, scan_hits, wide_regex
 
 RULES = [
     Rule("MatchCalc", (Pattern("MatchCalc", "$mz", "4D 5A", "hex"), Pattern("MatchCalc", "$calc", "calc.exe", nocase=True)), f"{at_offset('$mz', 0)} AND {of_them(['$calc'])}", "medium"),
@@ -128,3 +132,90 @@ def test_alerts_are_capped_in_order_of_time(spark):
     df = spark.createDataFrame(rows, "scan_id string, path string, rule string, event_timestamp_ms bigint")
     kept = [r["event_timestamp_ms"] for r in cap_alerts(df, 20).where("scan_id = 's' AND NOT suppressed").collect()]
     assert sorted(kept) == list(range(101, 121)) and cap_alerts(df, 20).count() == 901
+
+
+def test_conditions_that_hold_without_hits(spark, corpus):
+    negated = [
+        Rule("NoCalc", (Pattern("NoCalc", "$c", "calc.exe", nocase=True),), "coalesce(n['$c'], 0) = 0", "high", ("t",), (("author", "me"),)),
+        Rule("Not", (Pattern("Not", "$c", "calc.exe"),), "NOT (coalesce(n['$c'], 0) > 0) AND filename_lower LIKE '%.dll'"),
+        Rule("Never", (Pattern("Never", "$c", "calc.exe"),), of_them(["$c"])),
+        Rule("Named", (Pattern("Named", "$z", "zzz"),), "coalesce(filename, 'none') = '6.txt'"),
+        Rule("Small", (Pattern("Small", "$z", "zzz"),), "file_size < 5 OR coalesce(n['$z'], 0) > 0"),
+    ]
+    assert [r.rule for r in may_hold_without_hits(spark, tuple(negated))] == ["NoCalc", "Not", "Named", "Small"]
+    got = {(r["path"], r["rule"]): r for r in fo.findings(corpus, negated).collect()}
+    quiet = set(FILES) - {"/a/1.exe", "/a/2.exe"}
+    assert {p for p, r in got if r == "NoCalc"} == quiet and {p for p, r in got if r == "Not"} == {"/a/3.dll", "/a/4.dll"}
+    assert {p for p, r in got if r == "Never"} == {"/a/2.exe"} and {p for p, r in got if r == "Named"} == {"/a/6.txt"} and {p for p, r in got if r == "Small"} == {"/a/7.PS1", "/a/8.txt"}
+    one = got["/a/3.dll", "NoCalc"]
+    assert one["match_scope"] == "rule" and one["match_count"] == 1 and one["severity"] == "high" and one["tags"] == ["t"] and one["meta"] == {"author": "me"}
+    plan = fo.scan(corpus, negated)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+def forms_found(pack, data):
+    """What a plain search from every start finds."""
+    out = []
+    for p in pack:
+        for form in Matcher._forms(p):
+            rx = re.compile(re.escape(form) if p.kind == "literal" else form, re.S | (re.I if p.nocase else 0))
+            for at in range(len(data)):
+                m = rx.match(data, at)
+                if m and m.end() > at:
+                    out.append((p.id, at, m.group()))
+    return sorted(out)
+
+
+def test_atoms_find_what_a_plain_search_finds():
+    rnd = random.Random(5)
+
+    def part(inner=False):
+        k = rnd.random()
+        if k < 0.5 or inner:
+            return "".join(rnd.choice("abcAB") for _ in range(rnd.randint(1, 3)))
+        if k < 0.8:
+            return rnd.choice(["[ab]", "[^a]", ".", "b.?", "a{0,5}", "c.{1,3}a", r"\w", "(?i:ab)", r"\b"])
+        if k < 0.9:
+            return f"(?:{part(True)}|{part(True)})"
+        return f"({part(True)}){rnd.choice(['+', '*', '?', '{2}', '{1,3}', '+?'])}"
+
+    found = 0
+    for _ in range(400):
+        pack = []
+        for i in range(5):
+            kind, nocase = rnd.choice(["regex", "regex", "literal", "hex"]), rnd.random() < 0.3
+            text = {"regex": "".join(part() for _ in range(rnd.randint(1, 4))), "literal": rnd.choice(["a", "ab", "bca", "AB"]), "hex": rnd.choice(["61 62 [1-2] 63", "( 61 | 62 63 ) 41", "6? 61 62", "61 ?? 62 63", "62 [0-3] ( 61 61 | 42 ) 63"])}[kind]
+            pack.append(Pattern("r", f"${i}", text, kind, nocase))
+        data = bytes(rnd.choice(b"aabbcABC\x00") for _ in range(rnd.randint(0, 60)))
+        got = sorted((p.id, at, raw) for p, at, raw in Matcher(tuple(pack)).hits(data))
+        found += len(got)
+        assert got == forms_found(pack, data), (pack, data)
+    assert found > 2000
+
+
+def test_wide_expressions():
+    pack = (Pattern("r", "$w", r"a[b-d]+(?:x|yz)?\d{2}", "regex", wide=True), Pattern("r", "$v", "AB.", "regex", nocase=True, wide=True, ascii=False))
+    text = "abcx12 ACab1 abd34 abz"
+    for data in (text.encode(), text.encode("utf-16-le"), b"\x00" + text.encode("utf-16-le")):
+        got = sorted((p.id, at, raw) for p, at, raw in Matcher(pack).hits(data))
+        assert got == forms_found(pack, data)
+    assert {p.id for p, _, _ in Matcher(pack).hits(text.encode("utf-16-le"))} == {"$w", "$v"}
+    with pytest.raises(ValueError):
+        wide_regex(rb"a(?=b)")
+
+
+def test_a_thousand_expressions_take_one_pass():
+    pack = tuple(Pattern("r", f"$x{i}", f"tok{i:04d}[0-9a-f]{{4,8}}", "regex") for i in range(500)) + tuple(Pattern("r", f"$y{i}", f"AB {i % 256:02X} {i // 256:02X} ?? [1-3] CD", "hex") for i in range(500))
+    matcher, data = Matcher(pack), b"word tok0123abcd12 foo bar baz " * 30_000
+    assert not matcher.alone
+    began = time.process_time()
+    assert sum(1 for _ in matcher.hits(data)) == 30_000
+    assert time.process_time() - began < 5
+
+
+def test_ties_across_hosts_are_capped_the_same_way_each_time(spark):
+    rows = [("s", f"h{i}", "/p", "R", 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "scan_id string, hostname string, path string, rule string, event_timestamp_ms bigint")
+    for n in (1, 3, 7):
+        kept = {r["hostname"] for r in cap_alerts(df.repartition(n), 3).where("NOT suppressed").collect()}
+        assert kept == {"h0", "h1", "h10"}
