@@ -3,14 +3,15 @@
 A sample of the documents proposes the frequent phrases of each language, with a lowered
 threshold.  One pass over all documents then counts them and their negative border: every
 phrase that isn't among them but whose parts (without its last, without its first word) are.
-Where a phrase of the border is frequent, the sample has missed some, and the documents are
-passed again for the phrases that the first pass left out and that may yet be frequent, as none of
-their counted parts is rare.  That pass looks through all lengths at once, so the
-frequent phrases are closed after it.
-
-A task finds out whether a phrase was proposed by hashing it into a bit set of a fixed size.
-A false hit makes one more phrase counted, and counts stay exact, as phrases are counted
-by their text.
+A phrase of the border that is frequent is one that the sample has missed.  The documents are
+passed again for what the first pass left out and may yet be frequent, as none of its
+counted parts is rare; that looks through all lengths at once, so the frequent phrases are
+closed after it.
+
+Until then phrases are known by 64-bit hashes, which are counted in place of texts.  Two phrases
+with one hash can only seem more frequent than they are, and the last pass counts by text
+what seemed frequent, so the counts are exact.  A task finds out whether a phrase was proposed, or
+seemed frequent, in a bit set of a fixed size, whose false hits too only add phrases to count.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_fraction, materialize, ship
+from .tokens import release_memory
 
 #: Least occurrences and most words of a phrase; phrases returned for a language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Share of the documents that is the sample, and by how much its threshold is lowered.
 SAMPLE, LOWERED = 1 / 8, 0.5
 #: Bits of the set that a task gets (2 to this power), and bytes of text that it counts at once.
-BITS, BLOCK_BYTES = 27, 16 << 20
+BITS, BLOCK_BYTES = 27, 4 << 20
 #: Parts in which a language's phrases are ranked first.
 PARTS = 64
 
+#: In decimals of 37 digits, as the products may pass 64 bits.
+SCORE = "CAST(1000 * a AS DECIMAL(18, 0)) * CAST(total AS DECIMAL(18, 0)) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))"
+
 _PIECE = re.compile(rb"[.,;:!?\n-\r]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: What a byte is: 0 of a word, 1 between words, 2 between pieces.
@@ -77,25 +82,14 @@ class BitSet:
         return found
 
 
-def bit_set(phrases: DataFrame | None, bits: int) -> BitSet:
-    """The set of (lang, phrase). Its size depends on ``bits`` alone: tasks give 64-bit blocks,
-    Spark joins equal ones, and at most 2^(bits-6) of them come to the driver."""
-    if phrases is None:
+def bit_set(hashes: DataFrame | None, bits: int) -> BitSet:
+    """The set of the hashes ``h``. Its size depends on ``bits`` alone: Spark joins the bits of
+    each block of 64, and at most 2^(bits-6) blocks come to the driver."""
+    if hashes is None:
         return BitSet(None, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, words = b.column(0).to_pylist(), [p.split(" ") for p in b.column(1).to_pylist()]
-            at = []
-            for lang, ws in zip(langs, words, strict=True):
-                own = _word_hash(lang, ws)
-                h = own[:1]
-                for i in range(1, len(ws)):
-                    h = _mixed(h, own[i : i + 1])
-                at += [int(x[0]) for x in _bits(h, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([x >> 6 for x in at], pa.int64()), pa.array([(1 << (x & 63)) - ((x & 63 == 63) << 64) for x in at], pa.int64())], names=["block", "b"])
-
-    found = phrases.select("lang", "phrase").mapInArrow(run, "block long, b long").groupBy("block").agg(F.bit_or("b").alias("b")).toArrow()
+    mask = F.lit((1 << bits) - 1)
+    at = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 33).bitwiseAND(mask))).alias("at")
+    found = hashes.select(at).groupBy(F.shiftright("at", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b")).toArrow()
     blocks = np.zeros(1 << max(bits - 6, 0), np.uint64)
     blocks[found.column("block").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return BitSet(blocks, bits)
@@ -134,13 +128,16 @@ class Words:
         """The text of the phrases of k words from ``starts`` on."""
         return pc.binary_join_element_wise(*(self.dictionary.take(pa.array(self.codes[starts + i])) for i in range(k)), " ")
 
-    def counted(self, known: BitSet, grown: BitSet | None, longest: int, shortest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """Phrases and their occurrences: those of ``known`` and its border; or, given
-        ``grown`` (what is frequent of those), the others whose parts aren't known to be rare."""
+    def counted(self, known: BitSet, grown: BitSet | None, longest: int, shortest: int, by_text: bool) -> Iterator[tuple]:
+        """Phrases, by hash or by text, and their occurrences: those of ``known`` and its border;
+        or, given ``grown`` (what seems frequent of those), what is in it, and the others whose
+        parts aren't known to be rare (``by_text``: both; by hash: only the others)."""
         size, codes = len(self.dictionary), self.codes
-        if shortest == 1:
-            yield self.dictionary, np.bincount(codes, minlength=size)
         ids, hashes, run = codes, self.hashes, np.ones(self.n, bool)
+        if shortest == 1:
+            n = np.bincount(codes, minlength=size)
+            take = slice(None) if grown is None else grown.has(hashes)
+            yield (self.dictionary.filter(pa.array(take)) if by_text else hashes[take]), n[take]
         proposed = known.has(hashes)[codes]
         open_ = proposed if grown is None else grown.has(hashes)[codes]
         for k in range(2, min(longest, self.n) + 1):
@@ -152,22 +149,33 @@ class Words:
             before = (proposed[:-1] & proposed[1:])[starts]
             keys, first, inverse, n = np.unique(ids[starts] * size + codes[starts + k - 1], return_index=True, return_inverse=True, return_counts=True)
             hashes = _mixed(hashes[keys // size], self.hashes[keys % size])
-            take = slice(None) if grown is None else ~before[first]
-            if k >= shortest and len(n[take]):
-                yield self.phrases(starts[first[take]], k), n[take]
+            seems = np.ones(len(n), bool) if grown is None else grown.has(hashes)
+            take = np.ones(len(n), bool) if grown is None else ~before[first] | (seems & by_text)
+            if k >= shortest and take.any():
+                yield (self.phrases(starts[first[take]], k) if by_text else hashes[take]), n[take]
             ids = np.zeros(len(may), np.int64)
             ids[starts] = inverse
             proposed, open_ = np.zeros(len(may), bool), np.zeros(len(may), bool)
             proposed[starts] = before & known.has(hashes)[inverse]
-            open_[starts] = proposed[starts] if grown is None else ~before | grown.has(hashes)[inverse]
+            open_[starts] = proposed[starts] if grown is None else ~before | seems[inverse]
+
+
+def _of_langs(b: pa.RecordBatch, block_bytes: int) -> Iterator[tuple[str, Words]]:
+    """Blocks of words of each language of a batch (lang, text)."""
+    for lang in pc.unique(b.column(0)).to_pylist():
+        own = b.column(1).filter(pc.equal(b.column(0), lang))
+        text = "\n".join(own.to_pylist()).encode("utf-8", "surrogatepass").translate(_LOWER)
+        for part in blocks_of(text, block_bytes):
+            words = Words(lang, part)
+            if words.n:
+                yield lang, words
 
 
-def counts(docs: DataFrame, known: BitSet, grown: BitSet | None = None, longest: int = LONGEST, shortest: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(lang, phrase, n) of the phrases that :meth:`Words.counted` gives, over all of ``docs``
-    (lang, text); with ``shortest`` 1 also n of all words, as the phrase "".
+def hash_counts(docs: DataFrame, known: BitSet, grown: BitSet | None = None, longest: int = LONGEST, shortest: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(h, n) of the phrases that :meth:`Words.counted` gives, over all of ``docs`` (lang, text).
 
-    A task counts block by block first, and Spark sums by text with map-side combine, so a
-    phrase of very many occurrences is a row for each block.
+    A task counts a batch first, block by block, so a phrase of very many occurrences is a row
+    for each batch.
     """
     ship(docs.sparkSession)
     sets = docs.sparkSession.sparkContext.broadcast((known, grown))  # 2^bits bits each, whatever the data
@@ -175,53 +183,60 @@ def counts(docs: DataFrame, known: BitSet, grown: BitSet | None = None, longest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, grown = sets.value
         for b in batches:
-            for lang in pc.unique(b.column(0)).to_pylist():
-                own = b.column(1).filter(pc.equal(b.column(0), lang))
-                text = "\n".join(own.to_pylist()).encode("utf-8", "surrogatepass").translate(_LOWER)
-                for part in blocks_of(text, block_bytes):
-                    words = Words(lang, part)
-                    found = list(words.counted(known, grown, longest, shortest)) if words.n else []
-                    if words.n and shortest == 1:
-                        found.append((pa.array([""]), np.array([words.n])))
-                    for phrases, n in found:
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
-
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+            found = [x for _, words in _of_langs(b, block_bytes) for x in words.counted(known, grown, longest, shortest, False)]
+            if found:
+                h, n = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+                del found
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], names=["h", "n"])
+            release_memory()
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def text_counts(docs: DataFrame, known: BitSet, grown: BitSet, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(lang, phrase, n) of what seems frequent (``grown``) and of what may be frequent besides; n
+    of all words as the phrase ""."""
+    ship(docs.sparkSession)
+    sets = docs.sparkSession.sparkContext.broadcast((known, grown))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, grown = sets.value
+        for b in batches:
+            for lang, words in _of_langs(b, block_bytes):
+                for phrases, n in ((pa.array([""]), np.array([words.n])), *words.counted(known, grown, longest, 1, True)):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+            release_memory()
 
-def n_words(phrase: str) -> Column:
-    return F.when(F.col(phrase) == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def proposed(sample: DataFrame, least: int, longest: int, bits: int) -> DataFrame:
-    """(lang, phrase) that occur ``least`` times in the sample: words, then pairs of those, then
-    all longer phrases whose pairs are."""
-    words = materialize(counts(sample, bit_set(None, bits), longest=1).where((F.col("n") >= least) & (F.col("phrase") != "")).select("lang", "phrase"), "sample-words")
+def proposed(sample: DataFrame, least: int, longest: int, bits: int) -> BitSet:
+    """What occurs ``least`` times in the sample: words, then pairs of those, then all longer
+    phrases whose pairs do."""
+    words = materialize(hash_counts(sample, bit_set(None, bits), longest=1).where(F.col("n") >= least).select("h"), "sample-words")
     one = bit_set(words, bits)
-    pairs = materialize(counts(sample, one, longest=2, shortest=2).where(F.col("n") >= least).select("lang", "phrase"), "sample-pairs")
+    pairs = materialize(hash_counts(sample, one, longest=2, shortest=2).where(F.col("n") >= least).select("h"), "sample-pairs")
     both = words.unionByName(pairs)
-    longer = counts(sample, one, bit_set(both, bits), longest, 3).where(F.col("n") >= least).select("lang", "phrase")
-    return materialize(both.unionByName(longer), "proposed")
+    longer = hash_counts(sample, one, bit_set(both, bits), longest, 3).where(F.col("n") >= least).select("h")
+    return bit_set(both.unionByName(longer), bits)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: float = SAMPLE, lowered: float = LOWERED, key: str = "key", bits: int = BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, n) of all phrases with n >= ``least``, and n of all words as phrase "".
 
     ``docs`` has lang, text (neither null) and ``key``, whose hash decides whether a document is in
-    the sample. The sample and its threshold decide how often documents are passed, never
-    which rows return: an empty sample leaves all to the second pass.
+    the sample. The sample and its threshold decide what is counted in which pass, never what
+    returns: with an empty sample the last pass counts all but words. It needs no other after
+    it: each counted part of a frequent phrase seems frequent, so the phrase is counted.
     """
     sample = materialize(docs.where(hash_fraction([F.col(key)], share, "phrases")).select("lang", "text"), "sample")
-    offered = proposed(sample, max(1, int(least * share * lowered)), longest, bits)
-    known = bit_set(offered, bits)
+    known = proposed(sample, max(1, int(least * share * lowered)), longest, bits)
     texts = docs.select("lang", "text")
-    found = materialize(counts(texts, known, None, longest, 1, block_bytes).where((F.col("n") >= least) | (F.col("phrase") == "")), "counted")
-    failed = found.where((F.col("phrase") != "") & (n_words("phrase") < longest)).join(offered, ["lang", "phrase"], "left_anti")
-    if failed.isEmpty():
-        return found
-    grown = bit_set(found.where(F.col("phrase") != ""), bits)
-    more = counts(texts, known, grown, longest, 2, block_bytes).where(F.col("n") >= least)
-    return materialize(found.unionByName(more), "frequent")
+    grown = bit_set(hash_counts(texts, known, None, longest, 1, block_bytes).where(F.col("n") >= least).select("h"), bits)
+    return materialize(text_counts(texts, known, grown, longest, block_bytes).where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent")
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", least: int = LEAST, longest: int = LONGEST, top: int = TOP, **how) -> DataFrame:
@@ -245,8 +260,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", key: s
     cuts = kept.select("lang", "phrase", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"), "words")
     cuts = cuts.select("lang", "phrase", "a", "k", inner("words", F.lit(1), F.col("k")).alias("left"), inner("words", F.col("k") + 1, F.size("words")).alias("right"))
     cuts = cuts.join(part.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(part.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"]).join(totals, "lang")
-    exact = "CAST(1000 * a AS DECIMAL(18, 0)) * CAST(total AS DECIMAL(18, 0)) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))"
-    best = cuts.withColumn("score", F.expr(exact)).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "total")).alias("b"))
+    best = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "total")).alias("b"))
     scored = best.select("lang", "phrase", "b.a", "b.l", "b.r", F.col("b.total").alias("n"), "b.score")
     order = (F.desc("score"), F.desc("a"), "phrase")
     near = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
