@@ -133,7 +133,10 @@ class Lines:
             self.begin_skip(name)
 
     def begin_skip(self, name: str) -> None:
-        self.gap(name not in INLINE)
+        """What stands beside is one empty line, however much of it there is in a row, and none within
+        a named article, which it doesn't end."""
+        if name not in INLINE:
+            self.gap(not self.articles and bool(self.lines) and bool(self.lines[-1].text))
         self.skip, self.depth, self.inner = name, 1, 0
 
     def skipped(self, name: str, close: bool, rest: str) -> None:
@@ -198,6 +201,8 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     if not found:
         return ""
     begin, end = max(found, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))
+    # A window reaches the threshold some lines before the text, which may be links.
+    begin = next(i for i in range(begin, end) if weights[i])
     return " ".join(x.text for x in lines[begin:end] if x.text and (x.named or not named))
 
 
