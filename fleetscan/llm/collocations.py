@@ -32,7 +32,7 @@ from .tokens import release_memory
 #: Least occurrences and most words of a phrase; phrases returned for a language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Share of the documents that is the sample, and by how much its threshold is lowered.
-SAMPLE, LOWERED = 1 / 8, 0.5
+SAMPLE, LOWERED = 1 / 16, 0.5
 #: Bits of the set that a task gets (2 to this power), and bytes of text that it counts at once.
 BITS, BLOCK_BYTES = 27, 4 << 20
 #: Parts in which a language's phrases are ranked first.
@@ -205,9 +205,14 @@ def text_counts(docs: DataFrame, known: BitSet, grown: BitSet, longest: int = LO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, grown = sets.value
         for b in batches:
+            found: list[pa.Table] = []
             for lang, words in _of_langs(b, block_bytes):
                 for phrases, n in ((pa.array([""]), np.array([words.n])), *words.counted(known, grown, longest, 1, True)):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                    found.append(pa.table([pa.repeat(lang, len(n)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"]))
+            if found:
+                summed = pa.concat_tables(found).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+                found.clear()
+                yield from summed.select(["lang", "phrase", "n"]).to_batches()
             release_memory()
 
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
