@@ -1,14 +1,15 @@
 """Licence scan by conditional compression (operator 10).
 
-Candidate blocks are the words around a licence word, over line breaks, comment signs and
-blank lines; blocks that touch are one.  A block is compressed with each template as a raw
-Zstandard dictionary, and the templates are ranked by the bytes they save.  In that order
-they are confirmed by their exact wording: where a template's meaningful words (all but
-filler) stand in the block one after the other with nothing but filler between, and at most
-a share of its filler is missing.  A licence of another name or version is another licence,
-however well it compresses.  The first to be confirmed takes its words; no template is left
-untried, so the ranking decides between notices that overlap and loses none.  SPDX tags are
-read by their own grammar.
+A licence word makes the words around it a candidate block, over line breaks, comment signs
+and blank lines.  In a block, every word that a template's meaningful words begin with opens a
+candidate window: the words up to where the template would end.  The window is compressed with
+and without the template as a raw Zstandard dictionary.  A template that saves less of it than
+``SHARE`` of what it saves of its own text is dropped there; the others are ranked by the bytes
+saved, and in that order confirmed by their exact wording: the template's meaningful words (all
+but filler) stand one after the other with nothing but filler between, and at most a share
+of its filler is missing.  A licence of another name or version is another licence, however well
+it compresses.  Of notices that overlap the one that saves most is kept.  SPDX tags are read by
+their own grammar.
 """
 
 from __future__ import annotations
@@ -113,6 +114,10 @@ _COMMENT = re.compile(r"^[ \t]*(?:REM|dnl)\b", re.M)
 MAX_MISSING = 0.25
 #: Compression level: templates are ranked by what a block's bytes have in common with them.
 LEVEL = 3
+#: Share of what a template saves of its own text, less some bytes by which short texts vary, below
+#: which it is dropped. On the given texts and on templates with filler put in and left out, none
+#: is lost (see the tests).
+SHARE, SLACK = 0.15, 6
 #: The end of a sentence: no version number of a name before it stands behind it.
 _STOP = re.compile(r"(?<!\bv)(?<!\bver)\.\s", re.I)
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)|\blicen[sc]e[\x22']?\s*[:=]\s*[\x22']([^\x22'\r\n]+)[\x22']", re.I)
@@ -153,20 +158,31 @@ class Scanner:
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.each = []
+        self.each, self.opens = [], {}
         self.ids = {n.lower(): n for n, _ in templates}
         for i, (name, t) in enumerate(templates):
             want = tokens(t)
             core = [k for k, w in enumerate(want) if w not in FILLER] or list(range(len(want)))
-            shared = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared = zstandard.ZstdCompressionDict(" ".join(want).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.opens.setdefault(want[core[0]], []).append(i)
             self.each.append((name, want, core, zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
         # Words beside a licence word that a notice may reach: a template's, and added filler.
         self.reach = 3 * max((len(want) for _, want, _, _ in self.each), default=0) // 2
 
-    def saved(self, notice: str, i: int) -> int:
-        """Bytes that template ``i`` saves of the notice."""
-        raw = notice.lower().encode()
-        return len(self.alone.compress(raw)) - len(self.each[i][3].compress(raw))
+        self.windows: dict[tuple[str, int], int] = {}
+        self.least = [SHARE * self.saved(want, i) - SLACK for i, (_, want, _, _) in enumerate(self.each)]
+
+    def saved(self, words: list[str], i: int) -> int:
+        """Bytes that template ``i`` saves of words. Windows that come again are kept."""
+        window = " ".join(words)
+        if (window, i) not in self.windows:
+            if len(self.windows) > 20_000:
+                self.windows.clear()
+            raw = window.encode()
+            if (window, -1) not in self.windows:
+                self.windows[window, -1] = len(self.alone.compress(raw))
+            self.windows[window, i] = self.windows[window, -1] - len(self.each[i][3].compress(raw))
+        return self.windows[window, i]
 
     def match(self, i: int, own: list[str], heavy: list[int], at: int, text: str, spans: list[tuple[int, int]]) -> tuple[int, int, list[str], list[str]] | None:
         """(first word, end, words missing, words added) of template ``i`` where its first
@@ -228,12 +244,23 @@ class Scanner:
                 out.append((low, high))
         return out
 
-    def ranked(self, block: str) -> list[int]:
-        """The templates by the bytes they save of a block, most first; of equal ones those
-        with more meaningful words, and more words."""
-        raw = block.lower().encode()
-        size = [len(x[3].compress(raw)) for x in self.each]
-        return sorted(range(len(self.each)), key=lambda i: (size[i], -len(self.each[i][2]), -len(self.each[i][1]), i))
+    def window(self, i: int, own: list[str], heavy: list[int], at: int) -> list[str]:
+        """The words that template ``i`` may have where its first meaningful word is
+        ``heavy[at]``: up to its last one, and as many before and after as it has itself."""
+        _, want, core, _ = self.each[i]
+        last = heavy[min(at + len(core), len(heavy)) - 1]
+        return own[max(0, heavy[at] - core[0]) : last + len(want) - core[-1]]
+
+    def ranked(self, own: list[str], heavy: list[int], low: int, high: int) -> list[tuple[int, int, int]]:
+        """(bytes saved, template, place of its first word) of a block's candidate windows, most
+        saved first; of equal ones those with more meaningful words, and more words."""
+        out = []
+        for at in range(low, high):
+            for i in self.opens.get(own[heavy[at]], ()):
+                saved = self.saved(self.window(i, own, heavy, at), i)
+                if saved >= self.least[i]:
+                    out.append((saved, i, at))
+        return sorted(out, key=lambda x: (-x[0], -len(self.each[x[1]][2]), -len(self.each[x[1]][1]), x[1], x[2]))
 
     def notices(self, text: str) -> list[dict]:
         """Every confirmed notice that no better one overlaps, in the order of the text."""
@@ -251,17 +278,12 @@ class Scanner:
 
         # An id in a tag is as good as can be.
         for n, a, b in self.tagged(text):
-            take(n, a, b, max([0, *(self.saved(text[a:b], i) for i, t in enumerate(self.each) if t[0] == n)]), [], [])
+            take(n, a, b, max([0, *(self.saved(tokens(text[a:b]), i) for i, t in enumerate(self.each) if t[0] == n)]), [], [])
         for low, high in self.blocks(text, spans):
-            places: dict[str, list[int]] = {}
-            for at in range(bisect.bisect_left(heavy, low), bisect.bisect_left(heavy, high)):
-                places.setdefault(own[heavy[at]], []).append(at)
-            for i in self.ranked(text[spans[low][0] : spans[high - 1][1]]) if low < high else ():
-                name, want, core, _ = self.each[i]
-                confirmed = [m for at in places.get(want[core[0]], ()) if (m := self.match(i, own, heavy, at, text, spans))]
-                for a, b, missing, added in sorted(confirmed, key=lambda m: (len(m[2]) + len(m[3]), m[0])):
-                    start, end = spans[a][0], spans[b - 1][1]
-                    take(name, start, end, self.saved(text[start:end], i), missing, added)
+            for saved, i, at in self.ranked(own, heavy, bisect.bisect_left(heavy, low), bisect.bisect_left(heavy, high)):
+                if m := self.match(i, own, heavy, at, text, spans):
+                    a, b, missing, added = m
+                    take(self.each[i][0], spans[a][0], spans[b - 1][1], saved, missing, added)
         return out
 
 
