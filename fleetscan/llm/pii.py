@@ -71,9 +71,11 @@ CYCLE_DAYS, DAYS_A, DAYS_B = 146097, 189, 773
 FIRST_DAY = "1600-01-01"
 #: Setting of the session with the key, and the key of tests.
 KEY_SETTING = "spark.fleetscan.pseudonym.secret"
+#: A key, which a plan shows, or a column that holds it.
+Key = str | Column
 
 
-def _mix(key: str, label: str, i: Column, half: Column, modulus: Column) -> Column:
+def _mix(key: Key, label: str, i: Column, half: Column, modulus: Column) -> Column:
     """A round's keyed value below ``modulus``."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(label), i.cast("string"), half.cast("string"), modulus.cast("string")), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), modulus)
@@ -84,7 +86,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def feistel(value: Column, a: Column, b: Column, key: str, label: str, rounds: int = ROUNDS) -> Column:
+def feistel(value: Column, a: Column, b: Column, key: Key, label: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the numbers below a * b (a and b long, a * b below 2^63).
 
     The number is a pair (x below a, y below b); rounds add to one half, in turn, a keyed
@@ -109,7 +111,7 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), "0").cast("long")
 
 
-def permute_digits(digits: Column, key: str, label: str) -> Column:
+def permute_digits(digits: Column, key: Key, label: str) -> Column:
     """A string of digits as another of the same length: a permutation for each length.
     Strings over 18 digits are permuted in two parts; one digit stays."""
 
@@ -152,7 +154,7 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Key) -> Column:
     def made(d: Column) -> Column:
         # The Luhn sum of the new body and a 0 gives the check digit.
         body = permute_digits(d.substr(F.lit(1), F.length(d) - 1), key, "card")
@@ -162,7 +164,7 @@ def _card(m: Column, key: str) -> Column:
     return let(_digits(m), made)
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Key) -> Column:
     # The country code stays: the digits up to the first separator, or one digit.
     code = F.regexp_extract(m, r"^(\+(?:\d{1,3}(?=[ .\-(])|\d)|)", 1)
 
@@ -172,7 +174,7 @@ def _phone(m: Column, key: str) -> Column:
     return let(code, made)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Key) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda x: x.try_cast("long"))
     number = F.aggregate(parts, F.expr("0L"), lambda s, x: s * 256 + x)
     side = F.expr("65536L")
@@ -180,7 +182,7 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda x: x <= 255), spelled)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Key) -> Column:
     """Year first, or day first where dots divide or the first number can't be a month, or
     else month first; the new date is written in the same way, with one-digit months and
     days where the old one has such."""
@@ -208,7 +210,7 @@ def _date(m: Column, key: str) -> Column:
     return let(m.contains(".") | (first.try_cast("int") > 12), made)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Key) -> Column:
     """Among the valid numbers: 898 areas (001 to 899 but 666), 99 groups, 9999 serials."""
 
     def made(p: Column) -> Column:
@@ -232,7 +234,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.expr("0L"), lambda s, c: F.when(c.between("0", "9"), (s * 10 + c.try_cast("long")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Key) -> Column:
     """Country and letters stay; the other digits are permuted, the check digits anew."""
 
     def made(p: Column) -> Column:
@@ -244,15 +246,15 @@ def _iban(m: Column, key: str) -> Column:
     return let(F.regexp_replace(m, " ", ""), made)
 
 
-def _digest(m: Column, key: str, label: str) -> Column:
+def _digest(m: Column, key: Key, label: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(label), m), 256)
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Key) -> Column:
     return F.concat(F.lit("u"), F.substring(_digest(F.lower(m), key, "email"), 1, 16), F.lit("@example.invalid"))
 
 
-def _secret(m: Column, key: str) -> Column:
+def _secret(m: Column, key: Key) -> Column:
     """Of the same length and case; a known prefix stays. Digests are chained to any length."""
 
     def made(prefix: Column) -> Column:
@@ -268,7 +270,7 @@ def _secret(m: Column, key: str) -> Column:
     return let(F.regexp_extract(m, r"^(AKIA|gh[pousr]_|)", 1), made)
 
 
-def _keyed_secret(m: Column, key: str) -> Column:
+def _keyed_secret(m: Column, key: Key) -> Column:
     """The value after the name, which stays, as do the quotes."""
 
     def made(name: Column) -> Column:
@@ -283,7 +285,7 @@ def _keyed_secret(m: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "keyed_secret": _keyed_secret, "ip": _ip, "phone": _phone, "date": _date, "ssn": _ssn, "iban": _iban, "card": _card}
 
 
-def pseudonym(match: Column, key: str) -> Column:
+def pseudonym(match: Column, key: Key) -> Column:
     """(kind, value) of one candidate by the first kind whose pattern it matches as a whole
     and that finds it valid; null where none does."""
     made = F.array(*(F.struct(F.lit(kind).alias("kind"), F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), make(match, key)).alias("value")) for kind, make in _MAKERS.items()))
@@ -291,16 +293,18 @@ def pseudonym(match: Column, key: str) -> Column:
 
 
 def session_key(spark: SparkSession) -> str:
-    """The session's key, from ``KEY_SETTING``. Where it isn't set a random one is drawn and
-    set, so that equal values are linked within the application and nobody else can undo
-    them; set it to link values over several runs."""
+    """The session's key, from ``KEY_SETTING``, whose name has Spark redact it. Where it isn't set,
+    one is drawn for the application, which all of its sessions share, so that equal values are
+    linked within it and nobody can undo them; set it to link values over several runs."""
     key = spark.conf.get(KEY_SETTING, None)
     if not key:
-        key = secrets.token_hex(32)
-        spark.conf.set(KEY_SETTING, key)
+        key = _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
     return key
 
 
+_DRAWN: dict[str, str] = {}
+
+
 SPANS = "array<struct<kind:string,start:bigint,length:bigint>>"
 
 
@@ -310,18 +314,19 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str | None = None, fo
 
     Null texts stay null and have an empty array; empty ones stay empty. Rows are
     independent, so repeated rows stay equal. ``key`` is the secret of the permutations,
-    by default the session's (:func:`session_key`).
+    by default the session's (:func:`session_key`). It comes from a table of one row that is
+    broadcast, as a literal would show in plans, the UI and event logs.
     Texts of any length are searched whole, in time that grows with their length. ``found``
     must be a new column's name.
     """
     if found.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"there is a column {found} already")
-    key = key or session_key(docs.sparkSession)
-    t = F.col(text)
-    m, p, r = (fresh(docs, f"__pii_{x}") for x in "mpr")
-    rows = docs.withColumn(m, F.when(t.rlike(MAY_HAVE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    spark, t = docs.sparkSession, F.col(text)
+    m, p, r, k = (fresh(docs, f"__pii_{x}") for x in "mprk")
+    keys = spark.createDataFrame([(key or session_key(spark),)], f"`{k}` string")
+    rows = docs.crossJoin(F.broadcast(keys)).withColumn(m, F.when(t.rlike(MAY_HAVE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     has = F.size(m) > 0
-    rows = rows.withColumn(p, F.when(has, F.split(t, ANY))).withColumn(r, F.when(has, F.transform(m, lambda x: pseudonym(x, key))))
+    rows = rows.withColumn(p, F.when(has, F.split(t, ANY))).withColumn(r, F.when(has, F.transform(m, lambda x: pseudonym(x, F.col(k)))))
     before = F.slice(p, F.lit(1), F.size(m))
     joined = F.concat(F.array_join(F.zip_with(before, F.zip_with(m, r, lambda x, y: F.coalesce(y["value"], x)), lambda x, y: F.concat(x, y)), ""), F.element_at(p, -1))
 

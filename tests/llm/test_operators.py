@@ -647,6 +647,18 @@ def test_no_python_in_the_plan(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_the_key_is_in_no_plan_and_of_the_application(spark, sf_dir):
+    key = pii.session_key(spark)
+    out = QUERIES["op7_pii"](spark, sf_dir)
+    out.write.format("noop").mode("overwrite").save()
+    plans = out._jdf.queryExecution().toString() + out._jdf.queryExecution().executedPlan().toString() + out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    assert len(key) == 64 and key not in plans and "__pii_k" in plans
+    other = spark.newSession()
+    assert pii.session_key(other) == key
+    df = "SELECT 1 AS doc_id, 'at 10.1.2.3' AS text"
+    assert pii.pseudonymize(spark.sql(df)).collect() == pii.pseudonymize(other.sql(df)).collect()
+
+
 # --- WARC, ledger, licences -----------------------------------------------------------------------
 
 
