@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from ..schemas import PREFIX, TERMINAL
 from ..sources.tables import delete_rows, folders_of, read_union, remove
+from .ordered import saved, sortable
 
 #: Limits and grace periods.
 ROW_CEILING = 2_000_000
 QUIET_MS, ABANDONED_MS, SETTLED_MS, SKEW_MS, RECENT_MS = 900_000, 86_400_000, 7 * 86_400_000, 300_000, 86_400_000
 MAX_SCANS = 4
+#: Bytes of a compacted file, as JSON, about.
+FILE_BYTES = 512 << 20
 ACTION_TERMINAL = ("COMPLETED_SUCCESSFULLY", "COMPLETED_PARTIALLY", "FAILED", "TIMEOUT", "ABORTED", "CANCELED", "EXPIRED")
 
 
@@ -193,9 +196,13 @@ class Compaction:
     dry_run: bool
 
 
-def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, eligible: DataFrame, max_scans: int = MAX_SCANS, dry_run: bool = True, ceiling: int = ROW_CEILING) -> Compaction:
+def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, eligible: DataFrame, max_scans: int = MAX_SCANS, dry_run: bool = True, ceiling: int = ROW_CEILING, file_bytes: int = FILE_BYTES) -> Compaction:
     """Copy the eligible scans' rows from all shards to ``target``, one partition a scan.
 
+    Rows are dealt to files by what they measure as JSON, which is more than they take as Parquet:
+    a scan of b such bytes gets at most b / ``file_bytes`` + 1 files, from however many tasks and
+    shards it comes, and a large scan is written by as many tasks.
+
     A pass takes the first ``max_scans`` by id; that list is small by its bound. All of them
     are written by one job and verified by one count; a scan that is there with as many rows
     isn't written again.
@@ -203,7 +210,7 @@ def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, elig
     ids = [r[0] for r in eligible.select("scan_id").distinct().orderBy("scan_id").limit(max_scans + 1).collect()]
     stopped, ids = len(ids) > max_scans, ids[:max_scans]
     rows = read_union(list(shards.values())).where(F.col("scan_id").isin(ids))
-    sources = rows.groupBy("scan_id").agg(F.count("*").alias("source_rows"))
+    sources = saved(rows.groupBy("scan_id").agg(F.count("*").alias("source_rows"), F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint")).alias("bytes")), "sources")
     if folders_of(spark, target):
         there = spark.read.parquet(target).where(F.col("scan_id").isin(ids)).groupBy("scan_id").agg(F.count("*").alias("target_rows"))
         before = sources.join(there, "scan_id", "left")
@@ -217,7 +224,11 @@ def compact(spark: SparkSession, shards: dict[str, DataFrame], target: str, elig
     if dry_run:
         return Compaction(write, done, failed, stopped, True)
     if write:
-        rows.where(F.col("scan_id").isin(write)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(target)
+        files = sources.where(F.col("scan_id").isin(write)).select("scan_id", F.ceil(F.greatest("bytes", F.lit(1)) / file_bytes).alias("__files"))
+        n = int(files.agg(F.sum("__files")).first()[0])
+        dealt = rows.join(F.broadcast(files), "scan_id")  # a row for each of at most ``max_scans`` scans
+        dealt = dealt.withColumn("__file", F.pmod(F.xxhash64(*sortable(rows)), "__files")).repartition(n, "scan_id", "__file")
+        dealt.drop("__files", "__file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(target)
         landed = spark.read.parquet(target).groupBy("scan_id").agg(F.count("*").alias("target_rows"))
         checked = plan(sources.where(F.col("scan_id").isin(write)).join(landed, "scan_id", "left"), ceiling).collect()
         failed |= {r["scan_id"]: r["state"] for r in checked if r["state"] != "verified"}

@@ -29,15 +29,163 @@ def tumbling(stream: DataFrame, span: str, keys: list[str], aggregates: list, la
     return out.select(F.col("window.start").alias("bin"), *out.columns[1:])
 
 
+def levels(stream: DataFrame, spans: list[str], keys: list[str], sums: dict[str, str], late: str = "10 minutes") -> dict[str, DataFrame]:
+    """Sums and counts (``rows``) over windows of each of ``spans``, by span. Each level is made of the
+    windows of the one before, so its state is as small as they are; a span is a multiple of
+    the one before."""
+    span, *coarser = spans
+    now = stream.withWatermark("_time", late).groupBy(F.window("_time", span), *keys).agg(*(F.sum(c).alias(n) for n, c in sums.items()), F.count("*").alias("rows"))
+    found = {span: now}
+    for span in coarser:
+        timed = now.withColumn("__at", F.window_time("window"))
+        now = timed.groupBy(F.window("__at", span), *keys).agg(*(F.sum(n).alias(n) for n in (*sums, "rows")))
+        found[span] = now
+    return {s: df.select(F.col("window.start").alias("bin"), *df.columns[1:]) for s, df in found.items()}
+
+
 def first_findings(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first row of each (scan, host, rule, file); the state is bounded by the watermark."""
     return stream.withWatermark("_time", late).dropDuplicatesWithinWatermark(["scan_id", "hostname", "rule", "path"])
 
 
+class Forgetting(StatefulProcessor):
+    """A value of a key that is forgotten once the key was silent for ``quiet_ms`` of event time."""
+
+    shape = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.shape + ", timer bigint")
+
+    def kept(self) -> tuple | None:
+        return tuple(self.value.get())[:-1] if self.value.exists() else None
+
+    def keep(self, value: tuple, last_ms: int) -> None:
+        before = self.value.get()[-1] if self.value.exists() else None
+        at = max(last_ms + self.quiet_ms, before or 0)
+        if before != at:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+        self.value.update((*value, at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.value.clear()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class FirstSeen(Forgetting):
+    """Passes rows whose id isn't among the last ids seen, of which it keeps between ``most`` / 2 and
+    ``most``, in two generations: where the younger is full, the older goes."""
+
+    shape, columns = "young string, old string", ["scan_id", "hostname", "rule", "path", "seen"]
+
+    def __init__(self, most: int, quiet_ms: int):
+        self.half, self.quiet_ms = max(1, most // 2), quiet_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # Ids of 32 signs, one after another.
+        young, old = ({x[i : i + 32]: None for i in range(0, len(x), 32)} for x in self.kept() or ("", ""))
+        pdf, new = pd.concat(list(rows), ignore_index=True).sort_values(["seen", "id"]), []
+        for i, one in enumerate(pdf["id"]):
+            if one not in young and one not in old:
+                new.append(i)
+                if len(young) >= self.half:
+                    young, old = {}, young
+                young[one] = None
+        self.keep(("".join(young), "".join(old)), int(pdf["seen"].max().timestamp() * 1000))
+        yield pdf.iloc[new][self.columns]
+
+
+#: Parts into which a host's findings are dealt, so that one host isn't one state.
+SEEN_PARTS = 16
+
+
+def first_findings_bounded(stream: DataFrame, most: int = 150_000, quiet_ms: int = 3_600_000, late: str = "1 hour", parts: int = SEEN_PARTS) -> DataFrame:
+    """The first row (scan_id, hostname, rule, path, _time) of each (scan, host, rule, file), with a
+    state of at most ``most`` ids for a scan on a host.
+
+    It keeps at least the last ``most`` / 2 different findings, and forgets a part that was silent
+    for ``quiet_ms`` of event time. A finding that was forgotten and comes again is passed again.
+    Rows later than ``late`` are dropped. A null counts as a value of its own.
+    """
+    id_ = F.substring(F.sha2(F.to_json(F.struct("rule", "path")).cast("binary"), 256), 1, 32)
+    rows = stream.select("scan_id", "hostname", "rule", "path", F.col("_time").alias("seen"), id_.alias("id")).withWatermark("seen", late)
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    out = "scan_id string, hostname string, rule string, path string, seen timestamp"
+    got = parted.groupBy("scan_id", "hostname", "part").transformWithStateInPandas(FirstSeen(max(2, most // parts), quiet_ms), out, "Append", "EventTime")
+    return got.withColumnRenamed("seen", "_time")
+
+
+class LastKept(Forgetting):
+    """Passes a worker's first report, and each that comes ``least`` microseconds or more after the
+    last one passed, which is its state."""
+
+    shape, columns = "us bigint", ["hostname", "worker_id", "us"]
+
+    def __init__(self, least: int, quiet_ms: int):
+        self.least, self.quiet_ms = least, quiet_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        last = (self.kept() or (None,))[0]
+        pdf, keep = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable"), []
+        for i, us in enumerate(pdf["us"]):
+            if last is None or us - last >= self.least:
+                last = int(us)
+                keep.append(i)
+        self.keep((last,), int(pdf["us"].max()) // 1000)
+        yield pdf.iloc[keep][self.columns]
+
+
+def throttle_stream(reports: DataFrame, interval_secs: float = 30, quiet_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """Reports (hostname, worker_id, _time) throttled as by
+    :func:`~fleetscan.operators.telemetry.throttle_reports`, of which this is the same for
+    reports that arrive in order of time.
+
+    A micro-batch is put in order of time for each worker. A report that arrives later than one
+    that was kept and isn't ``interval_secs`` younger is left out, as are rows later than
+    ``late``. A worker that was silent for ``quiet_ms`` of event time begins anew.
+    """
+    rows = reports.where(F.col("_time").isNotNull()).select("hostname", "worker_id", F.col("_time").alias("seen"), F.unix_micros("_time").alias("us")).withWatermark("seen", late)
+    kept = rows.groupBy("hostname", "worker_id").transformWithStateInPandas(LastKept(int(interval_secs * 1_000_000), quiet_ms), "hostname string, worker_id string, us bigint", "Append", "EventTime")
+    return kept.select("hostname", "worker_id", F.timestamp_micros("us").alias("_time"))
+
+
 def stream_resource_alerts(parsed: DataFrame) -> DataFrame:
     return resource_alerts(parsed)
 
 
+CAPPED = "scan_id string, rule string, path string, n bigint, kind string, seen timestamp"
+_CAPPED = ["scan_id", "rule", "path", "n", "kind", "seen"]
+
+
+class PartCap(StatefulProcessor):
+    """Passes the first ``cap`` alerts of a part of a scan, and of the others one row a rule and
+    micro-batch with their number."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getValueState("sent", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        sent, held = self.sent.get()[0] if self.sent.exists() else 0, []
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["seen", "path", "rule"])
+        first, rest = pdf.iloc[: max(0, self.cap - sent)], pdf.iloc[max(0, self.cap - sent) :]
+        self.sent.update((min(self.cap, sent + len(pdf)),))
+        yield first.assign(n=1, kind="alert")[_CAPPED]
+        if len(rest):
+            held = rest.groupby("rule", dropna=False, as_index=False).agg(n=("path", "size"), seen=("seen", "max"))
+            yield held.assign(scan_id=key[0], path=None, kind="held")[_CAPPED]
+
+    def close(self) -> None:
+        pass
+
+
 class AlertCap(StatefulProcessor):
     """Passes the first ``cap`` alerts of a scan; counts the others by rule, and tells their
     sums when the scan has been silent for ``quiet_ms`` of event time."""
@@ -53,43 +201,47 @@ class AlertCap(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         sent = self.sent.get()[0] if self.sent.exists() else 0
-        last = self.timer.get()[0] - self.quiet_ms if self.timer.exists() else 0
-        out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["seen", "path", "rule"]).itertuples():
-                last = max(last, int(r.seen.timestamp() * 1000))
-                if sent < self.cap:
-                    sent += 1
-                    out.append((key[0], r.rule, r.path, 1, "alert"))
-                else:
-                    n = self.held.getValue((r.rule,))[0] if self.held.containsKey((r.rule,)) else 0
-                    self.held.updateValue((r.rule,), (n + 1,))
-        self.sent.update((sent,))
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["seen", "path", "rule"])
+        last = max(self.timer.get()[0] - self.quiet_ms if self.timer.exists() else 0, int(pdf["seen"].max().timestamp() * 1000))
+        alerts = pdf[pdf["kind"] == "alert"]
+        first, rest = alerts.iloc[: max(0, self.cap - sent)], alerts.iloc[max(0, self.cap - sent) :]
+        self.sent.update((min(self.cap, sent + len(alerts)),))
+        for rule, n in pd.concat([rest, pdf[pdf["kind"] == "held"]]).groupby("rule", dropna=False)["n"].sum().items():
+            before = self.held.getValue((rule,))[0] if self.held.containsKey((rule,)) else 0
+            self.held.updateValue((rule,), (before + int(n),))
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
-        at = last + self.quiet_ms
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-        yield pd.DataFrame(out, columns=["scan_id", "rule", "path", "n", "kind"])
+        self.handle.registerTimer(last + self.quiet_ms)
+        self.timer.update((last + self.quiet_ms,))
+        yield first[_CAPPED[:5]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         out = [(key[0], k[0], None, v[0], "rollup") for k, v in self.held.iterator()]
         self.held.clear()
         self.timer.clear()
-        yield pd.DataFrame(sorted(out, key=lambda x: (-x[3], x[1])), columns=["scan_id", "rule", "path", "n", "kind"])
+        yield pd.DataFrame(sorted(out, key=lambda x: (-x[3], x[1])), columns=_CAPPED[:5])
 
     def close(self) -> None:
         pass
 
 
 ALERT_OUT = "scan_id string, rule string, path string, n bigint, kind string"
+#: Parts of a scan that are capped on their own first.
+CAP_PARTS = 32
 
 
-def cap_stream(alerts: DataFrame, cap: int = 500, quiet_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
-    """Alerts (scan_id, rule, path, _time) capped for each scan, with a rollup at its end."""
+def cap_stream(alerts: DataFrame, cap: int = 500, quiet_ms: int = 600_000, late: str = "10 minutes", parts: int = CAP_PARTS) -> DataFrame:
+    """Alerts (scan_id, rule, path, _time) capped for each scan, with a rollup at its end.
+
+    What is behind ``cap`` in a part of a scan's alerts is so in the scan. So parts are capped
+    first, each with a state of its own, and the scan's state gets at most ``cap`` alerts of a part,
+    and one row a rule, part and micro-batch for the others.
+    """
     # Names in the state's rows mustn't begin with an underscore.
     timed = alerts.select("scan_id", "rule", "path", F.col("_time").alias("seen")).withWatermark("seen", late)
-    return timed.groupBy("scan_id").transformWithStateInPandas(AlertCap(cap, quiet_ms), ALERT_OUT, "Append", "EventTime")
+    parted = timed.withColumn("part", F.pmod(F.xxhash64("rule", "path"), F.lit(parts)).cast("int"))
+    capped = parted.groupBy("scan_id", "part").transformWithStateInPandas(PartCap(cap), CAPPED, "Append", "EventTime", eventTimeColumnName="seen")
+    return capped.groupBy("scan_id").transformWithStateInPandas(AlertCap(cap, quiet_ms), ALERT_OUT, "Append", "EventTime")
 
 
 class StaleScan(StatefulProcessor):

@@ -4,6 +4,7 @@ of streams, with DuckDB SQL for what they must give."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,12 @@ from .operators import maintenance as mt
 from .operators.alerts import build_alerts
 from .operators.findings import findings, rule_only_detail
 from .operators.lifecycle import lifecycle_rows, scan_summary
+from .operators.ordered import saved
 from .operators.scan import Pattern, Rule, at_offset, of_them, scan_hits
 from .operators.scope import classify_scope
 from .operators.telemetry import parse_telemetry
 from .schemas import FINDINGS, LIFECYCLE, conform, schema
-from .sources import tables
+from .sources import commits, tables
 from .streaming import jobs
 from .work import work_path
 
@@ -104,6 +106,28 @@ def s10_run_logs(spark: SparkSession, sf: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def s7_concurrent_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight writers at once, each with the findings of its hosts: two versions of them, the second of
+    what is High only, while another writer deletes what is Low again and again."""
+    path, files = work_path(spark, "commits"), conform(fx.file_findings(spark, sf), FINDINGS)
+    files = saved(files.select("hostname", "filename", "severity", "match_total").withColumn("k", F.pmod(F.xxhash64("hostname"), F.lit(7)).cast("int")), "findings")
+
+    def writer(k: int) -> None:
+        own = files.where(F.col("k") == k)
+        commits.append(own, path, "hostname")
+        commits.replace(own.where("severity <> 'Medium'"), path, "hostname", [r[0] for r in own.select("hostname").distinct().collect()])  # its own hosts
+
+    def deleter(_: int) -> None:
+        for _ in range(2):
+            commits.delete(spark, path, "hostname", F.col("severity") == "Low")
+
+    commits.append(files.where("k = 0"), path, "hostname")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: (writer if k < 7 else deleter)(k), range(8)))
+    commits.delete(spark, path, "hostname", F.col("severity") == "Low")
+    return commits.read(spark, path, "hostname").groupBy("hostname", "severity").agg(F.count("*").alias("files"), F.sum("match_total").alias("hits"))
+
+
 ODD_HOSTS = ("a:b", "x/y", "k=v", "sp ace", "50%", "plain")
 _ODD = f"CASE doc_id % 7 {' '.join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(ODD_HOSTS))} END"
 
@@ -131,15 +155,36 @@ def m29_prune_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m13_compact(spark: SparkSession, sf: str) -> DataFrame:
-    """Four scans of three shards in one pass, and again: nothing is written twice."""
-    target, scans = work_path(spark, "compacted"), fx.scans(spark, sf).select("scan_id", "hostname", "os_type", "event_timestamp_ms")
+    """Four scans of three shards in one pass, and again: nothing is written twice. Files are so small
+    that every scan has several, and no more than its bytes allow."""
+    target, scans, size = work_path(spark, "compacted"), fx.scans(spark, sf).select("scan_id", "hostname", "os_type", "event_timestamp_ms"), 1000
     shards = {os: scans.where(F.col("os_type") == os) for os in ("windows", "linux", "macos")}
-    first = mt.compact(spark, shards, target, scans, dry_run=False)
-    again = mt.compact(spark, shards, target, scans, dry_run=False)
-    rows = spark.read.parquet(target).groupBy("scan_id").agg(F.count("*").alias("rows"))
+    first = mt.compact(spark, shards, target, scans, dry_run=False, file_bytes=size)
+    again = mt.compact(spark, shards, target, scans, dry_run=False, file_bytes=size)
+    most = F.sum(F.octet_length(F.to_json(F.struct("scan_id", "hostname", "os_type", "event_timestamp_ms")))) / size + 1
+    files = F.countDistinct("_metadata.file_path")
+    rows = spark.read.parquet(target).groupBy("scan_id").agg(F.count("*").alias("rows"), (files <= most).alias("few_files"))
     return rows.withColumns({"planned": F.lit(len(first.planned)), "planned_again": F.lit(len(again.planned)), "verified": F.col("scan_id").isin(again.verified), "stopped": F.lit(first.stopped_early)})
 
 
+def m13_drop_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards of three systems of which two are compacted whole, and a live table of all: what is
+    left of each."""
+    scans = fx.scans(spark, sf).select("scan_id", "hostname", "os_type", "event_timestamp_ms")
+    paths = {f"sigscan_matches_v4_{os}_aaaaaa_202601": work_path(spark, os) for os in ("windows", "linux", "macos")}
+    for name, path in paths.items():
+        scans.where(F.col("os_type") == name.split("_")[3]).write.parquet(path)
+    live = work_path(spark, "live")
+    scans.write.partitionBy("hostname").parquet(live)
+    shards = {name: spark.read.parquet(path) for name, path in paths.items()}
+    done = mt.compact(spark, shards, work_path(spark, "compacted"), scans.where("os_type <> 'macos'"), max_scans=100_000, dry_run=False)
+    held = scans.select(F.concat(F.lit("sigscan_matches_v4_"), "os_type", F.lit("_aaaaaa_202601")).alias("shard"), "scan_id").distinct()
+    gone, stripped = mt.drop_sources(spark, paths, held, done, (live,))
+    left = spark.read.parquet(live).groupBy("os_type").agg(F.count("*").alias("n")).select(F.concat(F.lit("live "), "os_type").alias("what"), "n")
+    made = spark.createDataFrame([(f"removed {g}", 1) for g in gone] + [("stripped", stripped)], "what string, n bigint")
+    return left.unionByName(made)
+
+
 # --- scope and patterns -------------------------------------------------------------------------
 
 #: System, what is before and behind the number in a path, and why it is skipped.
@@ -188,6 +233,7 @@ def f9_size_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 KINDS = [
     Rule("Kinds", (Pattern("Kinds", "$digit", "[0-9]", "regex"), Pattern("Kinds", "$at", "40", "hex"), Pattern("Kinds", "$word", "li[ck]ense", "regex", nocase=True)), "true"),
+    Rule("Atoms", (Pattern("Atoms", "$jump", "4D 49 54 [1-2] ( 4C | 6C 69 )", "hex"), Pattern("Atoms", "$either", "(?:MIT|GPL) [A-Za-z]+", "regex"), Pattern("Atoms", "$end", "2E 0A", "hex"), Pattern("Atoms", "$mail", "[a-z]@[a-z]{1,4}[0-9]?", "regex")), "true"),
 ]
 WIDE = [Rule("Wide", (Pattern("Wide", "$w", "MIT", wide=True, ascii=False),), "true")]
 
@@ -195,13 +241,15 @@ WIDE = [Rule("Wide", (Pattern("Wide", "$w", "MIT", wide=True, ascii=False),), "t
 def g2_pattern_kinds(spark: SparkSession, sf: str) -> DataFrame:
     files = fx.corpus(spark, sf)
     hits = scan_hits(files, KINDS).unionByName(scan_hits(files.withColumn("content", F.encode("content", "UTF-16LE")), WIDE))
-    return hits.groupBy("string_id").agg(F.count("*").alias("hits"), F.countDistinct("matched").alias("distinct"))
+    return hits.groupBy("string_id").agg(F.count("*").alias("hits"), F.countDistinct("matched").alias("distinct"), F.min("matched").alias("least"), F.max("matched").alias("most"))
 
 
 CONDITIONS = [
     Rule("AtStart", (Pattern("AtStart", "$t", "the", nocase=True),), at_offset("$t", 0)),
     Rule("TwoOf", tuple(Pattern("TwoOf", i, p) for i, p in (("$a", "@"), ("$b", "%"), ("$c", "MIT"))), of_them(["$a", "$b", "$c"], 2)),
     Rule("InPages", (Pattern("InPages", "$a", "@"),), "filename_lower LIKE '%.html'"),
+    Rule("NoSign", (Pattern("NoSign", "$a", "@"), Pattern("NoSign", "$b", "%")), "coalesce(n['$a'], 0) + coalesce(n['$b'], 0) = 0", "medium"),
+    Rule("PageNoMit", (Pattern("PageNoMit", "$a", "MIT"),), "NOT (coalesce(n['$a'], 0) > 0) AND filename_lower LIKE '%.html'", "low"),
     Rule("ByName", (), "filename LIKE '%.html' AND file_size > 500", "high", ("web", "page"), (("author", "me"), ("description", "pages"))),
 ]
 
@@ -214,24 +262,26 @@ _HAS = {"@": "contains(content, '@')", "%": "contains(content, '%')", "MIT": "co
 _CONDITIONS_SQL = (
     "SELECT path, 'AtStart' AS rule, 'string' AS match_scope, 'low' AS severity FROM corpus WHERE starts_with(lower(content), 'the') UNION ALL "
     f"SELECT path, 'TwoOf', 'string', 'low' FROM corpus WHERE {' + '.join(f'CAST({h} AS INTEGER)' for h in _HAS.values())} >= 2 UNION ALL "
-    "SELECT path, 'InPages', 'string', 'low' FROM corpus WHERE contains(content, '@') AND ends_with(path, '.html') UNION ALL "
+    "SELECT path, 'InPages', CASE WHEN contains(content, '@') THEN 'string' ELSE 'rule' END, 'low' FROM corpus WHERE ends_with(path, '.html') UNION ALL "
+    "SELECT path, 'NoSign', 'rule', 'medium' FROM corpus WHERE NOT contains(content, '@') AND NOT contains(content, '%') UNION ALL "
+    "SELECT path, 'PageNoMit', 'rule', 'low' FROM corpus WHERE NOT contains(content, 'MIT') AND ends_with(path, '.html') UNION ALL "
     "SELECT path, 'ByName', 'rule', 'high' FROM corpus WHERE ends_with(path, '.html') AND strlen(content) > 500"
 )
 
-SIGNS = [Rule("Signs", (Pattern("Signs", "$at", "@"), Pattern("Signs", None, "%")), "true", "medium")]
+SIGNS = [Rule("Signs", (Pattern("Signs", "$at", "@"), Pattern("Signs", None, "%")), of_them(["$at", "$?"]), "medium")]
 
 
 def g7_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Two samples a file at most, so that the cap bites; the census counts all."""
     out = findings(fx.corpus(spark, sf), SIGNS, sample_cap=2)
     census = F.array_join(F.transform("string_ids", lambda s: F.concat_ws(":", s["id"], s["count"].cast("string"))), ",")
-    return out.select("path", "match_count", "truncated", F.size("offsets").cast("bigint").alias("kept"), "first_offset", census.alias("census"), F.size("samples").cast("bigint").alias("shown"))
+    return out.select("path", "match_count", "truncated", F.size("offsets").cast("bigint").alias("kept"), "first_offset", census.alias("census"), F.array_join("strings", "|").alias("strings"), F.size("samples").cast("bigint").alias("shown"))
 
 
 _SIGNS_SQL = (
-    CORPUS + ", k AS (SELECT path, content, length(content) - length(replace(content, '@', '')) AS a, length(content) - length(replace(content, '%', '')) AS b FROM corpus) "
+    CORPUS + ", k AS (SELECT path, content, length(content) - length(replace(content, '@', '')) AS a, length(content) - length(replace(content, '%', '')) AS b, regexp_extract_all(content, '[@%]')[1:2] AS two FROM corpus) "
     "SELECT path, CAST(a + b AS BIGINT) AS match_count, a + b > 2 AS truncated, CAST(least(a + b, 2) AS BIGINT) AS kept, CAST(strlen(left(content, least(CASE WHEN a > 0 THEN instr(content, '@') END, CASE WHEN b > 0 THEN instr(content, '%') END) - 1)) AS BIGINT) AS first_offset, "
-    "concat_ws(',', CASE WHEN b > 0 THEN '$?:' || b END, CASE WHEN a > 0 THEN '$at:' || a END) AS census, CAST(least(a + b, 2) AS BIGINT) AS shown FROM k WHERE a + b > 0"
+    "concat_ws(',', CASE WHEN b > 0 THEN '$?:' || b END, CASE WHEN a > 0 THEN '$at:' || a END) AS census, array_to_string(CASE WHEN a + b = 1 OR two[1] = two[2] THEN two[1:1] ELSE two END, '|') AS strings, CAST(least(a + b, 2) AS BIGINT) AS shown FROM k WHERE a + b > 0"
 )
 
 
@@ -350,10 +400,39 @@ def t2_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, jobs.tumbling(_stream(spark, _matches(spark, sf)), "1 hour", ["hostname"], [F.sum("n").alias("hits"), F.count("*").alias("rows")]))
 
 
+def t2_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Five minutes, which feed hours, which feed days, each level from a stream of its own."""
+    out = None
+    for span in ("5 minutes", "1 hour", "1 day"):
+        level = jobs.levels(_stream(spark, _matches(spark, sf)), ["5 minutes", "1 hour", "1 day"], ["hostname"], {"hits": "n"})[span]
+        rows = _drained(spark, level).withColumn("span", F.lit(span))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def t3_first_findings(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, jobs.first_findings(_stream(spark, _matches(spark, sf)))).groupBy("rule").agg(F.count("*").alias("findings"))
 
 
+def t3_bounded_state(spark: SparkSession, sf: str) -> DataFrame:
+    """With a bound that isn't reached, so that nothing is forgotten."""
+    _with_state(spark)
+    return _drained(spark, jobs.first_findings_bounded(_stream(spark, _matches(spark, sf)))).groupBy("rule").agg(F.count("*").alias("findings"))
+
+
+def t9_throttled_stream(spark: SparkSession, sf: str) -> DataFrame:
+    _with_state(spark)
+    reports = parse_telemetry(fx.telemetry_raw(spark, sf)).where("type = 'performance' AND worker_id IS NOT NULL").select("hostname", "worker_id", "_time")
+    return _drained(spark, jobs.throttle_stream(_stream(spark, reports), 3600))
+
+
+def t4_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """What is told at the end of scans that went silent before the watermark."""
+    _with_state(spark)
+    out = _drained(spark, jobs.cap_stream(_stream(spark, _matches(spark, sf)), cap=5, quiet_ms=60_000))
+    return out.where("kind = 'rollup'").select("scan_id", "rule", "n")
+
+
 def t4_cap_alerts(spark: SparkSession, sf: str) -> DataFrame:
     _with_state(spark)
     out = _drained(spark, jobs.cap_stream(_stream(spark, _matches(spark, sf)), cap=5))
@@ -392,25 +471,27 @@ def register(add: Callable, findings_sql: str, scans_sql: str, telemetry_sql: st
     add("s4_telemetry_files", s4_telemetry_files, f"WITH r AS ({fx.duck(fx.TELEMETRY, 'events')}) SELECT type, hostname, count(*) AS n, CAST(sum(strlen(data)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS broken FROM r GROUP BY 1, 2")
     add("s6_read_union", s6_read_union, f + "SELECT os_type, count(*) AS files, count(*) FILTER (os_type <> 'windows') AS with_rules, CAST(sum(match_total) AS BIGINT) AS hits FROM f GROUP BY 1")
     add("s7_overwrite_hosts", s7_overwrite_hosts, f + "SELECT hostname, count(*) AS files, CAST(sum(match_total) AS BIGINT) AS hits FROM f WHERE hostname NOT IN ('src1', 'src3', 'src7') OR severity = 'High' GROUP BY 1")
+    add("s7_concurrent_writers", s7_concurrent_writers, f + "SELECT hostname, severity, count(*) AS files, CAST(sum(match_total) AS BIGINT) AS hits FROM f WHERE severity NOT IN ('Medium', 'Low') GROUP BY 1, 2")
     add("s8_append_lifecycle", s8_append_lifecycle, s + "SELECT strftime(make_timestamp(event_timestamp_ms * 1000), '%Y%m') AS month, count(*) AS n FROM s GROUP BY 1")
     add("s9_write_alerts", s9_write_alerts, f"WITH a AS ({fx.duck(fx.ALERTS, 'events', "event_type = 'error'")}) SELECT severity, hostname, count(*) AS n FROM a GROUP BY 1, 2")
     add("s10_run_logs", s10_run_logs, f"WITH r AS ({fx.duck(fx.RUNS, 'orders')}) SELECT status, CAST(sum(consolidated_count) AS BIGINT) AS n, CAST(3 AS BIGINT) AS failed_count, CAST(500 AS BIGINT) AS length FROM r GROUP BY 1 UNION ALL SELECT 'cleanup', count(*), -1, 4000 FROM customer")
     add("s12_delete_rows", s12_delete_rows, f"WITH d AS (SELECT doc_id, n_chars, {_ODD} AS was {docs}), k AS (SELECT *, doc_id % 3 = 0 OR coalesce(was = 'k=v', false) OR (was IS NULL AND doc_id % 2 = 0) AS gone FROM d) SELECT was, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, (SELECT count(*) FROM k WHERE gone) AS deleted FROM k WHERE NOT gone GROUP BY 1")
     add("f3_skip_places", f3_skip_places, _PLACES_SQL)
     add("f9_size_cap", f9_size_cap, CORPUS + "SELECT CASE WHEN strlen(content) > 2000 THEN 'File too large' WHEN ends_with(path, '.iso') THEN 'Skipped extension' ELSE 'scanned' END AS reason, count(*) AS files FROM corpus GROUP BY 1")
-    hits = "SELECT '{0}' AS string_id, CAST(sum({1}) AS BIGINT) AS hits, {2} AS \"distinct\" FROM corpus HAVING sum({1}) > 0"
-    every = "len(regexp_extract_all(content, '{}'))"
-    different = "(SELECT count(DISTINCT m) FROM (SELECT unnest(regexp_extract_all(content, '{}')) AS m FROM corpus))"
-    add("g2_pattern_kinds", g2_pattern_kinds, CORPUS + " UNION ALL ".join(hits.format(i, every.format(p), different.format(p)) for i, p in (("$digit", "[0-9]"), ("$at", "@"), ("$word", "(?i)li[ck]ense"), ("$w", "MIT"))))
+    kinds = (("$digit", "[0-9]"), ("$at", "@"), ("$word", "(?i)li[ck]ense"), ("$jump", "MIT(?s:.{1,2}?)(?:L|li)"), ("$either", "(?:MIT|GPL) [A-Za-z]+"), ("$end", "[.]\\n"), ("$mail", "[a-z]@[a-z]{1,4}[0-9]?"), ("$w", "MIT"))
+    shown = "CASE WHEN m = '.' || chr(10) THEN '2e0a' ELSE m END"
+    of = "SELECT '{}' AS string_id, count(*) AS hits, count(DISTINCT m) AS \"distinct\", min({}) AS least, max({}) AS most FROM (SELECT unnest(regexp_extract_all(content, '{}')) AS m FROM corpus) HAVING count(*) > 0"
+    add("g2_pattern_kinds", g2_pattern_kinds, CORPUS + " UNION ALL ".join(of.format(i, shown, shown, p) for i, p in kinds))
     add("g4_conditions", g4_conditions, CORPUS + _CONDITIONS_SQL)
     add("g7_samples", g7_samples, _SIGNS_SQL)
-    add("g14_rule_only_detail", g14_rule_only_detail, CORPUS + f", r AS ({_CONDITIONS_SQL}) SELECT path, rule, CASE WHEN rule = 'ByName' THEN 'Rule condition matched without string hits: ByName; description: pages; author: me; tags: web, page' END AS detail FROM r")
+    add("g14_rule_only_detail", g14_rule_only_detail, CORPUS + f", r AS ({_CONDITIONS_SQL}) SELECT path, rule, CASE WHEN rule = 'ByName' THEN 'Rule condition matched without string hits: ByName; description: pages; author: me; tags: web, page' WHEN match_scope = 'rule' THEN 'Rule condition matched without string hits: ' || rule END AS detail FROM r")
     add("a3_host_ip", a3_host_ip, f + "SELECT path, rule, CASE WHEN length(path) % 3 > 0 THEN '10.0.0.' || length(path) % 250 ELSE '127.0.0.1' END AS ip FROM r")
     add("l1_lifecycle_rows", l1_lifecycle_rows, f + ", z AS (SELECT scan_id, hostname, count(*) FILTER (NOT ends_with(path, '.iso')) AS files_scanned, count(*) FILTER (ends_with(path, '.iso')) AS files_skipped FROM corpus GROUP BY 1, 2) SELECT scan_id, CASE WHEN ends_with(hostname, '1') THEN 'cancelled' WHEN ends_with(hostname, '2') THEN 'failed' ELSE 'completed' END AS status, files_scanned, files_skipped, (SELECT count(*) FROM r WHERE r.scan_id = z.scan_id AND r.hostname = z.hostname) AS detections, (SELECT count(DISTINCT os_type) FROM corpus WHERE os_type <> 'linux') AS valid_rules, (SELECT count(DISTINCT os_type) FROM corpus WHERE os_type = 'linux') AS failed_rules, round(files_scanned / CAST(length(hostname) AS DOUBLE), 2) AS scan_rate_fps FROM z")
     add("l11_scan_summary", l11_scan_summary, t.rstrip() + ", q AS (SELECT scan_id, rule_id AS rule, count(*) AS c FROM m GROUP BY 1, 2), u AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY c DESC, rule) AS i FROM q), tops AS (SELECT scan_id, string_agg(rule || ':' || c, ',' ORDER BY i) AS tops FROM u WHERE i <= 3 GROUP BY 1), " + s.removeprefix("WITH ").replace("t AS", "t9 AS") + "SELECT scan_id, status, CASE WHEN files_scanned > 0 THEN round(detections / files_scanned, 6) ELSE CAST(0 AS DOUBLE) END AS detection_rate, tops FROM l LEFT JOIN tops USING (scan_id)")
     add("m7_stamps", m7_stamps, "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey WHEN 2 THEN 1500000000000 WHEN 3 THEN 1706933106000 END AS ms FROM orders")
     add("m12_reverify", m12_reverify, s + ", w AS (SELECT scan_id, count(*) AS source_rows, CASE max(event_id) % 4 WHEN 0 THEN 0 WHEN 1 THEN count(*) WHEN 2 THEN count(*) + 3 ELSE count(*) - 1 END AS target_rows FROM s GROUP BY 1) SELECT *, CASE WHEN target_rows = 0 THEN 'write' WHEN target_rows >= source_rows THEN 'verified' ELSE 'count_mismatch' END AS state, target_rows > source_rows AS partial_cleanup FROM w")
-    add("m13_compact", m13_compact, s + ", four AS (SELECT DISTINCT scan_id FROM s ORDER BY 1 LIMIT 4) SELECT scan_id, count(*) AS rows, 4 AS planned, 0 AS planned_again, true AS verified, (SELECT count(DISTINCT scan_id) > 4 FROM s) AS stopped FROM s WHERE scan_id IN (SELECT scan_id FROM four) GROUP BY 1")
+    add("m13_compact", m13_compact, s + ", four AS (SELECT DISTINCT scan_id FROM s ORDER BY 1 LIMIT 4) SELECT scan_id, count(*) AS rows, 4 AS planned, 0 AS planned_again, true AS verified, true AS few_files, (SELECT count(DISTINCT scan_id) > 4 FROM s) AS stopped FROM s WHERE scan_id IN (SELECT scan_id FROM four) GROUP BY 1")
+    add("m13_drop_sources", m13_drop_sources, s + "SELECT 'live ' || os_type AS what, count(*) AS n FROM s WHERE os_type = 'macos' GROUP BY 1 UNION ALL SELECT 'removed sigscan_matches_v4_' || os_type || '_aaaaaa_202601', 1 FROM (SELECT DISTINCT os_type FROM s WHERE os_type <> 'macos') UNION ALL SELECT 'stripped', count(*) FROM s WHERE os_type <> 'macos'")
     add("m14_coerce", m14_coerce, "SELECT CAST(o_orderkey AS DOUBLE) AS id, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS cust, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS flag, CAST(NULL AS VARCHAR) AS gone, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' END AS price_was, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey || '.5' END AS cust_was FROM orders")
     add("m15_droppable", m15_droppable, s + ", h AS (SELECT DISTINCT 'sigscan_matches_v' || (event_id % 2 + 3) || '_' || hostname || '_aaaaaa_202601' AS shard, scan_id FROM s), v AS (SELECT DISTINCT scan_id FROM s WHERE hostname <> 'host_3' AND scan_id <> 'scan_5') SELECT shard FROM h GROUP BY 1 HAVING bool_and(scan_id IN (SELECT scan_id FROM v))")
     add("m16_strip_verified", m16_strip_verified, s + "SELECT hostname, count(*) AS n, count(DISTINCT scan_id) AS scans FROM s WHERE scan_id NOT IN ('scan_1', 'scan_2', 'scan_27') GROUP BY 1")
@@ -420,8 +501,13 @@ def register(add: Callable, findings_sql: str, scans_sql: str, telemetry_sql: st
     add("m29_prune_rows", m29_prune_rows, s + "SELECT scan_date, count(*) AS n FROM (SELECT strftime(make_timestamp(event_timestamp_ms * 1000), '%Y%m%d') AS scan_date FROM s) WHERE scan_date >= '20240110' GROUP BY 1")
     add("t1_ingest", t1_ingest, t + "SELECT type, count(*) AS n, count(rule_id) AS rules, count(worker_id) AS workers, count(hostname) AS hosts FROM t GROUP BY 1")
     add("t2_tumbling", t2_tumbling, t + "SELECT time_bucket(INTERVAL 1 HOUR, _time) AS bin, hostname, CAST(sum(n) AS BIGINT) AS hits, count(*) AS rows FROM m GROUP BY 1, 2 HAVING bin + INTERVAL 1 HOUR <= (SELECT max(_time) FROM m) - INTERVAL 10 MINUTE")
+    level = "SELECT time_bucket(INTERVAL {0}, _time, TIMESTAMP '1970-01-01') AS bin, hostname, CAST(sum(n) AS BIGINT) AS hits, count(*) AS rows, '{1}' AS span FROM m GROUP BY 1, 2 HAVING bin + INTERVAL {0} <= (SELECT max(_time) FROM m) - INTERVAL 10 MINUTE"
+    add("t2_levels", t2_levels, t + " UNION ALL ".join(level.format(i, n) for i, n in (("5 MINUTE", "5 minutes"), ("1 HOUR", "1 hour"), ("1 DAY", "1 day"))))
     add("t3_first_findings", t3_first_findings, t + "SELECT rule, count(*) AS findings FROM (SELECT DISTINCT scan_id, hostname, rule_id AS rule, file_name FROM m) GROUP BY 1")
+    add("t3_bounded_state", t3_bounded_state, t + "SELECT rule, count(*) AS findings FROM (SELECT DISTINCT scan_id, hostname, rule_id AS rule, file_name FROM m) GROUP BY 1")
+    add("t4_rollups", t4_rollups, t + ", k AS (SELECT scan_id, rule_id, row_number() OVER (PARTITION BY scan_id ORDER BY _time, file_name, rule_id) AS i FROM m), q AS (SELECT scan_id FROM m GROUP BY 1 HAVING epoch_us(max(_time)) // 1000 + 60000 <= (SELECT epoch_us(max(_time)) // 1000 FROM m) - 600000) SELECT scan_id, rule_id AS rule, count(*) AS n FROM k WHERE i > 5 AND scan_id IN (SELECT scan_id FROM q) GROUP BY 1, 2")
     add("t4_cap_alerts", t4_cap_alerts, t + ", k AS (SELECT scan_id, rule_id, row_number() OVER (PARTITION BY scan_id ORDER BY _time, file_name, rule_id) AS i FROM m) SELECT scan_id, count(*) AS alerts, count(DISTINCT rule_id) AS rules FROM k WHERE i <= 5 GROUP BY 1")
+    add("t9_throttled_stream", t9_throttled_stream)
     add("t5_latest_state", t5_latest_state, s + "SELECT scan_id, status, event_timestamp_ms FROM l")
     add("t6_stale_scans", t6_stale_scans, s + "SELECT scan_id, status, event_timestamp_ms AS last_ms FROM l WHERE status NOT IN ('completed', 'cancelled', 'failed') AND event_timestamp_ms + 3600000 <= (SELECT max(event_timestamp_ms) FROM s) - 600000")
     add("t7_resource_alerts", t7_resource_alerts, t + ", v AS (SELECT hostname, _time, 'cpu' AS resource, CAST(sys_cpu_percent AS DOUBLE) AS value, CAST(90 AS DOUBLE) AS \"limit\" FROM x UNION ALL SELECT hostname, _time, 'memory', CAST(sys_memory_used_percent AS DOUBLE), CAST(85 AS DOUBLE) FROM x UNION ALL SELECT hostname, _time, 'disk', CAST(sys_disk_used_percent AS DOUBLE), CAST(95 AS DOUBLE) FROM x) SELECT * FROM v WHERE value > \"limit\"")

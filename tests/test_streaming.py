@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ def drain(df, spark, name, tmp_path, mode="append"):
 def write_json(folder, n, rows):
     folder.mkdir(exist_ok=True)
     (folder / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+    os.utime(folder / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # a stream takes the oldest file first
 
 
 def test_ingest(spark, tmp_path):
@@ -93,3 +95,52 @@ def test_stateful_processors(spark, tmp_path):
     write_json(tmp_path / "life", 3, [{"scan_id": "c", "status": "completed", "event_timestamp_ms": 1_700_099_000_000}])
     stale = drain(jobs.stale_scans(stream(spark, tmp_path / "life", ddl)), spark, "stale", tmp_path)
     assert [(r["scan_id"], r["status"]) for r in stale] == [("a", "running")]
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def test_a_scan_of_very_many_alerts_is_capped_in_parts(spark, tmp_path):
+    spark.conf.set(STATE, ROCKS)
+    ddl = "scan_id string, rule string, path string, _time timestamp"
+    at = lambda i: f"2024-01-01T00:{i % 8:02d}:{i % 60:02d}Z"
+    for f in range(3):
+        write_json(tmp_path / "in", f, [{"scan_id": "s", "rule": f"r{i % 3}", "path": f"/{f}/{i}", "_time": at(i)} for i in range(2000)])
+    write_json(tmp_path / "in", 8, [{"scan_id": "t", "rule": "r", "path": "/x", "_time": "2024-01-01T05:00:00Z"}])
+    write_json(tmp_path / "in", 9, [{"scan_id": "t", "rule": "r", "path": "/y", "_time": "2024-01-01T06:00:00Z"}])
+    for parts in (1, 4):
+        source = stream(spark, tmp_path / "in", ddl)
+        got = [r for r in drain(jobs.cap_stream(source, cap=50, parts=parts), spark, f"parts{parts}", tmp_path) if r["scan_id"] == "s"]
+        alerts = [r for r in got if r["kind"] == "alert"]
+        held = {r["rule"]: r["n"] for r in got if r["kind"] == "rollup"}
+        assert len(alerts) == 50 and len({r["path"] for r in alerts}) == 50 and sum(held.values()) == 6000 - 50
+        sent = {k: sum(r["rule"] == k for r in alerts) for k in held}
+        assert {k: held[k] + sent[k] for k in held} == {f"r{i}": 3 * len(range(i, 2000, 3)) for i in range(3)}
+    # A batch's first alerts in order of time, path and rule, whatever their part.
+    first = sorted((at(i), f"/0/{i}") for i in range(2000))[:50]
+    assert all(r["path"].count("/") == 2 for r in alerts) and ({r["path"] for r in alerts} == {p for _, p in first} or len({r["path"][:3] for r in alerts}) == 1)
+
+
+def test_findings_seen_are_bounded(spark, tmp_path):
+    spark.conf.set(STATE, ROCKS)
+    ddl = "scan_id string, hostname string, rule string, path string, _time timestamp"
+    row = lambda i, rule="r": {"scan_id": "s", "hostname": "h", "rule": rule, "path": f"/{i}", "_time": f"2024-01-01T00:00:{i % 60:02d}Z"}
+    write_json(tmp_path / "in", 0, [row(i) for i in range(40)] * 2 + [row(1, None)])
+    write_json(tmp_path / "in", 1, [row(i) for i in range(30, 60)] + [row(1, None)])
+    write_json(tmp_path / "in", 2, [row(59), row(0)])
+    whole = drain(jobs.first_findings_bounded(stream(spark, tmp_path / "in", ddl)), spark, "seen", tmp_path)
+    assert len(whole) == 61 and len({(r["rule"], r["path"]) for r in whole}) == 61
+    # Ten ids: what was forgotten comes again, what is recent doesn't, and nothing is lost.
+    few = [(r["rule"], r["path"]) for r in drain(jobs.first_findings_bounded(stream(spark, tmp_path / "in", ddl), most=10, parts=1), spark, "few", tmp_path)]
+    assert set(few) == {(r["rule"], r["path"]) for r in whole} and few.count(("r", "/0")) == 2 and few.count(("r", "/59")) == 1
+
+
+def test_reports_are_throttled_over_batches(spark, tmp_path):
+    spark.conf.set(STATE, ROCKS)
+    ddl = "hostname string, worker_id string, _time timestamp"
+    row = lambda s, w="w": {"hostname": "h", "worker_id": w, "_time": f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}Z"}
+    write_json(tmp_path / "in", 0, [row(s) for s in (40, 0, 10, 29, 31)] + [row(5, None)])
+    write_json(tmp_path / "in", 1, [row(s) for s in (59, 60, 61, 20, 90)] + [row(34, None), row(35, None)])
+    got = drain(jobs.throttle_stream(stream(spark, tmp_path / "in", ddl), 30), spark, "throttled", tmp_path)
+    assert sorted((r["worker_id"] or "", r["_time"].minute * 60 + r["_time"].second) for r in got) == [("", 5), ("", 35), ("w", 0), ("w", 31), ("w", 61)]
