@@ -291,7 +291,13 @@ add("f13_target_coverage", _targets, _C + ", t AS (SELECT hostname, unnest(['/da
 add("f14_target_stats", lambda spark, sf: target_stats(fx.corpus(spark, sf).withColumn("target", F.col("os_type")).withColumn("scan_secs", F.lit(7.0))), _C + "SELECT hostname, os_type AS target, count(*) AS files_found, CAST(7 AS DOUBLE) AS scan_secs, round(count(*) / 7.0::DOUBLE, 2) AS files_per_second FROM corpus GROUP BY 1, 2")
 add("f10_real_paths", lambda spark, sf: dedupe_real_path(fx.corpus(spark, sf).withColumn("real_path", F.sha2(F.col("content").cast("binary"), 256))).groupBy("hostname").agg(F.count("*").alias("files")), _C + "SELECT hostname, count(DISTINCT sha256(content)) AS files FROM corpus GROUP BY 1")
 add("g12_file_identity", lambda spark, sf: file_identity(fx.corpus(spark, sf)).select("path", "file_size", "file_sha256"), _C + "SELECT path, strlen(content) AS file_size, sha256(content) AS file_sha256 FROM corpus")
-add("g15_match_events", lambda spark, sf: match_events(_findings_of(spark, sf)).select("hostname", "level", F.get_json_object("data", "$.filename").alias("filename"), F.get_json_object("data", "$.rule").alias("rule"), F.get_json_object("data", "$.match_count").alias("match_count")), F_SQL + "SELECT hostname, sev AS level, path AS filename, rule, CAST(n AS VARCHAR) AS match_count FROM r")
+_FIRST = "CASE rule WHEN 'Mit_License' THEN instr(content, 'MIT License') WHEN 'Email_Address' THEN instr(content, '@') WHEN 'Token_Nocase' THEN instr(lower(content), 'token') WHEN 'License_Nocase' THEN instr(lower(content), 'license') ELSE least(instr(lower(content), 'license'), instr(content, 'MIT')) END"
+_LENGTH = "CASE rule WHEN 'Mit_License' THEN 11 WHEN 'Email_Address' THEN 1 WHEN 'Token_Nocase' THEN 5 WHEN 'License_Nocase' THEN 7 ELSE CASE WHEN instr(content, 'MIT') < instr(lower(content), 'license') THEN 3 ELSE 7 END END"
+add(
+    "g15_match_events",
+    lambda spark, sf: match_events(_findings_of(spark, sf)).select("hostname", "level", *(F.get_json_object("data", f"$.{place}").alias(name) for name, place in (("filename", "filename"), ("rule", "rule"), ("match_count", "match_count"), ("offset", "offsets[0]"), ("string", "strings[0]"))), F.size(F.from_json(F.get_json_object("data", "$.offsets"), "array<long>")).cast("bigint").alias("offsets"), F.size(F.from_json(F.get_json_object("data", "$.match_ids"), "map<string,long>")).cast("bigint").alias("ids")),
+    F_SQL + f"SELECT hostname, sev AS level, path AS filename, rule, CAST(n AS VARCHAR) AS match_count, CAST(strlen(left(content, {_FIRST} - 1)) AS VARCHAR) AS offset, substr(content, {_FIRST}, {_LENGTH}) AS string, CAST(least(n, 50) AS BIGINT) AS offsets, CAST(CASE rule WHEN 'License_And_Mit' THEN 2 ELSE 1 END AS BIGINT) AS ids FROM r",
+)
 add("g19_rule_report", lambda spark, sf: rule_report(_findings_of(spark, sf)).select("scan_id", "rule", "files", "hits", "dropped_lines"), F_SQL + "SELECT scan_id, rule, count(*) AS files, CAST(sum(n) AS BIGINT) AS hits, CAST(0 AS BIGINT) AS dropped_lines FROM r GROUP BY 1, 2")
 add("a6_file_alert_events", lambda spark, sf: file_alert_events(_findings_of(spark, sf)).select("path", F.array_join("rules", ",").alias("rules"), "hits"), F_SQL + "SELECT path, string_agg(rule, ',' ORDER BY rule) AS rules, CAST(sum(n) AS BIGINT) AS hits FROM r GROUP BY path, scan_id")
 add("l6_final_report", _on_scans(lambda s: final_report(latest_scan_state(s)).select("scan_id", "compile_success_pct", "efficiency")), S + "SELECT scan_id, round(round(valid_rules / (valid_rules + failed_rules), 12) * 100, 2) AS compile_success_pct, round(greatest(0.0, 100 - (CASE WHEN files_scanned + files_skipped > 0 THEN round(files_skipped / (files_scanned + files_skipped), 12) ELSE 0 END * 20 + round(failed_rules / (valid_rules + failed_rules), 12) * 30)), 2) AS efficiency FROM l")

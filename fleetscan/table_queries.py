@@ -58,6 +58,8 @@ def s3_load_ruleset(spark: SparkSession, sf: str) -> DataFrame:
 def s4_telemetry_files(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "telemetry")
     tables.write_telemetry(fx.telemetry_raw(spark, sf), path)
+    broken = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 50 = 0").select(F.concat(F.lit('{"type": "cut off'), F.col("event_id").cast("string")).alias("value"))
+    broken.write.mode("append").text(path)
     got = tables.read_telemetry(spark, path)
     return got.groupBy("type", "hostname").agg(F.count("*").alias("n"), F.sum(F.octet_length("data").cast("bigint")).alias("bytes"), F.count("_corrupt_record").alias("broken"))
 
@@ -468,7 +470,7 @@ def register(add: Callable, findings_sql: str, scans_sql: str, telemetry_sql: st
     add("s1_read_corpus", s1_read_corpus, f"SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(strlen(text) + 1) AS BIGINT) AS read {docs} GROUP BY 1")
     add("s2_corpus_from_table", s2_corpus_from_table, "SELECT regexp_extract(url, '//([^/]*)', 1) AS hostname, count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")
     add("s3_load_ruleset", s3_load_ruleset, "SELECT DISTINCT p_brand || '/' || p_type AS rule, CASE WHEN p_brand IN ('Brand#3', 'Brand#4', 'Brand#5') THEN 'failed' ELSE 'valid' END AS status, CAST(1 AS BIGINT) AS n FROM part UNION ALL SELECT p_type, unnest(['valid', 'skipped']), 1 FROM (SELECT DISTINCT p_type FROM part)")
-    add("s4_telemetry_files", s4_telemetry_files, f"WITH r AS ({fx.duck(fx.TELEMETRY, 'events')}) SELECT type, hostname, count(*) AS n, CAST(sum(strlen(data)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS broken FROM r GROUP BY 1, 2")
+    add("s4_telemetry_files", s4_telemetry_files, f"WITH r AS ({fx.duck(fx.TELEMETRY, 'events')}) SELECT type, hostname, count(*) AS n, CAST(sum(strlen(data)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS broken FROM r GROUP BY 1, 2 UNION ALL SELECT NULL, NULL, count(*), NULL, count(*) FROM events WHERE event_id % 50 = 0")
     add("s6_read_union", s6_read_union, f + "SELECT os_type, count(*) AS files, count(*) FILTER (os_type <> 'windows') AS with_rules, CAST(sum(match_total) AS BIGINT) AS hits FROM f GROUP BY 1")
     add("s7_overwrite_hosts", s7_overwrite_hosts, f + "SELECT hostname, count(*) AS files, CAST(sum(match_total) AS BIGINT) AS hits FROM f WHERE hostname NOT IN ('src1', 'src3', 'src7') OR severity = 'High' GROUP BY 1")
     add("s7_concurrent_writers", s7_concurrent_writers, f + "SELECT hostname, severity, count(*) AS files, CAST(sum(match_total) AS BIGINT) AS hits FROM f WHERE severity NOT IN ('Medium', 'Low') GROUP BY 1, 2")
