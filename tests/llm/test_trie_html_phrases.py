@@ -319,3 +319,39 @@ def test_the_bytes_saved_decide():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     scanner.least = [10**9] * len(scanner.each)
     assert scanner.notices(text) == []
+
+
+# --- more of other operators ----------------------------------------------------------------------------
+
+
+def test_digests_of_packed_pieces(spark, sf_dir):
+    from fleetscan.llm import tokens
+
+    enc = tokens.encoder(tokens.default_tokenizer())
+    ids = {r["doc_id"]: enc.whole([r["text"] or ""])[0] + bytes(4) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    seen = Counter()
+    for r in QUERIES["op1_packing"](spark, sf_dir).collect():
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) // 4 and r["ids_crc32"] == zlib.crc32(own[4 * r["start"] : 4 * (r["start"] + r["length"])])
+        seen[r["doc_id"]] += r["length"]
+    assert all(seen[i] == len(b) // 4 for i, b in ids.items())
+
+
+def test_texts_of_a_megabyte_in_fingerprints_scores_ledgers_and_archives(spark, sf_dir):
+    from fleetscan.llm import ledger, quality, simhash, warc
+    from fleetscan.llm.common import in_fold, read_table, work_path
+
+    rnd = random.Random(4)
+    long = " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(200_000))
+    texts = {1: long, 2: long, 3: "short text of a few words", 4: "x" * 1_500_000, 5: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got[1] == got[2] == 1 and len({got[i] for i in (1, 3, 4)}) == 3
+    rows = {r["doc_id"]: r for r in ledger.ledger(df).collect()}
+    assert rows[1]["n_words"] == 200_000 and rows[1]["word_chars"] == len(long) - 199_999 and rows[4]["word_chars"] == 1_500_000
+    docs = read_table(spark, sf_dir, "documents")
+    scores = quality.scored(df, quality.train(docs, read_table(spark, sf_dir, "labels"), ~in_fold("doc_id", 5, 0))).collect()
+    assert len(scores) == 5 and all(0 <= r["score"] <= 1 for r in scores) and len({r["score"] for r in scores if r["doc_id"] < 3}) == 1
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    read = {r["page_id"]: r for r in warc.read_records(warc.write_bundles(pages, work_path(spark, "warc"))).collect()}
+    assert read[2]["refers_to"] == 1 and bytes(read[1]["payload"]).decode() == long and read[4]["payload_bytes"] == 1_500_000
