@@ -66,6 +66,24 @@ def test_compact_keeps_every_row(spark, tmp_path):
     assert m.compact(spark, shards, to, ids, max_scans=9, dry_run=False).planned == []
 
 
+def test_small_scans_share_files(spark, tmp_path):
+    rows = spark.range(120).selectExpr("concat('0', id % 40) AS scan_id", "'h' AS hostname", "concat('/f', id) AS filename")
+    to, ids = str(tmp_path / "target"), rows.select("scan_id").distinct().unionByName(spark.createDataFrame([(None,)], "scan_id string"))
+    done = m.compact(spark, {"h": rows}, to, ids, max_scans=50, dry_run=False)
+    assert len(done.verified) == 40 and not done.failed and not done.stopped_early
+    assert len(list((tmp_path / "target").rglob("*.parquet"))) <= 4 and spark.read.parquet(to).count() == 120
+    again = m.compact(spark, {"h": rows}, to, ids, max_scans=50, dry_run=False)
+    assert again.verified == done.verified and not again.planned and spark.read.parquet(to).count() == 120
+
+
+def test_rows_go_by_a_table_of_keys(spark, tmp_path):
+    to = str(tmp_path / "live")
+    spark.createDataFrame([("s1", "h1"), ("s2", "h1"), (None, "h2"), ("s1", "h3")], "scan_id string, hostname string").write.partitionBy("hostname").parquet(to)
+    keys = spark.createDataFrame([("s1",), ("s9",), (None,)], "scan_id string")
+    assert tables.delete_rows(spark, to, keys, "hostname") == 2
+    assert {(r["scan_id"], r["hostname"]) for r in spark.read.parquet(to).collect()} == {("s2", "h1"), (None, "h2")}
+
+
 def test_droppable_needs_every_scan(spark):
     s = spark.createDataFrame([("sigscan_matches_v2_a_aaaaaa_202601", "x"), ("sigscan_matches_v2_a_aaaaaa_202601", "y"), ("sigscan_matches_v2_b_bbbbbb_202601", "x"), ("sigscan_matches_v4_c_cccccc", "x")], "shard string, scan_id string")
     assert [r[0] for r in m.droppable(s, spark.createDataFrame([("x",)], "scan_id string")).collect()] == ["sigscan_matches_v2_b_bbbbbb_202601"]
