@@ -144,3 +144,21 @@ def test_reports_are_throttled_over_batches(spark, tmp_path):
     write_json(tmp_path / "in", 1, [row(s) for s in (59, 60, 61, 20, 90)] + [row(34, None), row(35, None)])
     got = drain(jobs.throttle_stream(stream(spark, tmp_path / "in", ddl), 30), spark, "throttled", tmp_path)
     assert sorted((r["worker_id"] or "", r["_time"].minute * 60 + r["_time"].second) for r in got) == [("", 5), ("", 35), ("w", 0), ("w", 31), ("w", 61)]
+
+
+def test_keys_share_states(spark, tmp_path):
+    """Many keys in one state: calls to the state store don't grow with the keys."""
+    spark.conf.set(STATE, ROCKS)
+    ddl = "scan_id string, hostname string, rule string, path string, _time timestamp"
+    row = lambda i, hour, scan: {"scan_id": scan, "hostname": "h", "rule": "r", "path": f"/{i}", "_time": f"2024-01-01T{hour:02d}:00:00Z"}
+    write_json(tmp_path / "in", 0, [row(i % 3, 0, f"s{i // 3}" if i // 3 else None) for i in range(1800)])
+    write_json(tmp_path / "in", 1, [row(i % 4, 1, f"s{i // 4}" if i // 4 else None) for i in range(2400)])
+    write_json(tmp_path / "in", 2, [row(0, 9, "late")])
+    write_json(tmp_path / "in", 3, [row(0, 9, "late")])
+    write_json(tmp_path / "in", 4, [row(0, 9, "s5"), row(0, 9, "late")])
+    q = jobs.first_findings_bounded(stream(spark, tmp_path / "in", ddl)).writeStream.format("memory").queryName("shared").option("checkpointLocation", str(tmp_path / "shared")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = [(r["scan_id"], r["path"]) for r in spark.table("shared").collect()]
+    # Those of a scan that was silent are forgotten, and come again.
+    assert len(got) == 2400 + 2 and got.count(("s5", "/0")) == 2 and got.count((None, "/3")) == 1
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 4 * jobs.STATES
