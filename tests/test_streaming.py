@@ -162,3 +162,19 @@ def test_keys_share_states(spark, tmp_path):
     # Those of a scan that was silent are forgotten, and come again.
     assert len(got) == 2400 + 2 and got.count(("s5", "/0")) == 2 and got.count((None, "/3")) == 1
     assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 4 * jobs.STATES
+
+
+def test_capped_scans_share_states(spark, tmp_path):
+    spark.conf.set(STATE, ROCKS)
+    ddl = "scan_id string, rule string, path string, _time timestamp"
+    at = lambda hour: f"2024-01-01T{hour:02d}:00:00Z"
+    write_json(tmp_path / "in", 0, [{"scan_id": f"s{i // 4}", "rule": None if i % 4 == 3 else "r", "path": f"/{i % 4}", "_time": at(0)} for i in range(2400)])
+    for f in (1, 2, 3):
+        write_json(tmp_path / "in", f, [{"scan_id": "s0", "rule": "r", "path": "/x", "_time": at(2 * f)}])
+    q = jobs.cap_stream(stream(spark, tmp_path / "in", ddl), cap=2).writeStream.format("memory").queryName("sharing").option("checkpointLocation", str(tmp_path / "sharing")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = spark.table("sharing").collect()
+    assert sum(r["kind"] == "alert" for r in got) == 2 * 600
+    told = {(r["scan_id"], r["rule"]): r["n"] for r in got if r["kind"] == "rollup" and r["scan_id"] != "s0"}
+    assert len(told) == 2 * 599 and set(told.values()) == {1}
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 4 * jobs.STATES
