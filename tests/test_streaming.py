@@ -178,3 +178,17 @@ def test_capped_scans_share_states(spark, tmp_path):
     told = {(r["scan_id"], r["rule"]): r["n"] for r in got if r["kind"] == "rollup" and r["scan_id"] != "s0"}
     assert len(told) == 2 * 599 and set(told.values()) == {1}
     assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 4 * jobs.STATES
+
+
+def test_stale_scans_share_states(spark, tmp_path):
+    spark.conf.set(STATE, ROCKS)
+    ddl, ms = "scan_id string, status string, event_timestamp_ms bigint", 1_700_000_000_000
+    write_json(tmp_path / "in", 0, [{"scan_id": f"s{i % 900}", "status": "running" if i < 900 or i % 3 else "failed", "event_timestamp_ms": ms + i} for i in range(1800)])
+    write_json(tmp_path / "in", 1, [{"scan_id": "s1", "status": "completed", "event_timestamp_ms": ms + 5}, {"scan_id": "s2", "status": "completed", "event_timestamp_ms": ms + 5000}])
+    for f in (2, 3):
+        write_json(tmp_path / "in", f, [{"scan_id": "now", "status": "running", "event_timestamp_ms": ms + f * 90_000_000}])
+    q = jobs.stale_scans(stream(spark, tmp_path / "in", ddl)).writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "silent")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = {r["scan_id"]: (r["status"], r["last_ms"]) for r in spark.table("silent").collect()}
+    assert got == {f"s{i}": ("running", ms + 900 + i) for i in range(900) if i % 3 and i != 2}
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 4 * jobs.STATES
