@@ -192,3 +192,13 @@ def test_stale_scans_share_states(spark, tmp_path):
     got = {r["scan_id"]: (r["status"], r["last_ms"]) for r in spark.table("silent").collect()}
     assert got == {f"s{i}": ("running", ms + 900 + i) for i in range(900) if i % 3 and i != 2}
     assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 4 * jobs.STATES
+
+
+def test_a_large_table_streams_in_as_many_batches_of_more_files(spark):
+    from fleetscan import table_queries as q
+
+    seen = []
+    rows = spark.range(0, 800, 1, 8)
+    q._each_batch(spark, q._stream(spark, rows, per_batch=1), lambda b, _: seen.append((b.count(), b.select(F.input_file_name()).distinct().count())))
+    assert len(seen) == 3 and sum(n for n, _ in seen) == 800
+    assert max(files for _, files in seen) == 3  # no task gets a batch whole
