@@ -219,3 +219,25 @@ def test_ties_across_hosts_are_capped_the_same_way_each_time(spark):
     for n in (1, 3, 7):
         kept = {r["hostname"] for r in cap_alerts(df.repartition(n), 3).where("NOT suppressed").collect()}
         assert kept == {"h0", "h1", "h10"}
+
+
+def test_hits_are_given_on_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from fleetscan.operators import scan as sc
+
+    rules = [sc.Rule("R", (sc.Pattern("R", "$a", "x"),), sc.of_them(["$a"]), "low")]
+    rows = [("s", "h", f"/{i}", b"x" * n) for i, n in enumerate((0, 5, 3 * sc.HELD, 7, sc.HELD, 9))]
+    files = spark.createDataFrame(rows, "scan_id string, hostname string, path string, content binary")
+    want = {p: len(c) for _, _, p, c in rows if c}
+    assert {r["path"]: r["count"] for r in sc.scan_hits(files, rules).groupBy("path").count().collect()} == want
+    assert {r["path"]: (r["match_count"], len(r["sample_rows"])) for r in sc.scan_files(files, rules, sample_cap=0).collect()} == {p: (n, n) for p, n in want.items()}
+    # What one batch of files gives leaves the task in several.
+    tasks, kind = [], type(files)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: (tasks.append(f), plain(self, f, *a, **k))[1])
+    sc.scan_hits(files, rules), sc.scan_files(files, rules, sample_cap=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["scan_id", "hostname", "path", "content"])
+    assert [b.num_rows for b in tasks[0](iter([batch]))] == [sc.HELD] * 4 + [21]
+    alone = batch.append_column("alone", pa.array([[]] * len(rows), pa.list_(pa.string())))
+    assert [b.num_rows for b in tasks[1](iter([alone]))] == [2, 2, 1]
