@@ -241,3 +241,21 @@ def test_hits_are_given_on_in_pieces(spark, monkeypatch):
     assert [b.num_rows for b in tasks[0](iter([batch]))] == [sc.HELD] * 4 + [21]
     alone = batch.append_column("alone", pa.array([[]] * len(rows), pa.list_(pa.string())))
     assert [b.num_rows for b in tasks[1](iter([alone]))] == [2, 2, 1]
+
+
+def test_hits_apart_are_those_of_a_search():
+    """For literals, expressions with and without atoms, and strings of two forms."""
+    rnd = random.Random(8)
+    each = [("aa", "literal"), ("aba", "literal"), ("(?:ab|ba)[ab]*", "regex"), ("[ab]c?[ab]", "regex"), ("b?abc|c.?ab", "regex")]
+    patterns = tuple(Pattern("R", f"${i}", p, k) for i, (p, k) in enumerate(each))
+    two = (Pattern("R", "$t", "aab"), Pattern("R", "$t", "abc?", "regex"))
+    inside = 0
+    for _ in range(200):
+        data = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 60)))
+        matcher = Matcher(patterns + two)
+        got, every = list(matcher.apart(data)), list(matcher.hits(data))
+        for p in patterns:
+            assert [(at, raw) for q, at, raw in got if q is p] == [(m.start(), m.group()) for m in re.finditer(p.pattern.encode(), data)]
+        assert [(at, raw) for q, at, raw in got if q.id == "$t"] == [(m.start(), m.group()) for m in re.finditer(b"aab|abc?", data)]
+        inside += len(every) - len(got)
+    assert inside
