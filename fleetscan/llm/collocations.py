@@ -8,10 +8,13 @@ passed again for what the first pass left out and may yet be frequent, as none o
 counted parts is rare; that looks through all lengths at once, so the frequent phrases are
 closed after it.
 
-Until then phrases are known by 64-bit hashes, which are counted in place of texts.  Two phrases
-with one hash can only seem more frequent than they are, and the last pass counts by text
-what seemed frequent, so the counts are exact.  A task finds out whether a phrase was proposed, or
-seemed frequent, in a bit set of a fixed size, whose false hits too only add phrases to count.
+The first pass counts hashes of 80 bits in place of texts; the texts of those that are frequent
+come from the sample, so that not each task has to give the text of each frequent phrase, which
+would be rows by the product of both.  Hashes that the sample has no text for, or two, are counted by text
+in the second pass, with what the first has left out.  That a phrase is added to a frequent one, as both
+have one hash, has a chance of (phrases * frequent phrases) / 2^80: 10^-11 for a GB of text.  A task
+finds out whether a phrase was proposed, seemed frequent, or lacks its text in a bit set of a fixed size by 64 of
+these bits, whose false hits only add phrases to count.
 """
 
 from __future__ import annotations
@@ -56,9 +59,16 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _word_hash(lang: str, words: list[str]) -> np.ndarray:
+def _word_hashes(lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word."""
     seed = xxhash.xxh64_intdigest(lang) >> 1
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    both = np.frombuffer(b"".join(xxhash.xxh128_digest(w, seed) for w in words), "<u8").reshape(-1, 2)
+    return both[:, 0].astype(np.uint64), both[:, 1].astype(np.uint64)
+
+
+def _check(marks: np.ndarray) -> np.ndarray:
+    """The 16 bits of a second hash that a phrase is told apart by besides its first."""
+    return (marks >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +129,7 @@ class Words:
         np.cumsum(stops - starts, out=bounds[1:])
         coded = pa.StringArray.from_buffers(self.n, pa.py_buffer(bounds), pa.py_buffer(raw[word].tobytes())).dictionary_encode()
         self.dictionary, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        self.hashes = _word_hash(lang, self.dictionary.to_pylist())
+        self.hashes, self.marks = _word_hashes(lang, self.dictionary.to_pylist())
         piece = np.cumsum(kind == 2)[starts]
         #: Whether a word and the next are of one piece.
         self.joined = piece[1:] == piece[:-1]
@@ -128,16 +138,18 @@ class Words:
         """The text of the phrases of k words from ``starts`` on."""
         return pc.binary_join_element_wise(*(self.dictionary.take(pa.array(self.codes[starts + i])) for i in range(k)), " ")
 
-    def counted(self, known: BitSet, grown: BitSet | None, longest: int, shortest: int, by_text: bool) -> Iterator[tuple]:
-        """Phrases, by hash or by text, and their occurrences: those of ``known`` and its border;
-        or, given ``grown`` (what seems frequent of those), what is in it, and the others whose
-        parts aren't known to be rare (``by_text``: both; by hash: only the others)."""
+    def counted(self, known: BitSet, grown: BitSet | None, longest: int, shortest: int, told: BitSet | None) -> Iterator[tuple]:
+        """Phrases (hashes, second hashes, texts) and their occurrences: those of ``known`` and its border;
+        or, given ``grown`` (what seems frequent of those), the others whose parts aren't known
+        to be rare and what is in both ``grown`` and ``told``. Texts are there given ``told`` alone."""
         size, codes = len(self.dictionary), self.codes
-        ids, hashes, run = codes, self.hashes, np.ones(self.n, bool)
+        ids, hashes, marks, run = codes, self.hashes, self.marks, np.ones(self.n, bool)
         if shortest == 1:
             n = np.bincount(codes, minlength=size)
-            take = slice(None) if grown is None else grown.has(hashes)
-            yield (self.dictionary.filter(pa.array(take)) if by_text else hashes[take]), n[take]
+            take = np.ones(size, bool) if grown is None else grown.has(hashes)
+            if told is not None:
+                take &= told.has(hashes)
+            yield hashes[take], marks[take], self.dictionary.filter(pa.array(take)) if told else None, n[take]
         proposed = known.has(hashes)[codes]
         open_ = proposed if grown is None else grown.has(hashes)[codes]
         for k in range(2, min(longest, self.n) + 1):
@@ -148,11 +160,14 @@ class Words:
                 return
             before = (proposed[:-1] & proposed[1:])[starts]
             keys, first, inverse, n = np.unique(ids[starts] * size + codes[starts + k - 1], return_index=True, return_inverse=True, return_counts=True)
-            hashes = _mixed(hashes[keys // size], self.hashes[keys % size])
+            left, right = keys // size, keys % size
+            hashes, marks = _mixed(hashes[left], self.hashes[right]), _mixed(marks[left], self.marks[right])
             seems = np.ones(len(n), bool) if grown is None else grown.has(hashes)
-            take = np.ones(len(n), bool) if grown is None else ~before[first] | (seems & by_text)
+            take = np.ones(len(n), bool) if grown is None else ~before[first]
+            if grown is not None and told is not None:
+                take |= seems & told.has(hashes)
             if k >= shortest and take.any():
-                yield (self.phrases(starts[first[take]], k) if by_text else hashes[take]), n[take]
+                yield hashes[take], marks[take], self.phrases(starts[first[take]], k) if told else None, n[take]
             ids = np.zeros(len(may), np.int64)
             ids[starts] = inverse
             proposed, open_ = np.zeros(len(may), bool), np.zeros(len(may), bool)
@@ -172,7 +187,8 @@ def _of_langs(b: pa.RecordBatch, block_bytes: int) -> Iterator[tuple[str, Words]
 
 
 def hash_counts(docs: DataFrame, known: BitSet, grown: BitSet | None = None, longest: int = LONGEST, shortest: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(h, n) of the phrases that :meth:`Words.counted` gives, over all of ``docs`` (lang, text).
+    """(h, c, n) of the phrases that :meth:`Words.counted` gives, over all of ``docs`` (lang, text);
+    h and c are the 80 bits that stand for a phrase.
 
     A task counts a batch first, block by block, so a phrase of very many occurrences is a row
     for each batch.
@@ -183,31 +199,56 @@ def hash_counts(docs: DataFrame, known: BitSet, grown: BitSet | None = None, lon
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, grown = sets.value
         for b in batches:
-            found = [x for _, words in _of_langs(b, block_bytes) for x in words.counted(known, grown, longest, shortest, False)]
+            found = [(h, _check(g), n) for _, words in _of_langs(b, block_bytes) for h, g, _, n in words.counted(known, grown, longest, shortest, None)]
             if found:
-                h, n = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+                h, c, n = (np.concatenate([x[i] for x in found]) for i in (0, 1, 2))
                 del found
                 order = np.argsort(h)
-                h, n = h[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], names=["h", "n"])
+                h, c, n = h[order], c[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(c[first]), pa.array(np.add.reduceat(n, first))], names=["h", "c", "n"])
             release_memory()
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # Dealt out first: summing once more before that would hold a task's rows and hardly find two of a phrase.
+    return docs.mapInArrow(run, "h long, c short, n long").repartition("h", "c").groupBy("h", "c").agg(F.sum("n").alias("n"))
 
 
-def text_counts(docs: DataFrame, known: BitSet, grown: BitSet, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(lang, phrase, n) of what seems frequent (``grown``) and of what may be frequent besides; n
-    of all words as the phrase ""."""
+def texts_of(docs: DataFrame, wanted: BitSet, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(h, c, lang, phrase) of the phrases of ``wanted``, of which all parts are wanted too, that are in ``docs``;
+    only what has one text there."""
     ship(docs.sparkSession)
-    sets = docs.sparkSession.sparkContext.broadcast((known, grown))
+    sets = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grown = sets.value
+        wanted = sets.value
+        for b in batches:
+            found: list[pa.Table] = []
+            for lang, words in _of_langs(b, block_bytes):
+                for h, g, phrases, _ in words.counted(wanted, wanted, longest, 1, wanted):
+                    found.append(pa.table([h.view(np.int64), _check(g), pa.repeat(lang, len(h)), phrases], names=["h", "c", "lang", "phrase"]))
+            if found:
+                once = pa.concat_tables(found).group_by(["h", "c", "lang", "phrase"]).aggregate([])
+                found.clear()
+                yield from once.select(["h", "c", "lang", "phrase"]).to_batches()
+            release_memory()
+
+    text = F.struct("lang", "phrase")
+    each = docs.mapInArrow(run, "h long, c short, lang string, phrase string").groupBy("h", "c").agg(F.min(text).alias("t"), F.max(text).alias("other"))
+    return each.where("t = other").select("h", "c", "t.lang", "t.phrase")
+
+
+def text_counts(docs: DataFrame, known: BitSet, grown: BitSet, told: BitSet, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(lang, phrase, n) of what seems frequent (``grown``) and is in ``told``, and of what may be frequent
+    besides; n of all words as the phrase ""."""
+    ship(docs.sparkSession)
+    sets = docs.sparkSession.sparkContext.broadcast((known, grown, told))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, grown, told = sets.value
         for b in batches:
             found: list[pa.Table] = []
             for lang, words in _of_langs(b, block_bytes):
-                for phrases, n in ((pa.array([""]), np.array([words.n])), *words.counted(known, grown, longest, 1, True)):
+                for _, _, phrases, n in ((None, None, pa.array([""]), np.array([words.n])), *words.counted(known, grown, longest, 1, told)):
                     found.append(pa.table([pa.repeat(lang, len(n)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"]))
             if found:
                 summed = pa.concat_tables(found).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
@@ -233,15 +274,21 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share:
     """(lang, phrase, n) of all phrases with n >= ``least``, and n of all words as phrase "".
 
     ``docs`` has lang, text (neither null) and ``key``, whose hash decides whether a document is in
-    the sample. The sample and its threshold decide what is counted in which pass, never what
-    returns: with an empty sample the last pass counts all but words. It needs no other after
-    it: each counted part of a frequent phrase seems frequent, so the phrase is counted.
+    the sample. The sample and its threshold decide what is counted in which pass and where texts
+    come from, never what returns: with an empty sample the last pass counts all by text. It needs
+    no other after it: each counted part of a frequent phrase seems frequent, so the phrase is counted.
     """
     sample = materialize(docs.where(hash_fraction([F.col(key)], share, "phrases")).select("lang", "text"), "sample")
     known = proposed(sample, max(1, int(least * share * lowered)), longest, bits)
     texts = docs.select("lang", "text")
-    grown = bit_set(hash_counts(texts, known, None, longest, 1, block_bytes).where(F.col("n") >= least).select("h"), bits)
-    return materialize(text_counts(texts, known, grown, longest, block_bytes).where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent")
+    often = materialize(hash_counts(texts, known, None, longest, 1, block_bytes).where(F.col("n") >= least), "often")
+    grown = bit_set(often.select("h"), bits)
+    named = materialize(often.join(texts_of(sample, grown, longest, block_bytes), ["h", "c"], "left"), "named")
+    told = bit_set(named.where("phrase IS NULL").select("h"), bits)
+    rest = text_counts(texts, known, grown, told, longest, block_bytes).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    # What the bits of ``told`` hit by chance is in both.
+    both = named.where("phrase IS NOT NULL").select("lang", "phrase", "n").unionByName(rest)
+    return materialize(both.groupBy("lang", "phrase").agg(F.min("n").alias("n")), "frequent")
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", least: int = LEAST, longest: int = LONGEST, top: int = TOP, **how) -> DataFrame:

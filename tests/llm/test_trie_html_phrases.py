@@ -265,6 +265,33 @@ def test_scores_past_64_bits(spark):
     assert got == 1000 * a * n // (left * right)
 
 
+def test_not_each_task_gives_the_text_of_each_frequent_phrase(spark, monkeypatch):
+    """Rows of text are by the tasks of the sample, and those of phrases it lacks, not by all tasks."""
+    text, only = "one two three four five six", "seven eight nine"
+    df = spark.range(800).selectExpr("id AS doc_id", "'en' AS lang", f"'{text}' AS text").repartition(40)
+    left_out = df.where(~collocations.hash_fraction([F.col("doc_id")], collocations.SAMPLE, "phrases")).limit(120).withColumn("text", F.lit(only))
+    docs = df.unionByName(left_out)
+    made, kind = {}, type(df)
+    plain = kind.mapInArrow
+
+    def counted(self, run, schema, *args, **how):
+        rows = made.setdefault(schema, spark.sparkContext.accumulator(0))
+
+        def counting(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return plain(self, counting, schema, *args, **how)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    got = {r["phrase"]: r["n"] for r in collocations.frequent(docs.withColumnRenamed("doc_id", "key"), bits=16).collect()}
+    parts = lambda t: {" ".join(t.split()[i:j]) for i in range(6) for j in range(i + 1, min(i + 5, len(t.split())) + 1)}
+    assert got == {p: 800 for p in parts(text)} | {p: 120 for p in parts(only)} | {"": 800 * 6 + 120 * 3}
+    with_text = sum(a.value for schema, a in made.items() if "phrase" in schema)
+    assert len(parts(text)) == 20 and with_text < 40 * len(parts(text)) / 2
+
+
 def test_no_text_is_shuffled_in_the_counting_pass(spark):
     df = spark.createDataFrame([("en", "a b")], "lang string, text string")
     plan = collocations.hash_counts(df, collocations.bit_set(None, 8))._jdf.queryExecution().executedPlan().toString()
