@@ -76,6 +76,18 @@ def test_small_scans_share_files(spark, tmp_path):
     assert again.verified == done.verified and not again.planned and spark.read.parquet(to).count() == 120
 
 
+def test_a_pass_of_all_scans(spark, tmp_path):
+    rows = spark.range(121).selectExpr("concat('s', if(id < 100, id % 20, 20)) AS scan_id", "concat('h', id % 2) AS hostname", "concat('/f', id) AS filename")
+    shards, to, ids = {h: rows.where(F.col("hostname") == h) for h in ("h0", "h1")}, str(tmp_path / "target"), rows.where("scan_id <> 's7'").select("scan_id")
+    some = m.compact(spark, shards, to, ids, max_scans=None, dry_run=False, ceiling=20)
+    assert len(some.planned) == 19 and some.verified == some.planned and some.failed == {"s20": "row_ceiling_exceeded"} and not some.stopped_early
+    rest = m.compact(spark, shards, to, ids, max_scans=None, dry_run=False, ceiling=None)
+    assert rest.planned == ["s20"] and len(rest.verified) == 20 and not rest.failed
+    assert sorted(map(tuple, spark.read.parquet(to).select(*rows.columns).collect())) == sorted(map(tuple, rows.where("scan_id <> 's7'").collect()))
+    dry = m.compact(spark, shards, to, ids, max_scans=None)
+    assert dry.planned == [] and dry.verified == rest.verified and dry.dry_run
+
+
 def test_rows_go_by_a_table_of_keys(spark, tmp_path):
     to = str(tmp_path / "live")
     spark.createDataFrame([("s1", "h1"), ("s2", "h1"), (None, "h2"), ("s1", "h3")], "scan_id string, hostname string").write.partitionBy("hostname").parquet(to)

@@ -25,6 +25,20 @@ def test_pattern_kinds_of_odd_texts(spark, compare, tmp_path):
         compare(QUERIES["g2_pattern_kinds"](spark, str(folder)).toPandas(), c.sql(ORACLE_SQL["g2_pattern_kinds"]).df())
 
 
+@pytest.mark.parametrize(("users", "more"), [(155_000, 0), (3, 2_000_001), (2, 0), (0, 0)])
+def test_all_sources_go(spark, compare, tmp_path, users, more):
+    """More scans than a list of 100,000 holds, a scan above the default ceiling of rows, and a live
+    table of which nothing is left, or that was empty."""
+    import duckdb
+
+    rest = "timestamp'2024-01-01' AS ts", "'view' AS event_type", "1.0D AS value", "'1' AS props"
+    events = spark.range(users + more).selectExpr("id AS event_id", f"IF(id < {users}, id, 0) AS user_id", *rest)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    compare(QUERIES["m13_drop_sources"](spark, str(tmp_path)).toPandas(), c.sql(ORACLE_SQL["m13_drop_sources"]).df())
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 
